@@ -1,11 +1,15 @@
 """The registered queries of this subpackage and their DuckDB texts."""
 
-from . import topk
+from . import topk, urls, warc
 
 QUERIES = {
+    "op3_url_filter": urls.op3_url_filter,
+    "op6_warc": warc.op6_warc,
     "op7_norm_topk": topk.op7_norm_topk,
 }
 
 SQL = {
+    "op3_url_filter": urls.SQL,
+    "op6_warc": warc.SQL,
     "op7_norm_topk": topk.SQL,
 }
