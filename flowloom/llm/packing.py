@@ -23,7 +23,7 @@ from .common import NOT_SPACE, Rolling, ragged, shuffle_partitions, texts, writt
 
 SIZE = 1024
 #: White space beyond ASCII and odd ASCII separators; texts with these are tokenized whole.
-ODD_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
+ODD_SPACE = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Distinct pieces of text whose ids a task keeps; beyond it the store starts anew.
 STORE = 400_000
 
