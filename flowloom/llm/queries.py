@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB texts."""
 
-from . import decontaminate, packing, simhash, topk, urls, warc
+from . import decontaminate, packing, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
     "op4_simhash": simhash.op4_simhash,
+    "op5_secrets": secrets.op5_secrets,
     "op6_warc": warc.op6_warc,
     "op7_norm_topk": topk.op7_norm_topk,
     "op9_packing": packing.op9_packing,
