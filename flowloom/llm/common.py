@@ -181,3 +181,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Counts as a byte each, and those of 255 or more once again in full."""
+    values = np.asarray(values, U64)
+    large = values[values >= 255]
+    return np.minimum(values, U64(255)).astype(np.uint8).tobytes() + (pack(large) if len(large) else b"")
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(U64)
+    if len(blob) > n:
+        out[out == 255] = unpack(blob[n:])
+    return out
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB texts."""
 
-from . import decontaminate, packing, secrets, simhash, topk, urls, warc
+from . import decontaminate, lm, packing, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op6_warc": warc.op6_warc,
     "op7_norm_topk": topk.op7_norm_topk,
+    "op8_lm": lm.op8_lm,
     "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
