@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their DuckDB texts."""
 
-from . import decontaminate, lm, packing, secrets, simhash, suffixes, topk, urls, warc
+from . import decontaminate, lm, packing, quality, secrets, simhash, suffixes, topk, urls, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_url_filter": urls.op3_url_filter,
     "op4_simhash": simhash.op4_simhash,
     "op5_secrets": secrets.op5_secrets,
