@@ -16,6 +16,7 @@ rows leaves the task.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,41 @@ def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def item_blocks(benchmark: DataFrame, roll: Rolling, window: int, seed: int, block_words: int) -> Iterator[Items]:
+    """The items in blocks of about block_words words; a benchmark of ordinary size, or an empty one, makes one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // (4 * block_words)))
+    for block in range(blocks):
+        table = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
+        hashes, ends = item_words(table["text"], roll)
+        yield Items(np.array(table["item_id"].to_pylist(), object), hashes, ends, window, seed)
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, seed: int = 3, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, all columns, without the rows that hold a window of the benchmark (see contaminated)."""
+    roll, columns = Rolling(3), documents.columns
+    plain = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    at = columns.index(text_col)
+
+    def clean(known: Items):
+        def scan(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for lo, _, data, offsets in texts(batch.column(at), 1 << 22):
+                    data = LOWER[data]
+                    start, end, upto = words(data, offsets, ALNUM)
+                    where = shard_hits(roll.hashes(roll.sums(data), start, end), upto, known)[0]
+                    keep[lo + np.unique(np.searchsorted(upto, where, "right") - 1)] = False
+                yield batch.filter(pa.array(keep))
+
+        return scan
+
+    for known in item_blocks(benchmark, roll, window, seed, block_words):
+        plain = plain.mapInArrow(clean(known), plain.schema)
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, longest, contaminated) of every document row.
 
@@ -143,16 +179,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, s
     Null and empty texts have no words. Items that repeat an id count as one; items with a null id
     are left out. An empty benchmark hits nothing. Repeated document rows stay repeated.
     """
-    roll = Rolling(3)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull())
-    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(bytes_) // (4 * block_words)))
-    found = None
-    for block in range(blocks):  # a benchmark of ordinary size makes one block
-        table = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
-        hashes, ends = item_words(table["text"], roll)
-        part = _scan(documents, Items(np.array(table["item_id"].to_pylist(), object), hashes, ends, window, seed), roll, id_col, text_col)
-        found = part if found is None else found.unionByName(part)
+    roll, found, blocks = Rolling(3), None, 0
+    for known in item_blocks(benchmark, roll, window, seed, block_words):
+        part = _scan(documents, known, roll, id_col, text_col)
+        found, blocks = part if found is None else found.unionByName(part), blocks + 1
     if blocks > 1:
         found = (
             found.groupBy("doc_id", "row")

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, written
@@ -209,6 +209,18 @@ def classes(documents: DataFrame, size: int = 3, radius: int = 2, id_col: str =
     return rows.join(of, rows.fp == F.col("_fp"), "left").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(documents: DataFrame, size: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest id stays, whole.
+
+    Of rows that repeat that id one stays. Rows with a null id stay only where no row of their component
+    has an id.
+    """
+    kept = classes(documents, size, radius, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
+    rows = documents.join(kept, documents[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*documents.columns)))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
