@@ -1,2 +1,550 @@
-QUERIES = {}
-SQL = {}
+"""The registered queries of the flow-log operators and their DuckDB texts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.functions import exprs as X
+from flowloom.operators import aggregates as A
+from flowloom.operators import ingest as I
+from flowloom.operators import lifecycle as L
+from flowloom.operators import liveness as V
+from flowloom.operators import privacy as P
+from flowloom.operators import registry as G
+from flowloom.operators import rollup as R
+from flowloom.operators import search as S
+
+from . import fixtures as Fx
+from .fixtures import AS_OF, AS_OF_S, CTE, PRIVATE, devices, dotted, flow_logs, ist_clock, ist_date, raw_flows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; its SQL stands on the shared chain up to flow_logs."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = CTE + sql
+        return f
+
+    return add
+
+
+def flows(name: str, sql: str | None = None):
+    """As query(), for functions of flow_logs alone."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(flow_logs(spark, d)))
+        return f
+
+    return add
+
+
+WINDOW = "event_date >= DATE '2024-01-30' - 7 AND isp_id = 2"
+ALL = "event_date >= DATE '2024-01-30' - 7"
+TODAY = "event_date = DATE '2024-01-30'"
+NAME = "CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' ELSE 'OTH' END"
+SHOWN = "(nat_public_ip <> 0 AND NOT (nat_public_ip = src_ip AND nat_public_port = src_port))"
+
+
+def human(n: str) -> str:
+    cases = " ".join(f"WHEN {n} >= {1 << 10 * i} THEN printf('%.1f', {n} / {float(1 << 10 * i)}) || ' {u}iB'" for i, u in list(enumerate("KMGTPE", 1))[::-1])
+    return f"CASE {cases} ELSE {n}::VARCHAR || ' B' END"
+
+
+RECORD = f"""CAST({ist_date("start_s")} AS VARCHAR) AS date, {ist_clock("start_s")} AS clock, CAST({ist_date("start_s")} AS VARCHAR) || ' ' || {ist_clock("start_s")} AS time,
+ 'DEV-' || device_id AS sub, device_id, {dotted("src_ip")} AS priv_ip, src_port AS priv_port, CASE WHEN {SHOWN} THEN {dotted("nat_public_ip")} ELSE '' END AS pub_ip,
+ CASE WHEN {SHOWN} THEN nat_public_port ELSE 0 END AS pub_port, {NAME} AS proto, upper(flow_type) AS action"""
+SEARCHED = f"{RECORD}, {dotted('dst_ip')} AS dst_ip, dst_port, {dotted('dst_ip')} || ':' || dst_port AS dest"
+#: Newest first, then by the other columns of flow_logs in order of their names.
+TIES = "start_s DESC, bytes, received_s, device_id, dst_ip, dst_port, event_date, exporter_ip, end_s, flow_type, isp_id, nat_public_ip, nat_public_port, packets, protocol, src_ip, src_port"
+BY_PUBLIC = S.SearchFilter(public_ip="203.0.113.42", proto="UDP", from_s=AS_OF_S - 10 * 86400, to_s=AS_OF_S)
+FOUND = f"nat_public_ip = {X.ip('203.0.113.42')} AND protocol = 17 AND start_s BETWEEN {AS_OF_S - 10 * 86400} AND {AS_OF_S}"
+LONGER = S.SearchFilter(public_ip="203.0.113.42")
+
+# --- ingest ---
+
+
+@query("p1_normalize_times", "SELECT flow_id, start_s, end_s, COUNT(*) AS n FROM timed GROUP BY ALL")
+def _(spark, d):
+    return I.normalize_times(raw_flows(spark, d)).groupBy("flow_id", "start_s", "end_s").agg(F.count("*").alias("n"))
+
+
+@query("p2_stamp_identity", "SELECT state, isp_id, device_id, skip_dns, skip_private, skip_zero, COUNT(*) AS n FROM stamped GROUP BY ALL")
+def _(spark, d):
+    return I.stamp_identity(raw_flows(spark, d), devices(spark, d)).groupBy("state", "isp_id", "device_id", *I.RULES).agg(F.count("*").alias("n"))
+
+
+@query("f6_admit_modes", """, m AS (SELECT unnest(['allow', 'observe', 'reject']) AS mode)
+SELECT mode, CASE WHEN state = 'unknown' AND mode = 'observe' THEN 0 ELSE isp_id END AS isp_id, COUNT(*) AS flows FROM stamped, m
+WHERE state = 'matched' OR (state = 'unknown' AND mode <> 'reject') GROUP BY ALL""")
+def _(spark, d):
+    raw, known = raw_flows(spark, d), devices(spark, d)
+    parts = [I.admit(I.stamp_identity(raw, known, m)).groupBy("isp_id").agg(F.count("*").alias("flows")).withColumn("mode", F.lit(m)) for m in ("allow", "observe", "reject")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("f5_skip_rules", "SELECT flow_id, reason AS skip_reason, COUNT(*) AS n FROM reasoned GROUP BY ALL")
+def _(spark, d):
+    return I.with_skip_reason(I.stamp_identity(raw_flows(spark, d), devices(spark, d))).groupBy("flow_id", "skip_reason").agg(F.count("*").alias("n"))
+
+
+@query("a26_ingest_accounting", "SELECT state, CASE WHEN state = 'disabled' THEN '' ELSE coalesce(reason, 'kept') END AS reason, COUNT(*) AS flows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM reasoned GROUP BY ALL")
+def _(spark, d):
+    return I.accounting(raw_flows(spark, d), devices(spark, d))
+
+
+@query("r1_ingest_batch", "SELECT event_date, isp_id, flow_type, COUNT(*) AS flows, CAST(SUM(bytes) AS BIGINT) AS bytes, CAST(SUM(end_s - start_s) AS BIGINT) AS seconds FROM flow_logs GROUP BY ALL")
+def _(spark, d):
+    return flow_logs(spark, d).groupBy("event_date", "isp_id", "flow_type").agg(F.count("*").alias("flows"), F.sum("bytes").alias("bytes"), F.sum(A.seconds()).alias("seconds"))
+
+
+@query("j1_registry", "SELECT r.exporter_ip, d.name, COUNT(*) AS n FROM raw_flows r LEFT JOIN devices d USING (exporter_ip) GROUP BY ALL")
+def _(spark, d):
+    return I.join_registry(raw_flows(spark, d), devices(spark, d)).groupBy("exporter_ip", F.col("dev_name").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("j2_effective_rules", "SELECT id, coalesce(nullif(skip_dns, true), false) AS skip_dns, skip_private, coalesce(CASE WHEN skip_zero THEN NULL ELSE skip_zero END, true) AS skip_zero FROM devices")
+def _(spark, d):
+    known = devices(spark, d).withColumns({"skip_dns": F.when(~F.col("skip_dns"), False), "skip_zero": F.when(~F.col("skip_zero"), False)})
+    return I.effective_rules(known, {"skip_dns": False}).select("id", *I.RULES)
+
+
+@query("s10_quarantine", """, q AS (SELECT *, CASE WHEN dst_port = 53 THEN 70000 ELSE dst_port END AS bad_port, CASE WHEN protocol = 47 THEN NULL ELSE src_ip END AS bad_src FROM flow_logs)
+SELECT CASE WHEN bad_src IS NULL THEN 'bad source address' WHEN bad_port > 65535 THEN 'bad port' ELSE 'good' END AS reason, COUNT(*) AS n FROM q GROUP BY ALL""")
+def _(spark, d):
+    rows = flow_logs(spark, d).withColumns({"dst_port": F.when(F.col("dst_port") == 53, 70000).otherwise(F.col("dst_port")), "src_ip": F.when(F.col("protocol") != 47, F.col("src_ip"))})
+    good, bad = I.quarantine(rows)
+    return good.withColumn("reason", F.lit("good")).unionByName(bad).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@flows("r8_dedup_flows", "SELECT event_date, COUNT(*) AS n FROM (SELECT DISTINCT event_date, isp_id, device_id, start_s, src_ip, src_port, dst_ip, dst_port, exporter_ip, protocol, bytes FROM flow_logs) GROUP BY ALL")
+def _(df):
+    return I.dedup_flows(df).groupBy("event_date").agg(F.count("*").alias("n"))
+
+
+@query("a34_ingest_rates", "SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute_s, event_type AS outcome, COUNT(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("outcome"))
+    rows = e.withColumn("ts", F.timestamp_seconds(X.ist_seconds(F.col("ts")) + X.IST))
+    return I.rates(rows).select(F.unix_seconds("window_start").alias("minute_s"), "outcome", "n")
+
+
+# --- filters and scalars ---
+
+
+@query("f1_f4_predicates", f"""SELECT bytes = 0 AS zero, src_port = 53 OR dst_port = 53 AS dns, {PRIVATE.format("src_ip")} AS private_src, {PRIVATE.format("dst_ip")} AS private_dst,
+ {PRIVATE.format("src_ip")} AND {PRIVATE.format("dst_ip")} AS both_private, COUNT(*) AS n FROM raw_flows GROUP BY ALL""")
+def _(spark, d):
+    s, t = X.is_private(F.col("src_ip")), X.is_private(F.col("dst_ip"))
+    return raw_flows(spark, d).groupBy(X.is_zero_bytes(F.col("bytes")).alias("zero"), X.is_dns(F.col("src_port"), F.col("dst_port")).alias("dns"), s.alias("private_src"), t.alias("private_dst"), (s & t).alias("both_private")).agg(F.count("*").alias("n"))
+
+
+@flows("f10_scope_days", f"SELECT event_date, isp_id, COUNT(*) AS n FROM flow_logs WHERE {WINDOW} GROUP BY ALL")
+def _(df):
+    return S.scope_days(df, 2, 7, AS_OF).groupBy("event_date", "isp_id").agg(F.count("*").alias("n"))
+
+
+@flows("f11_bound_partitions", f"SELECT event_date, COUNT(*) AS n FROM flow_logs WHERE start_s BETWEEN {AS_OF_S - 90000} AND {AS_OF_S} GROUP BY ALL")
+def _(df):
+    return df.filter(S.bound_partitions(AS_OF_S - 90000, AS_OF_S)).groupBy("event_date").agg(F.count("*").alias("n"))
+
+
+@flows("f12_scope_isp", "SELECT 'director' AS role, isp_id, COUNT(*) AS n FROM flow_logs GROUP BY ALL UNION ALL SELECT 'user', isp_id, COUNT(*) FROM flow_logs WHERE isp_id = 3 GROUP BY ALL")
+def _(df):
+    both = [S.scope_isp(df, role, own).groupBy("isp_id").agg(F.count("*").alias("n")).withColumn("role", F.lit(role)) for role, own in (("director", None), ("user", 3))]
+    return both[0].unionByName(both[1])
+
+
+@flows("f13_today_only", f"SELECT isp_id, COUNT(*) AS n FROM flow_logs WHERE {TODAY} GROUP BY ALL")
+def _(df):
+    return S.today_only(df, AS_OF).groupBy("isp_id").agg(F.count("*").alias("n"))
+
+
+@flows("f14_recent_flows", f"SELECT isp_id, COUNT(*) AS n FROM flow_logs WHERE start_s > {AS_OF_S - 10800} GROUP BY ALL")
+def _(df):
+    return S.recent_flows(df, AS_OF_S).groupBy("isp_id").agg(F.count("*").alias("n"))
+
+
+@query("f15_archived_days_in_range", "SELECT day, rows FROM archived WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-16'")
+def _(spark, d):
+    lo = 1704412800  # 2024-01-05 00:00 UTC, 05:30 in IST
+    return S.archived_days_in_range(Fx.archived(spark, d), lo, lo + 11 * 86400).select("day", "rows")
+
+
+@query("f16_validate_devices", """, c AS (SELECT *, COUNT(*) OVER (PARTITION BY exporter_ip) AS same FROM (SELECT * FROM devices UNION ALL SELECT * REPLACE (id + 100000 AS id, 0 AS isp_id) FROM devices WHERE id % 50 = 0))
+SELECT isp_id, id, 'duplicate exporter address' AS problem FROM c WHERE same > 1 UNION ALL SELECT isp_id, id, 'no tenant' FROM c WHERE isp_id = 0
+UNION ALL SELECT isp_id, id, 'bad protocol' FROM c WHERE protocol = 'sflow' UNION ALL SELECT isp_id, id, 'bad profile' FROM c WHERE profile = 'unknown-box'
+UNION ALL SELECT isp_id, id, 'port out of range' FROM c WHERE id % 30 = 0""")
+def _(spark, d):
+    known = devices(spark, d)
+    twice = known.unionByName(known.filter("id % 50 = 0").withColumns({"id": F.col("id") + 100000, "isp_id": F.lit(0)}))
+    return G.validate(twice.withColumn("allowed_ports", F.when(F.col("id") % 30 == 0, F.array(F.lit(53), F.lit(70000))).otherwise(F.array(F.lit(443)))))
+
+
+@flows("x_text_functions", f"""SELECT DISTINCT {dotted("src_ip")} AS ip, {human("bytes * 1000")} AS volume, printf('%02d:%02d:%02d', packets * 97 // 3600, packets * 97 % 3600 // 60, packets * 97 % 60) AS dur,
+ least(bytes * 100 // greatest(packets * 1000, 1), 100)::VARCHAR || '%' AS pct, format('{{:,}}', bytes) AS grouped, floor(bytes / 7.0 * 10 + 0.5) / 10 AS one, {NAME} AS proto,
+ CASE upper({NAME}) WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 WHEN 'ICMP' THEN 1 ELSE 0 END AS number, CASE WHEN nat_public_port > 0 THEN nat_public_port::VARCHAR ELSE '' END AS port,
+ isp_id || '|' || {dotted("exporter_ip")} AS exporter_key, 'isp_id=' || isp_id || strftime(event_date, '/year=%Y/month=%m/day=%d') AS path FROM flow_logs""")
+def _(df):
+    return df.select(
+        X.inet_ntoa(X.inet_aton(X.inet_ntoa(F.col("src_ip")))).alias("ip"), X.human_bytes(F.col("bytes") * 1000).alias("volume"), X.duration(F.col("packets") * 97).alias("dur"), X.percent(F.col("bytes"), F.col("packets") * 1000).alias("pct"),
+        X.grouped(F.col("bytes")).alias("grouped"), X.round1(F.col("bytes") / F.lit(7.0)).alias("one"), X.protocol_name(F.col("protocol")).alias("proto"), X.protocol_number(X.protocol_name(F.col("protocol"))).alias("number"),
+        X.port_or_blank(F.col("nat_public_port")).alias("port"), X.exporter_key(F.col("isp_id"), F.col("exporter_ip")).alias("exporter_key"), X.archive_path(F.col("isp_id"), F.col("event_date")).alias("path"),
+    ).distinct()
+
+
+@flows("x_times", f"SELECT DISTINCT start_s, CAST({ist_date('start_s')} AS VARCHAR) || ' ' || {ist_clock('start_s')} AS text, start_s AS parsed, start_s + 19800 AS utc, ((start_s + 19800) % 86400 // 3600)::INT AS hour FROM flow_logs")
+def _(df):
+    s = X.epoch(F.col("flow_start"))
+    return df.select(s.alias("start_s"), X.ist_text(s).alias("text"), X.parse_time(X.ist_text(s)).alias("parsed"), X.parse_best_effort(X.ist_text(s)).alias("utc"), X.ist_hour(s).alias("hour")).distinct()
+
+
+@query("d15_pseudonymize", """, b AS (SELECT DISTINCT src_ip, [107, 49, (src_ip >> 24) & 255, (src_ip >> 16) & 255, (src_ip >> 8) & 255, src_ip & 255] AS bytes FROM raw_flows)
+SELECT src_ip, CAST(167772160 + (list_reduce(list_prepend(CAST(2166136261 AS BIGINT), bytes), lambda h, c: (xor(h, c) * 16777619) & 4294967295) & 16777215) AS BIGINT) AS pseudonym FROM b""")
+def _(spark, d):
+    return raw_flows(spark, d).select("src_ip").distinct().withColumn("pseudonym", P.pseudonym(F.col("src_ip"), b"k1"))
+
+
+# --- aggregates ---
+
+
+@flows("a1_summary", f"SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes, CAST(SUM(packets) AS BIGINT) AS packets, COUNT(DISTINCT device_id) AS devices FROM flow_logs WHERE {WINDOW}")
+def _(df):
+    return A.summary(df, 2, 7, AS_OF)
+
+
+@flows("a2_top_talkers", f"SELECT {dotted('src_ip')} AS src_ip, CAST(SUM(bytes) AS BIGINT) AS bytes, COUNT(*) AS flows FROM flow_logs f WHERE {ALL} GROUP BY f.src_ip ORDER BY SUM(bytes) DESC, f.src_ip LIMIT 10")
+def _(df):
+    return A.top_talkers(df, 0, 7, AS_OF)
+
+
+@flows("a3_per_device", f"SELECT isp_id, device_id, COUNT(*) AS flows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE {ALL} GROUP BY isp_id, device_id ORDER BY SUM(bytes) DESC, isp_id, device_id LIMIT 200")
+def _(df):
+    return A.per_device(df, 0, 7, AS_OF)
+
+
+@flows("a4_last_seen", f"SELECT isp_id, exporter_ip, MAX(start_s) AS last_s FROM flow_logs WHERE start_s > {AS_OF_S - 3 * 86400} GROUP BY ALL")
+def _(df):
+    return A.last_seen(df, 3, AS_OF_S)
+
+
+SCALARS = "SELECT COUNT(*) AS rows, COUNT(DISTINCT src_ip) AS subscribers, COUNT(DISTINCT device_id) AS devices, CAST(SUM(bytes) AS BIGINT) AS bytes, COUNT(DISTINCT nat_public_ip) AS nat_ips, CAST(floor(SUM(end_s - start_s) / COUNT(*)) AS BIGINT) AS mean_s FROM flow_logs"
+
+
+@flows("a5_dashboard_scalars", f"{SCALARS} WHERE {ALL}")
+def _(df):
+    return A.dashboard_scalars(df, 0, 7, AS_OF)
+
+
+@flows("a6_count_today", f"SELECT COUNT(*) AS n FROM flow_logs WHERE {TODAY}")
+def _(df):
+    return A.count_today(df, 0, AS_OF)
+
+
+HOURS = f"SELECT CAST(h AS INT) AS hour, COUNT(start_s) AS flows FROM range(24) t(h) LEFT JOIN (SELECT * FROM flow_logs WHERE {TODAY}) ON (start_s + 19800) % 86400 // 3600 = h GROUP BY ALL"
+
+
+@flows("a7_hourly_today", HOURS)
+def _(df):
+    return A.hourly_today(df, 0, AS_OF)
+
+
+MIX = f"""SELECT CAST(list_position(['TCP', 'UDP', 'ICMP', 'OTH'], name) AS INT) AS place, name, floor(n / CAST(SUM(n) OVER () AS DOUBLE) * 100 * 10 + 0.5) / 10 AS pct
+FROM (SELECT {NAME} AS name, COUNT(*) AS n FROM flow_logs WHERE {ALL} GROUP BY ALL)"""
+
+
+@flows("a8_proto_mix", MIX)
+def _(df):
+    return A.proto_mix(df, 0, 7, AS_OF)
+
+
+TOP_DEVICES = f"SELECT 'DEV-' || device_id AS device, COUNT(*) AS flows FROM flow_logs WHERE {ALL} GROUP BY device_id ORDER BY COUNT(*) DESC, device_id LIMIT 7"
+
+
+@flows("a9_top_devices", TOP_DEVICES)
+def _(df):
+    return A.top_devices(df, 0, 7, AS_OF)
+
+
+TOP_SUBS = f""", t AS (SELECT src_ip, CAST(SUM(bytes) AS BIGINT) AS b FROM flow_logs WHERE {ALL} GROUP BY src_ip ORDER BY b DESC, src_ip LIMIT 5)
+SELECT {dotted("src_ip")} AS label, {human("b")} AS value, least(b * 100 // MAX(b) OVER (), 100)::VARCHAR || '%' AS pct FROM t"""
+
+
+@flows("a10_top_subscribers", TOP_SUBS)
+def _(df):
+    return A.top_subscribers(df, 0, 7, AS_OF)
+
+
+@flows("a11_tenant_storage", "SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE isp_id = 2")
+def _(df):
+    return A.tenant_storage(df, 2)
+
+
+@flows("a12_retention_window", "SELECT MIN(event_date) AS first_day, MAX(event_date) AS last_day FROM flow_logs WHERE isp_id = 2")
+def _(df):
+    return A.retention_window(df, 2)
+
+
+@flows("a13_per_day", "SELECT event_date, COUNT(*) AS flows FROM flow_logs GROUP BY ALL ORDER BY event_date DESC LIMIT 30")
+def _(df):
+    return A.per_day(df)
+
+
+@flows("a14_days_older_than", "SELECT DISTINCT event_date FROM flow_logs WHERE event_date < DATE '2024-01-30' - 7")
+def _(df):
+    return A.days_older_than(df, 7, AS_OF)
+
+
+@flows("a24_search_count", f"SELECT COUNT(*) AS n FROM (SELECT 1 FROM flow_logs WHERE {FOUND} LIMIT 20)")
+def _(df):
+    return S.search_count(df, BY_PUBLIC, cap=20)
+
+
+@flows("a25_archive_counts", f"SELECT isp_id, COUNT(*) AS rows FROM flow_logs WHERE {TODAY} GROUP BY ALL")
+def _(df):
+    return A.archive_counts(df, AS_OF)
+
+
+@flows("a27_daily_summary", f"SELECT *, {human('bytes')} AS volume FROM (SELECT event_date, COUNT(*) AS rows, MIN(start_s) AS first_s, MAX(start_s) AS last_s, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs GROUP BY ALL ORDER BY event_date DESC LIMIT 14)")
+def _(df):
+    return A.daily_summary(df)
+
+
+@flows("a28_day_health", "SELECT COUNT(*) AS n FROM flow_logs WHERE event_date >= DATE '2024-01-30'")
+def _(df):
+    return A.day_health(df, AS_OF)
+
+
+@flows("a29_flow_types_by_device", "SELECT flow_type, COUNT(*) AS flows FROM flow_logs WHERE device_id = 3 GROUP BY ALL")
+def _(df):
+    return A.flow_types_by_device(df, 3)
+
+
+@flows("a30_device_probe", "SELECT COUNT(*) AS flows, MAX(start_s) AS last_s FROM flow_logs WHERE device_id = 3 AND flow_type = 'ipfix'")
+def _(df):
+    return A.device_probe(df, 3, "ipfix")
+
+
+@query("a31_active_exporters", "SELECT COUNT(*) AS n FROM devices WHERE enabled AND isp_id = 2")
+def _(spark, d):
+    return G.active_exporters(devices(spark, d), 2)
+
+
+@query("a32_next_device_id", ", m AS (SELECT isp_id, MAX(device_id) AS most FROM devices GROUP BY ALL) SELECT id, isp_id, CAST(most + row_number() OVER (PARTITION BY isp_id ORDER BY name, id) AS INT) AS device_id FROM devices JOIN m USING (isp_id) WHERE id % 7 = 0")
+def _(spark, d):
+    known = devices(spark, d)
+    return G.number_devices(known.filter("id % 7 = 0").drop("device_id"), known).select("id", "isp_id", "device_id")
+
+
+@query("a33_bundle_version")
+def _(spark, d):
+    return G.bundle_version(devices(spark, d))
+
+
+# --- rollup ---
+
+ROLLUP = f"""SELECT isp_id, event_date, ((start_s + 19800) % 86400 // 3600)::INT AS hour, device_id, COUNT(*) AS flows, CAST(SUM(bytes) AS BIGINT) AS bytes, CAST(SUM(packets) AS BIGINT) AS packets,
+ COUNT(*) FILTER (protocol = 6) AS tcp, COUNT(*) FILTER (protocol = 17) AS udp, COUNT(*) FILTER (protocol = 1) AS icmp, COUNT(*) FILTER (protocol NOT IN (1, 6, 17)) AS other, CAST(SUM(end_s - start_s) AS BIGINT) AS dur_sum"""
+
+
+@flows("a15_rollup_hourly", f"{ROLLUP} FROM flow_logs GROUP BY ALL")
+def _(df):
+    return R.rollup_hourly(df).drop("subs", "nat_ips")
+
+
+@flows("a16_rollup_subs", "SELECT isp_id, event_date, src_ip, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs GROUP BY ALL")
+def _(df):
+    return R.rollup_subs(df)
+
+
+@flows("a17_merge_rollup", f"{ROLLUP} FROM flow_logs GROUP BY ALL")
+def _(df):
+    parts = [R.rollup_hourly(df.filter(F.col("src_port") % 2 == i)) for i in (0, 1)]
+    return R.merge_rollup(parts[0].unionByName(parts[1])).drop("subs", "nat_ips")
+
+
+@flows("a18_rollup_scalars", f"SELECT rows, devices, bytes, mean_s FROM ({SCALARS} WHERE {ALL})")
+def _(df):
+    return R.scalars(R.rollup_hourly(df), 0, 7, AS_OF).drop("subscribers", "nat_ips")
+
+
+@flows("a18_rollup_distinct")
+def _(df):
+    return R.scalars(R.rollup_hourly(df), 0, 7, AS_OF)
+
+
+@flows("a19_rollup_today", f"SELECT COUNT(*) AS n FROM flow_logs WHERE {TODAY}")
+def _(df):
+    return R.today(R.rollup_hourly(df), 0, AS_OF)
+
+
+@flows("a20_rollup_hourly_today", HOURS)
+def _(df):
+    return R.hourly_today(R.rollup_hourly(df), 0, AS_OF)
+
+
+@flows("a21_rollup_top_devices", TOP_DEVICES)
+def _(df):
+    return R.top_devices(R.rollup_hourly(df), 0, 7, AS_OF)
+
+
+@flows("a22_rollup_top_subscribers", TOP_SUBS)
+def _(df):
+    return R.top_subscribers(R.rollup_subs(df), 0, 7, AS_OF)
+
+
+@flows("a23_rollup_proto_mix", MIX)
+def _(df):
+    return R.proto_mix(R.rollup_hourly(df), 0, 7, AS_OF)
+
+
+TICK = (AS_OF_S - 5 * 86400, AS_OF_S)
+
+
+@flows("r6_rollup_tick", f"{ROLLUP} FROM flow_logs WHERE received_s > {TICK[0]} AND received_s <= {TICK[1]} GROUP BY ALL")
+def _(df):
+    return R.rollup_hourly(R.rollup_tick(df, *TICK)).drop("subs", "nat_ips")
+
+
+@flows("r5_backfill_rollup", f"{ROLLUP} FROM flow_logs WHERE received_s <= {TICK[0]} GROUP BY ALL")
+def _(df):
+    return R.backfill(df, TICK[0])[0].drop("subs", "nat_ips")
+
+
+# --- search and pages ---
+
+
+@flows("f7_search", f"SELECT {SEARCHED} FROM flow_logs WHERE {FOUND}")
+def _(df):
+    return S.project_search(S.search(df, BY_PUBLIC))
+
+
+@flows("p6_project_search", f"SELECT {SEARCHED}, COUNT(*) AS n FROM flow_logs WHERE {TODAY} GROUP BY ALL")
+def _(df):
+    rows = S.project_search(S.today_only(df, AS_OF))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+@flows("p10_project_report", f"""SELECT priv_ip AS src_ip, CASE WHEN priv_port > 0 THEN priv_port::VARCHAR ELSE '' END AS src_port, dst_ip, CASE WHEN dst_port > 0 THEN dst_port::VARCHAR ELSE '' END AS dst_port,
+ pub_ip AS nat_ip, CASE WHEN pub_port > 0 THEN pub_port::VARCHAR ELSE '' END AS nat_port, time AS timestamp, proto FROM (SELECT {SEARCHED} FROM flow_logs WHERE {FOUND})""")
+def _(df):
+    return S.project_report(S.project_search(S.search(df, BY_PUBLIC)))
+
+
+RECENT = f"SELECT start_s, isp_id, device_id, {dotted('src_ip')} AS src_ip, src_port, {dotted('nat_public_ip')} AS nat_public_ip, nat_public_port, {dotted('dst_ip')} AS dst_ip, dst_port, {NAME} AS proto FROM"
+
+
+def first(where: str, n: int, offset: int = 0) -> str:
+    """The newest rows in the order of newest(): by the names of the stored columns."""
+    return f"(SELECT * FROM flow_logs WHERE {where} ORDER BY start_s DESC, bytes, received_s, device_id, dst_ip, dst_port, event_date, exporter_ip, end_s, flow_type, isp_id, nat_public_ip, nat_public_port, packets, protocol, src_ip, src_port LIMIT {n} OFFSET {offset})"
+
+
+@flows("t1_recent", f"{RECENT} {first(ALL, 25)}")
+def _(df):
+    return S.recent(df, 0, 7, AS_OF)
+
+
+@flows("t2_recent_records", f"SELECT {RECORD}, {dotted('dst_ip')} AS dest FROM {first(ALL, 50)}")
+def _(df):
+    return S.recent_records(df, 0, 7, AS_OF)
+
+
+@flows("t3_search_page", f"SELECT {SEARCHED} FROM {first(f'nat_public_ip = {X.ip("203.0.113.42")}', 50, 10)}")
+def _(df):
+    return S.search_page(df, LONGER, limit=500, offset=10)
+
+
+@flows("t5_report_rows", f"SELECT priv_ip AS src_ip, priv_port::VARCHAR AS src_port, dst_ip, dst_port::VARCHAR AS dst_port, pub_ip AS nat_ip, CASE WHEN pub_port > 0 THEN pub_port::VARCHAR ELSE '' END AS nat_port, time AS timestamp, proto, COUNT(*) OVER () = 30 AS truncated FROM (SELECT {SEARCHED} FROM {first(f'nat_public_ip = {X.ip("203.0.113.42")}', 30)})")
+def _(df):
+    return S.report_rows(df, LONGER, cap=30)
+
+
+@query("t6_list_audit", "SELECT * FROM audit WHERE isp_id = 2 ORDER BY id DESC LIMIT 100")
+def _(spark, d):
+    return Fx.audit(spark, d).filter("isp_id = 2").orderBy(F.desc("id")).limit(100)
+
+
+@query("t7_list_archived_days", "SELECT day, rows FROM archived ORDER BY day DESC LIMIT 5")
+def _(spark, d):
+    return L.list_archived_days(Fx.archived(spark, d), 5).select("day", "rows")
+
+
+@flows("t9_latest_inserted", "SELECT received_s, bytes FROM flow_logs ORDER BY received_s DESC, bytes LIMIT 5")
+def _(df):
+    return S.latest_inserted(df).select(X.epoch(F.col("created_at")).alias("received_s"), "bytes")
+
+
+@query("j5_name_devices", f""", n AS (SELECT device_id, max_by(name, id) AS name FROM devices GROUP BY ALL)
+SELECT {SEARCHED.replace("'DEV-' || device_id AS sub, device_id", "coalesce(name, 'DEV-' || device_id) AS sub, device_id")} FROM flow_logs LEFT JOIN n USING (device_id) WHERE {FOUND}""")
+def _(spark, d):
+    return S.name_devices(S.project_search(S.search(flow_logs(spark, d), BY_PUBLIC)), devices(spark, d))
+
+
+# --- registry, liveness, lifecycle ---
+
+
+@query("j3_resolve_policies", """, m AS (SELECT d.id, d.isp_id, d.capture_policy, d.enabled, CASE WHEN p.id IS NULL THEN d.skip_dns ELSE p.skip_dns END AS skip_dns,
+ CASE WHEN p.id IS NULL THEN d.skip_private ELSE p.skip_private END AS skip_private, CASE WHEN p.id IS NULL THEN d.skip_zero ELSE p.skip_zero END AS skip_zero,
+ row_number() OVER (PARTITION BY d.isp_id, d.id ORDER BY p.isp_id DESC NULLS LAST, p.id) AS nth FROM devices d LEFT JOIN policies p ON d.capture_policy = p.name AND p.isp_id IN (0, d.isp_id))
+SELECT id, isp_id, skip_dns, skip_private, skip_zero FROM m WHERE nth = 1""")
+def _(spark, d):
+    return G.resolve_policies(devices(spark, d), Fx.policies(spark, d)).select("id", "isp_id", *I.RULES)
+
+
+@query("j6_device_health", f""", s AS (SELECT isp_id, exporter_ip, MAX(start_s) AS last_s FROM flow_logs WHERE start_s > {AS_OF_S - 3 * 86400} GROUP BY ALL)
+SELECT d.isp_id, d.id, d.exporter_ip, last_s, CASE WHEN last_s IS NULL THEN 'nodata' WHEN {AS_OF_S} - last_s > 900 THEN 'silent' ELSE 'online' END AS status, coalesce({AS_OF_S} - last_s, 0) AS ago_s
+FROM devices d LEFT JOIN s USING (isp_id, exporter_ip)""")
+def _(spark, d):
+    return V.device_health(devices(spark, d), A.last_seen(flow_logs(spark, d), 3, AS_OF_S), AS_OF_S)
+
+
+@query("j7_archive_candidates", """, o AS (SELECT DISTINCT event_date AS day FROM flow_logs WHERE event_date < DATE '2024-01-30' - 7)
+SELECT day, CASE WHEN day IN (SELECT day FROM archived) THEN 'drop' ELSE 'export' END AS action FROM o""")
+def _(spark, d):
+    export, again = L.archive_candidates(flow_logs(spark, d), Fx.archived(spark, d).select("day"), 7, AS_OF)
+    return export.withColumn("action", F.lit("export")).unionByName(again.withColumn("action", F.lit("drop")))
+
+
+@query("j8_archive_plan", """SELECT event_date AS day, isp_id, COUNT(*) AS rows, CASE WHEN event_date IN (SELECT day FROM archived) THEN 'drop' ELSE 'export' END AS action
+FROM flow_logs WHERE event_date < DATE '2024-01-30' - 7 GROUP BY ALL""")
+def _(spark, d):
+    return L.archive_plan(flow_logs(spark, d), Fx.archived(spark, d), 7, AS_OF)
+
+
+@flows("m1_expire_days", "SELECT event_date, COUNT(*) AS n FROM flow_logs WHERE event_date + 10 > DATE '2024-01-30' GROUP BY ALL")
+def _(df):
+    return L.expire_days(df, 3, AS_OF, archive_after=8).groupBy("event_date").agg(F.count("*").alias("n"))
+
+
+@flows("p9_project_archive", f"""SELECT isp_id, event_date, device_id, {dotted("src_ip")} AS src_ip, {dotted("exporter_ip")} AS exporter_ip, CAST({ist_date("start_s - 19800")} AS VARCHAR) || ' ' || {ist_clock("start_s - 19800")} AS flow_start,
+ COUNT(*) AS n, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs f GROUP BY isp_id, event_date, device_id, f.src_ip, f.exporter_ip, start_s""")
+def _(df):
+    return L.project_archive(df).groupBy("isp_id", "event_date", "device_id", "src_ip", "exporter_ip", "flow_start").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("s14_upsert_archived_days", """, n AS (SELECT day, 9 AS objects, rows + 1 AS rows FROM archived WHERE day >= DATE '2024-01-10' UNION ALL SELECT DATE '2024-02-01', 9, 1)
+SELECT day, objects, rows FROM n UNION ALL SELECT day, objects, rows FROM archived WHERE day NOT IN (SELECT day FROM n)""")
+def _(spark, d):
+    old = Fx.archived(spark, d)
+    new = old.filter("day >= DATE '2024-01-10'").withColumns({"objects": F.lit(9), "rows": F.col("rows") + 1})
+    later = old.orderBy("day").limit(1).withColumns({"day": F.lit("2024-02-01").cast("date"), "objects": F.lit(9), "rows": F.lit(1).cast("long")})
+    return L.upsert_archived_days(old, new.unionByName(later)).select("day", "objects", "rows")
+
+
+@query("r9_liveness_transitions")
+def _(spark, d):
+    return V.transitions(liveness_ticks(spark, d), devices(spark, d), 6 * 3600, 12 * 3600)
+
+
+def liveness_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """A tick of every exporter every 3 hours of January, with the newest start that was stored by then."""
+    seen = flow_logs(spark, d).groupBy("isp_id", "exporter_ip", (F.floor(X.epoch(F.col("created_at")) / 10800) * 10800 + 10800).alias("tick_s")).agg(F.max(X.epoch(F.col("flow_start"))).alias("seen_s"))
+    every = devices(spark, d).select("isp_id", "exporter_ip", F.explode(F.sequence(F.lit(1704067200).cast("long"), F.lit(1704067200 + 31 * 86400).cast("long"), F.lit(10800).cast("long"))).alias("tick_s"))
+    return every.join(seen, ["isp_id", "exporter_ip", "tick_s"], "left")
