@@ -90,11 +90,13 @@ def archive_sweep(spark: SparkSession, hot_path: str, archived: DataFrame, base:
     """
     hot = spark.read.parquet(hot_path)
     export, again = archive_candidates(hot, archived, after, as_of)
+    export, again = export.orderBy("day").collect(), again.orderBy("day").collect()  # days, not rows
     out = []
-    for r in again.orderBy("day").collect():  # days, not rows
+    for r in again:
         drop_day(spark, hot_path, str(r["day"]))
         out.append((r["day"], 0, "already archived, dropped"))
-    for r in export.orderBy("day").collect():
+    for r in export:
+        hot = spark.read.parquet(hot_path)  # its files change with every day that is dropped
         status = archive_one_day(hot, str(r["day"]), base, fmt)
         n = status.agg(F.sum("rows"), F.max("status")).first()
         if not n[0] or n[1] != "archived":

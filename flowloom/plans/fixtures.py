@@ -93,6 +93,39 @@ def flow_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(raw_flows(spark, sf_dir), devices(spark, sf_dir))
 
 
+def wire(n, size: int):
+    """A number as so many big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(n.cast("long") if hasattr(n, "cast") else F.lit(n)), 2 * size, "0"))
+
+
+def datagrams_v5(raw: DataFrame) -> DataFrame:
+    """A version 5 datagram for every flow, whose start is 100 s before it was received."""
+    c, zero = F.col, lambda size: F.lit(bytes(size))
+    head = [wire(5, 2), wire(1, 2), wire(200000, 4), wire(c("received_s"), 4), zero(12)]
+    body = [
+        wire(c("src_ip"), 4), wire(c("dst_ip"), 4), zero(8), wire(c("packets"), 4), wire(c("bytes"), 4), wire(100000, 4), wire(100000 + c("dur_s") * 1000, 4),
+        wire(c("src_port"), 2), wire(c("dst_port"), 2), zero(2), wire(c("protocol"), 1), zero(9),
+    ]
+    return raw.select(F.xxhash64(*raw.columns).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(2055).alias("port"), F.concat(*head, *body).alias("payload"))
+
+
+#: Elements and lengths of the template that every datagram below brings along.
+IPFIX_TEMPLATE = [(8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (1, 8), (2, 8), (225, 4), (227, 2)]
+
+
+def datagrams_ipfix(raw: DataFrame) -> DataFrame:
+    """A version 10 datagram for every flow, with its template, padding and no times."""
+    c = F.col
+    fields = b"".join(ie.to_bytes(2, "big") + n.to_bytes(2, "big") for ie, n in IPFIX_TEMPLATE)
+    size = sum(n for _, n in IPFIX_TEMPLATE)
+    template = (2).to_bytes(2, "big") + (8 + len(fields)).to_bytes(2, "big") + (300).to_bytes(2, "big") + len(IPFIX_TEMPLATE).to_bytes(2, "big") + fields
+    head = [wire(10, 2), wire(16 + len(template) + 4 + size, 2), wire(c("received_s"), 4), F.lit(bytes(4)), wire(c("exporter_ip") % 7, 4), F.lit(template), wire(300, 2), wire(4 + size, 2)]
+    values = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes", "packets", "nat_public_ip", "nat_public_port"]
+    body = [wire(c(v), n) for v, (_, n) in zip(values, IPFIX_TEMPLATE)]
+    nth = F.monotonically_increasing_id()
+    return raw.select(F.xxhash64(*raw.columns, nth).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(4739).alias("port"), F.concat(*head, *body).alias("payload"))
+
+
 PRIVATE = "({0} BETWEEN 167772160 AND 184549375 OR {0} BETWEEN 2886729728 AND 2887778303 OR {0} BETWEEN 3232235520 AND 3232301055 OR {0} BETWEEN 1681915904 AND 1686110207 OR {0} BETWEEN 2130706432 AND 2147483647 OR {0} BETWEEN 2851995648 AND 2852061183)"
 
 

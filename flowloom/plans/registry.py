@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom import schemas
 from flowloom.functions import exprs as X
 from flowloom.operators import aggregates as A
+from flowloom.operators import decode as D
 from flowloom.operators import ingest as I
 from flowloom.operators import lifecycle as L
 from flowloom.operators import liveness as V
 from flowloom.operators import privacy as P
 from flowloom.operators import registry as G
 from flowloom.operators import rollup as R
+from flowloom.operators import sanitize as Z
 from flowloom.operators import search as S
+from flowloom.sources import tables as T
+from flowloom.streaming import streams
 
 from . import fixtures as Fx
+from . import reports as C
 from .fixtures import AS_OF, AS_OF_S, CTE, PRIVATE, devices, dotted, flow_logs, ist_clock, ist_date, raw_flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,3 +556,169 @@ def liveness_ticks(spark: SparkSession, d: str) -> DataFrame:
     seen = flow_logs(spark, d).groupBy("isp_id", "exporter_ip", (F.floor(X.epoch(F.col("created_at")) / 10800) * 10800 + 10800).alias("tick_s")).agg(F.max(X.epoch(F.col("flow_start"))).alias("seen_s"))
     every = devices(spark, d).select("isp_id", "exporter_ip", F.explode(F.sequence(F.lit(1704067200).cast("long"), F.lit(1704067200 + 31 * 86400).cast("long"), F.lit(10800).cast("long"))).alias("tick_s"))
     return every.join(seen, ["isp_id", "exporter_ip", "tick_s"], "left")
+
+
+# --- composite reports ---
+
+
+def pairs(*columns: str) -> str:
+    return "CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in sorted(columns)) + "}) AS VARCHAR)"
+
+
+REPORTED = {
+    "today": ("n", f"SELECT COUNT(*) AS n FROM flow_logs WHERE {TODAY}"),
+    "hourly": ("hour flows", HOURS),
+    "devices": ("device flows", f"SELECT * FROM ({TOP_DEVICES})"),
+}
+
+
+def reported(scalars: str) -> str:
+    """The sections that are small and exact, as stacked() gives them."""
+    parts = {"scalars": (scalars, f"SELECT * FROM ({SCALARS} WHERE {ALL})"), **REPORTED}
+    return " UNION ALL ".join(f"SELECT '{n}' AS section, {pairs(*c.split())} AS row FROM ({s})" for n, (c, s) in parts.items())
+
+
+@query("c1_dashboard", reported("rows subscribers devices bytes nat_ips mean_s"))
+def _(spark, d):
+    parts = C.dashboard(flow_logs(spark, d), 0, 7, AS_OF)
+    return C.stacked({k: parts[k] for k in ("scalars", "today", "hourly", "devices")})
+
+
+@query("c2_dashboard_from_rollup", reported("rows devices bytes mean_s"))
+def _(spark, d):
+    rows = flow_logs(spark, d)
+    parts = C.dashboard_from_rollup(R.rollup_hourly(rows), R.rollup_subs(rows), rows, 0, 7, AS_OF)
+    parts["scalars"] = parts["scalars"].drop("subscribers", "nat_ips")
+    return C.stacked({k: parts[k] for k in ("scalars", "today", "hourly", "devices")})
+
+
+@query("c3_flows_page")
+def _(spark, d):
+    return C.stacked(C.flows_page(flow_logs(spark, d), 0, 7, AS_OF))
+
+
+@query("c4_search_page", f"""SELECT 'total' AS section, to_json({{'capped': false, 'n': COUNT(*)}})::VARCHAR AS row FROM flow_logs WHERE nat_public_ip = {X.ip("203.0.113.42")}""")
+def _(spark, d):
+    return C.stacked({"total": C.search_page(flow_logs(spark, d), None, devices(spark, d), LONGER)["total"]})
+
+
+@query("c5_disclosure", f"""SELECT priv_ip AS src_ip, priv_port::VARCHAR AS src_port, dst_ip, dst_port::VARCHAR AS dst_port, pub_ip AS nat_ip,
+ CASE WHEN pub_port > 0 THEN pub_port::VARCHAR ELSE '' END AS nat_port, time AS timestamp, proto FROM (SELECT {SEARCHED} FROM flow_logs WHERE {FOUND})""")
+def _(spark, d):
+    return C.disclosure(flow_logs(spark, d), None, devices(spark, d), BY_PUBLIC)["cells"]
+
+
+@query("c6_retention_page", f"""SELECT 'storage' AS section, {pairs("rows", "bytes")} AS row FROM (SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE isp_id = 2)
+UNION ALL SELECT 'days', {pairs("event_date", "flows")} FROM (SELECT event_date, COUNT(*) AS flows FROM flow_logs WHERE isp_id = 2 GROUP BY ALL ORDER BY event_date DESC LIMIT 30)""")
+def _(spark, d):
+    parts = C.retention_page(flow_logs(spark, d), Fx.archived(spark, d), 2)
+    return C.stacked({k: parts[k] for k in ("storage", "days")})
+
+
+@query("c7_overview")
+def _(spark, d):
+    return C.stacked(C.overview(flow_logs(spark, d), raw_flows(spark, d), devices(spark, d), 2, AS_OF))
+
+
+@query("c8_device_list", f""", s AS (SELECT isp_id, exporter_ip, MAX(start_s) AS last_s FROM flow_logs WHERE start_s > {AS_OF_S - 3 * 86400} GROUP BY ALL)
+SELECT d.isp_id, d.id, d.name, last_s, CASE WHEN last_s IS NULL THEN 'nodata' WHEN {AS_OF_S} - last_s > 900 THEN 'silent' ELSE 'online' END AS status FROM devices d LEFT JOIN s USING (isp_id, exporter_ip)""")
+def _(spark, d):
+    return C.device_list(flow_logs(spark, d), devices(spark, d), AS_OF_S).select("isp_id", "id", "name", "last_s", "status")
+
+
+# --- archive round trips, decoding of datagrams made from the flows, streams ---
+
+
+@query("s9_s5_hot_table", "SELECT event_date, device_id, COUNT(*) AS n, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE event_date >= DATE '2024-01-25' GROUP BY ALL")
+def _(spark, d):
+    path = f"{folder(spark)}/hot"
+    T.write_flows(flow_logs(spark, d), path)
+    return T.read_flows(spark, path).filter("event_date >= DATE '2024-01-25'").groupBy("event_date", "device_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+COLD = f"SELECT isp_id, {dotted('src_ip')} AS src_ip, start_s, COUNT(*) AS n FROM flow_logs f WHERE event_date = DATE '2024-01-12' GROUP BY isp_id, f.src_ip, start_s"
+
+
+def cold(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+    base = f"{folder(spark)}/cold"
+    for day in ("2024-01-11", "2024-01-12"):
+        L.archive_day(flow_logs(spark, d), day, base, fmt)
+    return T.read_cold(spark, base, 0, ["2024-01-12"], fmt)
+
+
+@query("s11_s6_cold_parquet", COLD)
+def _(spark, d):
+    return cold(spark, d, "parquet").groupBy("isp_id", "src_ip", "start_s").agg(F.count("*").alias("n"))
+
+
+@query("s7_cold_csv", COLD)
+def _(spark, d):
+    return cold(spark, d, "csvgz").groupBy("isp_id", "src_ip", "start_s").agg(F.count("*").alias("n"))
+
+
+TWICE = f"SELECT {SEARCHED} FROM flow_logs WHERE {FOUND}"
+
+
+@query("f9_search_cold", f"SELECT isp_id, {dotted('src_ip')} AS src_ip, start_s FROM flow_logs WHERE event_date = DATE '2024-01-12' AND nat_public_ip = {X.ip('203.0.113.42')}")
+def _(spark, d):
+    return S.search_cold(cold(spark, d, "parquet"), LONGER).select("isp_id", "src_ip", "start_s")
+
+
+@query("u1_search_all", f"SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} UNION ALL SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} AND event_date = DATE '2024-01-12'")
+def _(spark, d):
+    return S.search_all(flow_logs(spark, d), cold(spark, d, "parquet"), LONGER)
+
+
+@query("t8_page_merged", f", u AS (SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} UNION ALL SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} AND event_date = DATE '2024-01-12') SELECT * FROM u ORDER BY time DESC, action, clock, date, dest, device_id, dst_ip, dst_port, priv_ip, priv_port, proto, pub_ip, pub_port, sub LIMIT 50 OFFSET 5")
+def _(spark, d):
+    return S.page_merged(flow_logs(spark, d), cold(spark, d, "parquet"), LONGER, 50, 5)
+
+
+@query("m3_archive_sweep", """, o AS (SELECT event_date AS day, COUNT(*) AS n FROM flow_logs WHERE event_date < DATE '2024-01-30' - 26 GROUP BY ALL)
+SELECT day, CASE WHEN day IN (SELECT day FROM archived) THEN 0 ELSE n END AS rows, CASE WHEN day IN (SELECT day FROM archived) THEN 'already archived, dropped' ELSE 'archived, dropped' END AS status FROM o""")
+def _(spark, d):
+    base = folder(spark)
+    T.write_flows(flow_logs(spark, d), f"{base}/hot")
+    return L.archive_sweep(spark, f"{base}/hot", Fx.archived(spark, d).select("day"), f"{base}/cold", after=26, as_of=AS_OF)
+
+
+@query("d1_decode_v5", """SELECT exporter_ip, src_ip, dst_ip, src_port, dst_port, protocol, bytes, packets, received_s - 100 AS start_s, received_s - 100 + dur_s AS end_s, COUNT(*) AS n FROM raw_flows GROUP BY ALL""")
+def _(spark, d):
+    decoded = D.to_raw_flows(D.decode_v5(Fx.datagrams_v5(raw_flows(spark, d))))
+    start = F.col("received_s") + F.col("start_off_s")
+    return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes", "packets", start.alias("start_s"), (start + F.col("dur_s")).alias("end_s")).agg(F.count("*").alias("n"))
+
+
+@query("d2_d12_decode_ipfix", """SELECT exporter_ip, src_ip, dst_ip, nat_public_ip, src_port, dst_port, nat_public_port, protocol, bytes, packets, received_s AS start_s, COUNT(*) AS n FROM raw_flows WHERE flow_type = 'ipfix' GROUP BY ALL""")
+def _(spark, d):
+    decoded = D.to_raw_flows(D.decode(Fx.datagrams_ipfix(raw_flows(spark, d).filter("flow_type = 'ipfix'"))))
+    start = F.col("received_s") + F.col("start_off_s")
+    return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "nat_public_ip", "src_port", "dst_port", "nat_public_port", "protocol", "bytes", "packets", start.alias("start_s")).agg(F.count("*").alias("n"))
+
+
+@query("d13_classify_datagrams", "SELECT 'ok' AS verdict, COUNT(*) AS n FROM raw_flows WHERE flow_type = 'ipfix' UNION ALL SELECT 'short', COUNT(*) FROM raw_flows WHERE flow_type = 'ipfix'")
+def _(spark, d):
+    whole = Fx.datagrams_ipfix(raw_flows(spark, d).filter("flow_type = 'ipfix'"))
+    cut = whole.withColumn("payload", F.substring("payload", 1, 9))
+    return D.classify_datagrams(whole.unionByName(cut)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("d14_sanitize", """SELECT CAST(NULL AS VARCHAR) AS reason, COUNT(*) AS datagrams, CAST(3 * COUNT(*) AS BIGINT) AS rewritten FROM raw_flows WHERE flow_type = 'ipfix'""")
+def _(spark, d):
+    return Z.statistics(Z.sanitize_datagrams(Fx.datagrams_ipfix(raw_flows(spark, d).filter("flow_type = 'ipfix'")), b"k1"))
+
+
+@query("r4_rollup_stream", f"{ROLLUP} FROM flow_logs GROUP BY ALL")
+def _(spark, d):
+    base = folder(spark)
+    T.write_flows(flow_logs(spark, d), f"{base}/hot", files=2)
+    stream = spark.readStream.schema(schemas.FLOW_LOGS).option("maxFilesPerTrigger", 40).parquet(f"{base}/hot")
+    q = streams.rollup_stream(stream, f"{base}/rollup", f"{base}/checkpoint", availableNow=True)
+    q.awaitTermination()
+    return streams.read_rollup(spark, f"{base}/rollup")[0].drop("subs", "nat_ips")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="flowloom-")
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
