@@ -3,7 +3,9 @@ shared folder, and array helpers for tasks that work on whole Arrow batches."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -198,8 +200,9 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished steps now rather than at some later collection of the
+    driver's garbage; what one collection finds unreachable is let go of by the next."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
