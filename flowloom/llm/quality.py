@@ -225,7 +225,8 @@ def exchanged(documents: DataFrame, model: dict, rate: float, id_col: str, text_
 
 
 def judged(documents: DataFrame, model: dict | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents, all columns and rows, with text_score, meta_score, score and keep (score of at least threshold).
+    """The documents, all columns and rows, with text_score, meta_score, score and keep (score of at least threshold),
+    which take the place of columns of those names.
 
     Null and empty texts have the features of an empty text. Without a model, and for tables without
     both classes of labels, scores are null and every row is kept.
@@ -233,7 +234,7 @@ def judged(documents: DataFrame, model: dict | None, threshold: float = 0.5, tex
     if model is None:
         none = F.lit(None).cast("double")
         return documents.withColumns({"text_score": none, "meta_score": none, "score": none, "keep": F.lit(True)})
-    columns = documents.columns
+    columns = [c for c in documents.columns if c.lower() not in ("text_score", "meta_score", "score", "keep")]
 
     def scan(batches):
         for batch in batches:

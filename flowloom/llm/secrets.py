@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: The patterns, in the order in which spans of one start are listed.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -102,12 +102,13 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", **options) -> DataFra
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = scan(documents, **options)
     longest_first = F.expr("array_sort(live, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
-    live = found.filter(F.size("live") > 0).select(F.col(id_col).alias("_id"), longest_first.alias("_live")).groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_set("_live"))).alias("_live"))
-    out = documents.join(live, documents[id_col] == F.col("_id"), "left")
-    text = F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(F.aggregate("_live", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark))))
+    key, values = unused(documents, "of"), unused(documents, "values")
+    live = found.filter(F.size("live") > 0).select(F.col(id_col).alias(key), longest_first.alias(values)).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set(values))).alias(values))
+    out = documents.join(live, documents[id_col] == F.col(key), "left")
+    text = F.when(F.col(values).isNull(), F.col(text_col)).otherwise(F.aggregate(values, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark))))
     changes = {text_col: text}
     if "n_chars" in documents.columns:
-        changes["n_chars"] = F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+        changes["n_chars"] = F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return out.withColumns(changes).select(*documents.columns)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, written
+from .common import LOWER, unused, written
 from .components import components
 
 TABLE = bytes(LOWER)
@@ -215,10 +215,11 @@ def one_of_each(documents: DataFrame, size: int = 5, radius: int = 2, id_col: st
     Of rows that repeat that id one stays. Rows with a null id stay only where no row of their component
     has an id.
     """
-    kept = classes(documents, size, radius, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
-    rows = documents.join(kept, documents[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    key, place = unused(documents, "kept"), unused(documents, "nth")
+    kept = classes(documents, size, radius, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key))
+    rows = documents.join(kept, documents[id_col].eqNullSafe(F.col(key)), "left_semi")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*documents.columns)))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    return rows.withColumn(place, nth).filter(F.col(place) == 1).drop(place)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

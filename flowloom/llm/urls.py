@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 WORDS = 8
 #: Bits for each listed key; about one key in a thousand passes by mistake.
 BITS_PER_KEY = 16
@@ -53,11 +55,11 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def listed(df: DataFrame, key: str, keys: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df and a boolean `listed`: whether column `key` is among the values of `keys` (its only column).
+    """df and a boolean `listed`, in place of a column of that name: whether column `key` is among the values of `keys` (its only column).
 
     Rows stay as they are, repeated ones too; a null key isn't listed. An empty list lists nothing.
     """
-    name = keys.columns[0]
+    name, hit = keys.columns[0], unused(df, "hit")
     keys = keys.select(F.col(name).alias("_listed")).filter(F.col("_listed").isNotNull()).distinct()
     size = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_listed")), F.lit(0)).alias("bytes")).first()
     if not size["n"]:
@@ -75,8 +77,8 @@ def listed(df: DataFrame, key: str, keys: DataFrame, broadcast_bytes: int = BROA
     for i in range(WORDS):
         passed = passed & (F.col(f"w{i}").bitwiseAND(F.col(f"_b{i}")) == F.col(f"_b{i}"))
     possible = probes.join(filters, "block").filter(passed).select("_key")
-    hits = possible.join(exact, F.col("_key") == F.col("_listed"), "left_semi").select(F.col("_key").alias("_hit"))
-    return df.join(hits, F.col(key) == F.col("_hit"), "left").withColumn("listed", F.col("_hit").isNotNull()).drop("_hit")
+    hits = possible.join(exact, F.col("_key") == F.col("_listed"), "left_semi").select(F.col("_key").alias(hit))
+    return df.join(hits, F.col(key) == F.col(hit), "left").withColumn("listed", F.col(hit).isNotNull()).drop(hit)
 
 
 def rule_for(host_col: Column, path_col: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
