@@ -230,7 +230,7 @@ def removals(documents: DataFrame, length: int = 50, core: int = CORE, id_col: s
     """(doc_id, ranges): for documents with something to remove the ranges of string starts, as packed pairs."""
     spark = documents.sparkSession
     roll, width = Rolling(11), shuffle_partitions(documents.sparkSession)
-    buckets = 1 << (8 * width - 1).bit_length()
+    buckets = 1 << (2 * width - 1).bit_length()  # ranges; every batch of rows sends one packed row to each
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     sorted_ = source.mapInArrow(lambda batches: triples(batches, roll, length, core, buckets), ROWS).repartition(width, "bucket").sortWithinPartitions("bucket")
     found = written(sorted_.mapInArrow(lambda batches: named(batches, buckets), ROWS), "suffix-names")
