@@ -92,7 +92,7 @@ def part_value(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 
 
 def allocate(sample: np.ndarray, total: int, parts: list[list[int]], radius: int) -> tuple[list[int], float]:
-    """(thresholds, estimated probes and candidates) with the least cost, their sum being radius - parts + 1."""
+    """(thresholds of 2 at most, estimated probes and candidates) with the least cost, their sum being radius - parts + 1."""
     costs = []
     for bits in parts:
         value = part_value(sample, bits)
@@ -100,8 +100,8 @@ def allocate(sample: np.ndarray, total: int, parts: list[list[int]], radius: int
         own, counts = np.unique(value, return_counts=True)
         row = [0.0]
         width = len(bits)
-        for t in range(radius + 1):
-            probes = float(sum(len(list(combinations(range(width), k))) for k in range(t + 1))) if t < 3 else float(width**t)
+        for t in range(min(radius, 2) + 1):
+            probes = float(sum(len(list(combinations(range(width), k))) for k in range(t + 1)))
             if t == 0:
                 met = float((counts.astype(float) ** 2).sum() - len(sample)) / 2
             else:  # values within t bits, counted at the sample's own values
@@ -116,12 +116,12 @@ def allocate(sample: np.ndarray, total: int, parts: list[list[int]], radius: int
     for row in costs:
         step: dict[int, tuple[float, list[int]]] = {}
         for spent, (cost, chosen) in best.items():
-            for t in range(-1, radius + 1):
+            for t in range(-1, min(radius, 2) + 1):
                 new = (cost + row[t + 1], [*chosen, t])
                 if spent + t not in step or new < step[spent + t]:
                     step[spent + t] = new
         best = step
-    cost, chosen = best[wanted]
+    cost, chosen = best.get(wanted, (float("inf"), []))
     return chosen, cost
 
 

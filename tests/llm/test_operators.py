@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.llm import components, decontaminate, lm, packing, quality, secrets, simhash, suffixes, topk, urls, warc
+from flowloom.llm import components, decontaminate, lm, packing, quality, secrets, simhash, similar, suffixes, topk, urls, warc
 from flowloom.llm.common import shared_dir
 from flowloom.llm.queries import QUERIES, SQL
 
@@ -125,6 +125,27 @@ def test_one_of_each(edges, nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_similar_documents(spark, monkeypatch, edges, nothing, hot):
+    monkeypatch.setattr(similar.candidates, "__defaults__", (hot,))
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    rows, other = [(0, " ".join(base))], [f"v{i}" for i in rng.integers(0, 5000, 300)]
+    for i in range(1, 30):
+        copy = list(base)
+        for j in rng.integers(0, 400, 4):
+            copy[j] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    far = [w if i % 8 else f"x{i}" for i, w in enumerate(other)]
+    rows += [(100, " ".join(other)), (101, " ".join(far)), (102, " ".join(other)), (103, "a b c"), (104, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.one_of_each(df).collect()) == [0, 100, 101, 103, 104]
+    found = similar.links(df, similarity=0.3).filter("a = 100 AND b = 101").collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (other, far)]
+    assert all(abs(r.similarity - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-9 for r in found)
+    assert similar.one_of_each(edges).columns == edges.columns and similar.one_of_each(nothing).count() == 0
+
+
 # 5
 
 BASE = {

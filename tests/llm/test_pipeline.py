@@ -1,10 +1,12 @@
 """Each stage on the small table, against what its operator says of the stage's own input."""
 
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from flowloom.llm import decontaminate, secrets, simhash
+from flowloom.llm import decontaminate, secrets
 from flowloom.llm.common import written
 
 
@@ -20,8 +22,14 @@ def test_stages(spark, sf_dir, documents, pairs):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     right = labels.filter("quality = 1 AND toxic = 0").join(good, "doc_id", "left_semi").count()
     assert right > 0.9 * labels.filter("quality = 1 AND toxic = 0").count()
-    firsts = {c for _, _, c in simhash.by_brute_force(pairs(good, "doc_id", "text"), size=5, radius=2)}
-    assert ids(distinct) == firsts
+    texts = {d: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for d, t in pairs(good, "doc_id", "text")}
+    grams = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in texts.items()}
+    alike = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    pairs_ = [(a, b) for a in grams for b in grams if a < b and alike(a, b)]
+    gone = ids(good) - ids(distinct)
+    # Whatever goes has a near duplicate of a smaller id; candidates are found by fingerprints, so a few links may be missed.
+    assert gone <= {b for _, b in pairs_}
+    assert sum(a not in gone and b not in gone for a, b in pairs_) <= 0.1 * len(pairs_)
     items = pairs(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
     assert ids(clean) == {r[0] for r in decontaminate.by_brute_force(pairs(distinct, "doc_id", "text"), items) if not r[5]}
     assert ids(safe) == ids(clean)
