@@ -82,7 +82,10 @@ def template_events(sets: DataFrame) -> DataFrame:
 
 
 def template_state(datagrams: DataFrame) -> DataFrame:
-    """What each exporter's templates do, with state that expires after 30 idle minutes; set STATEFUL on the session."""
+    """What each exporter's templates do, with state that expires after 30 idle minutes; set STATEFUL on the session.
+
+    Expiry runs in batches without rows, so a query on this never ends by itself, not even under availableNow.
+    """
     rows = template_events(D.split_sets(datagrams))
     return rows.groupBy("exporter_ip", "domain").transformWithStateInPandas(Templates(), TEMPLATE_EVENTS, "Append", "ProcessingTime")
 
@@ -131,4 +134,4 @@ class Liveness(StatefulProcessor):
 def liveness_stream(ticks: DataFrame, devices: DataFrame, silence_s: int = 900, remind_s: int = 0) -> DataFrame:
     """Alerts as ticks arrive; devices are read anew with each micro-batch by the stream-static join."""
     live = devices.filter("enabled").select("isp_id", "exporter_ip").distinct()
-    return ticks.join(live, ["isp_id", "exporter_ip"], "left_semi").groupBy("isp_id", "exporter_ip").transformWithStateInPandas(Liveness(silence_s, remind_s), LIVENESS_EVENTS, "Append", "ProcessingTime")
+    return ticks.join(live, ["isp_id", "exporter_ip"], "left_semi").groupBy("isp_id", "exporter_ip").transformWithStateInPandas(Liveness(silence_s, remind_s), LIVENESS_EVENTS, "Append", "None")
