@@ -16,7 +16,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": suffixes.SQL,
     "op3_url_filter": urls.SQL,
     "op6_warc": warc.SQL,
     "op7_norm_topk": topk.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
