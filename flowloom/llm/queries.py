@@ -18,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_suffix_dedup": suffixes.SQL,
     "op3_url_filter": urls.SQL,
+    "op5_secrets": secrets.SQL,
     "op6_warc": warc.SQL,
     "op7_norm_topk": topk.SQL,
     "op10_decontaminate": decontaminate.SQL,

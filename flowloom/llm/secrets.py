@@ -119,3 +119,33 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
         "doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         F.size("live").cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_examples"),
     )
+
+
+def _sql_spans(kind: str, pattern: str, group: int, least: int, more: str = "true") -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {KINDS.index(kind)} AS nth, '{kind}' AS kind, start, start + len(whole[i]) AS stop, val[i] AS value FROM (
+  SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start FROM (
+    SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (
+      SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS val FROM t)))
+WHERE len(val[i]) >= {least} AND {more}"""
+
+
+SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '-') AS repository, coalesce(source, '-') || '/' || coalesce(lang, '-') AS owner FROM documents),
+base AS ({_sql_spans("assign", ASSIGN, 1, ASSIGN_LEAST)} UNION ALL {_sql_spans("access", ACCESS, 0, 18)} UNION ALL {_sql_spans("hex", HEX, 0, 16)}),
+tokens AS ({_sql_spans("live", "[A-Za-z0-9+/_=-]{20,}", 0, 20, "regexp_matches(val[i], '[0-9]') AND regexp_matches(val[i], '[A-Za-z]')")}),
+seen AS (SELECT DISTINCT doc_id, value FROM (SELECT doc_id, value FROM base UNION ALL SELECT doc_id, value FROM tokens)),
+judged AS (SELECT value, count(DISTINCT owner) <= 2 AND count(DISTINCT repository) <= 2 AS is_live FROM seen JOIN t USING (doc_id) GROUP BY value),
+counts AS (SELECT doc_id, count(*) FILTER (is_live) AS n_live, count(*) FILTER (NOT is_live) AS n_examples FROM seen JOIN judged USING (value) GROUP BY doc_id),
+added AS (
+  SELECT k.* FROM tokens k JOIN judged USING (value) WHERE is_live
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = k.doc_id AND b.start < k.stop AND k.start < b.stop)
+),
+listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans FROM base GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(l.spans, '')) AS base_sha256,
+  coalesce(e.spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM t LEFT JOIN listed l USING (doc_id) LEFT JOIN every e USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
