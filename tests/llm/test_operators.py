@@ -146,6 +146,44 @@ def test_similar_documents(spark, monkeypatch, edges, nothing, hot):
     assert similar.one_of_each(edges).columns == edges.columns and similar.one_of_each(nothing).count() == 0
 
 
+def linked_by_brute_force(rows, similarity=0.8):
+    """{id: smallest id that pairs of the similarity lead to}."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in ((d, lower(t).split()) for d, t in rows)}
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {d: top(d) for d in sets}
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+def test_similar_crowds_are_compared_whole(spark, monkeypatch, hot):
+    """Families whose members share 0.8 with some others only, of more members than `hot`, and a line that all have."""
+    monkeypatch.setattr(similar.candidates, "__defaults__", (hot,))
+    monkeypatch.setattr(similar, "SHARE", 8)
+    rng, rows = np.random.default_rng(11), []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for k in range(40):
+            own = list(base)
+            for j in rng.integers(0, 120, 3):  # two changed copies share about 0.77, some more and some less
+                own[j] = f"x{family}y{k}z{j}"
+            rows.append((1000 * k + family, " ".join(own + ["one line that all of the pages have"])))
+    wanted = linked_by_brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: r.component for r in components.components(similar.links(df)).collect()}
+    assert {d: found.get(d, d) for d in wanted} == wanted
+    assert 4 < len(set(wanted.values())) < len(rows)
+
+
 # 5
 
 BASE = {
