@@ -184,6 +184,21 @@ def test_similar_crowds_are_compared_whole(spark, monkeypatch, hot):
     assert 4 < len(set(wanted.values())) < len(rows)
 
 
+def test_similar_keeps_documents_without_a_verified_partner(spark, nothing):
+    """Boilerplate brings fingerprints together, not shingles; a document that goes keeps its links."""
+    line = " ".join(f"b{i}" for i in range(11)) + " "
+    rows = [(i, line * 50 + " ".join(f"d{i}w{j}" for j in range(100))) for i in range(30)]
+    chain = [f"c{j}" for j in range(200)]
+    for k, changed in enumerate((0, 4, 8)):  # A and B share 0.8, B and C do, A and C do not
+        rows.append((100 + k, " ".join(f"n{j}" if j in range(0, 7 * changed, 7) else w for j, w in enumerate(chain))))
+    wanted = linked_by_brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.one_of_each(df).collect()) == sorted(set(wanted.values())) == [*range(30), 100]
+    again = [(None, "p q r"), (None, "P q  r"), (1, "s t u v w"), (1, "s t u v w"), (1, "other text"), (2, "p q r"), (None, "alone")]
+    kept = similar.one_of_each(spark.createDataFrame(again, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "other text"), (1, "s t u v w"), (2, "p q r"), (None, "alone")]
+
+
 # 5
 
 BASE = {
