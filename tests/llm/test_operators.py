@@ -199,6 +199,18 @@ def test_similar_keeps_documents_without_a_verified_partner(spark, nothing):
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "other text"), (1, "s t u v w"), (2, "p q r"), (None, "alone")]
 
 
+def test_similar_within_one_fingerprint_and_beyond(spark):
+    """Pairs among documents of one fingerprint that are unlike the first, and equal sets of unlike fingerprints."""
+    line = " ".join(f"b{i}" for i in range(11)) + " "
+    page = lambda i, times: line * times + " ".join(f"d{i}w{j}" for j in range(100))
+    rows = [(0, page(0, 200)), (1, page(1, 200)), (2, page(1, 200) + " end"), (3, page(2, 2)), (4, page(2, 50)), (5, page(3, 200))]
+    fps = [simhash.fingerprint(t.encode(), 2) for _, t in rows]
+    assert fps[0] == fps[1] == fps[2] and (fps[3] ^ fps[4]).bit_count() > 6
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.a, r.b) for r in similar.links(df).collect()} == {(1, 2), (3, 4)}
+    assert sorted(r.doc_id for r in similar.one_of_each(df).collect()) == [0, 1, 3, 5]
+
+
 # 5
 
 BASE = {
