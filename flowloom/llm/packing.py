@@ -11,6 +11,7 @@ length, and joins the pattern, copy and place which that rank falls in.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 
@@ -76,15 +77,19 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 class Pieces:
     """Token ids of texts. Byte-level BPE never joins across the start of a run of white space, so ids are
-    looked up by runs of white space and the word after them, each distinct one tokenized once."""
+    looked up by runs of white space and the word after them, each distinct one tokenized once. Texts with an
+    added token of the tokenizer, which is matched anywhere in a text, are left to the tokenizer itself."""
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, tokenizer: str | None = None):
         import regex
         import tiktoken
+        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
         self.encoder = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.odd, self.roll = regex.compile(ODD_SPACE), Rolling(9)
+        self.tokenizer = Tokenizer.from_file(tokenizer) if tokenizer else None
+        self.added = [t["content"] for t in json.load(open(tokenizer, "rb"))["added_tokens"]] if tokenizer else []
         self.clear()
 
     def clear(self) -> None:
@@ -100,6 +105,12 @@ class Pieces:
         self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
         self.ids = np.concatenate([self.ids, ids])
 
+    def whole(self, text: str) -> list[int] | None:
+        """The ids of a text that has to be tokenized whole."""
+        if any(t in text for t in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.encoder.encode_ordinary(text) if self.odd.search(text) else None
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids up to each row's end from 0) for rows of ordinary white space."""
         inside = NOT_SPACE[data]
@@ -124,21 +135,24 @@ class Pieces:
         return self.ids[ragged(self.at[place], size)], upto[np.searchsorted(first, offsets)]
 
 
-def tokenized_pieces(documents: DataFrame, vocabulary: str, pattern: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids and end_id, cut at each `size` ids."""
+def tokenized_pieces(documents: DataFrame, vocabulary: str, pattern: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids and end_id, cut at each `size` ids.
+
+    `tokenizer` is the tokenizers file of the same vocabulary, whose added tokens count as such in texts.
+    """
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        pieces = Pieces(vocabulary, pattern)
+        pieces = Pieces(vocabulary, pattern, tokenizer)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in texts(column, 1 << 20):
-                odd = {}
-                if (data >= 0x80).any() or (data < 0x20).any():
+                odd, raw = {}, data.tobytes()
+                if (data >= 0x80).any() or (data < 0x20).any() or any(t.encode() in raw for t in pieces.added):
                     for i in range(hi - lo):
-                        own = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-                        if pieces.odd.search(own):
-                            odd[i] = np.array(pieces.encoder.encode_ordinary(own), np.uint32)
+                        own = pieces.whole(raw[offsets[i] : offsets[i + 1]].decode())
+                        if own is not None:
+                            odd[i] = np.array(own, np.uint32)
                 found, upto = pieces.encode(data, offsets)
                 rows = []
                 for i in range(hi - lo):
@@ -175,17 +189,17 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("lo")).drop("share", "base", "rank", "lo", "hi", "sequence")
 
 
-def packed(documents: DataFrame, vocabulary: str, pattern: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(documents: DataFrame, vocabulary: str, pattern: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id are documents of their own.
     A sequence shorter than `size` is to be padded.
     """
-    cut = written(tokenized_pieces(documents, vocabulary, pattern, size, end_id, id_col, text_col), "pieces")
+    cut = written(tokenized_pieces(documents, vocabulary, pattern, size, end_id, id_col, text_col, tokenizer), "pieces")
     return pack(cut, size).select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))

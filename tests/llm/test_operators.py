@@ -344,6 +344,19 @@ def test_packing(which, request, pairs):
     assert max(filled.values()) <= 1024
 
 
+def test_packing_of_added_tokens(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 50256 in encode.encode("hello <|endoftext|> world", add_special_tokens=False).ids
+    texts = ["hello <|endoftext|> world", "plain", "<|endoftext|>", "a<|endoftext|><|endoftext|>\u2003b é", "<|endoftext| >", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in packing.op9_packing(spark, str(tmp_path)).collect():
+        ids = np.array(encode.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (r.start, r.length, r.ids_crc32, r.doc_tokens) == (0, len(ids), zlib.crc32(ids.tobytes()), len(ids))
+
+
 def test_packing_by_histogram():
     counts = {1024 - 7 * i: 10**9 + i for i in range(1, 140)} | {1: 10**12, 512: 3}
     patterns = packing.pack_histogram(counts)
