@@ -3,7 +3,8 @@
 One view reads the text (which words it has and its shape), the other only the
 metadata of the page (language, source, length). Each is a logistic regression
 fitted on labelled rows. In every round both judge all documents; where one view
-is confident, its verdict becomes a label for the other. In the end each view is
+is confident, its verdict becomes a label for the other. Such labels are counted
+by feature over all documents; none is drawn. In the end each view is
 calibrated on labelled rows that it was not fitted on, and a last regression on
 the two calibrated scores judges every document.
 
@@ -14,18 +15,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, U64, Rolling, byte_set, mix, ragged, texts, words
 
-#: Bounds of the fit, in rows: labelled documents, and documents with the other view's label in each round.
+#: Bound of the fit, in rows: labelled documents.
 LABEL_ROWS = 16000
-PSEUDO_ROWS = 4000
 WIDTH = 1 << 16
 SHAPES = 512
 CELLS = 4096
-CONFIDENT = 0.97
+#: A view is confident beyond this probability of a class, or in the share SUREST of its calibrated scores on each side.
+CONFIDENT, SUREST = 0.97, 0.05
 LINE = ~byte_set([(0x0A, 0x0A), (0x0D, 0x0D)])
 UPPER, DIGIT, SYMBOL = byte_set([(65, 90)]), byte_set([(48, 57)]), byte_set([(33, 47), (58, 64), (91, 96), (123, 126)])
 
@@ -74,13 +76,22 @@ def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[ends])
 
 
-def fit(index: np.ndarray, ends: np.ndarray, label: np.ndarray, weight: np.ndarray, width: int, rounds: int = 200, decay: float = 3e-3) -> np.ndarray:
+def fit(index: np.ndarray, ends: np.ndarray, label: np.ndarray, weight: np.ndarray, width: int, rounds: int = 200, decay: float = 3e-3, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Weights and, last, the intercept of a logistic regression on presence features, each scaled by its
-    smoothed log ratio of classes, by full gradient steps with Adam."""
+    smoothed log ratio of classes, by full gradient steps with Adam.
+
+    `more` are rows beyond those given, of which only counts are known: (2, width) rows by class and feature,
+    and rows by class. They count in the ratios, a class as much as a quarter of its given rows at most.
+    """
     row = np.repeat(np.arange(len(label)), np.diff(ends))
-    good = np.bincount(index, weights=(weight * label)[row], minlength=width) + 1
-    bad = np.bincount(index, weights=(weight * (1 - label))[row], minlength=width) + 1
-    ratio = np.log(good / ((weight * label).sum() + 2)) - np.log(bad / ((weight * (1 - label)).sum() + 2))
+    seen = [np.bincount(index, weights=(weight * y)[row], minlength=width) for y in (1 - label, label)]
+    total = [(weight * y).sum() for y in (1 - label, label)]
+    if more is not None:
+        for k in (0, 1):
+            part = min(1.0, total[k] / 4 / max(1.0, more[1][k]))
+            seen[k], total[k] = seen[k] + part * more[0][k], total[k] + part * more[1][k]
+    bad, good = (x + 1 for x in seen)
+    ratio = np.log(good / (total[1] + 2)) - np.log(bad / (total[0] + 2))
     scale = np.where((good + bad) > 4, ratio, 0.0)
     x, w, b = scale[index], np.full(width, 0.1), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -149,12 +160,13 @@ def features(documents: DataFrame, roll: Rolling, text_col: str) -> DataFrame:
     return documents.select(F.col(text_col).alias("text"), F.array(*metadata_features()).alias("meta"), "label", "calibrates").mapInArrow(scan, "features binary, meta array<int>, label int, calibrates boolean")
 
 
-def trained(documents: DataFrame, labels: DataFrame, rounds: int = 2, label_rows: int = LABEL_ROWS, pseudo_rows: int = PSEUDO_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
+def trained(documents: DataFrame, labels: DataFrame, rounds: int = 2, label_rows: int = LABEL_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """The model, or None where the labels don't have both classes.
 
     At most label_rows labelled documents are fitted on, those with the smallest hashes of their ids; a
-    quarter of them only calibrates. The text view takes at most about pseudo_rows labels of the other
-    view in each round, by hash again; the metadata view takes those of all documents, as counts.
+    quarter of them only calibrates. Each view takes the other's confident labels of all documents, as counts.
+    The model's "exchanged" has for each round the labels given by the text view and by the metadata view,
+    each as [bad, good].
     """
     roll = Rolling(21)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
@@ -166,21 +178,11 @@ def trained(documents: DataFrame, labels: DataFrame, rounds: int = 2, label_rows
     fits, checks = np.flatnonzero(~sample.calibrates), np.flatnonzero(sample.calibrates)
     if min(len(set(sample.label[fits])), len(set(sample.label[checks]))) < 2:
         return None
-    n_docs = documents.count()
     ones = np.ones(len(fits))
-    pseudo_text: list[tuple[np.ndarray, float]] = []
-    counts = np.zeros((0, 5))
-    model: dict = {"roll": roll}
+    more, counts = None, np.zeros((0, 5))
+    model: dict = {"roll": roll, "exchanged": []}
     for step in range(rounds + 1):
-        index, ends = sample.rows(fits)
-        label, weight = sample.label[fits], ones
-        if pseudo_text:
-            added = [x for x, _ in pseudo_text]
-            index = np.concatenate([index, *added])
-            ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in added])])
-            label = np.concatenate([label, [y for _, y in pseudo_text]])
-            weight = np.concatenate([weight, np.full(len(added), 0.25)])
-        model["text"] = fit(index, ends, label, weight, WIDTH)
+        model["text"] = fit(*sample.rows(fits), sample.label[fits], ones, WIDTH, more=more)
         meta, label, weight = sample.meta[fits], sample.label[fits], ones
         if len(counts):
             # All documents together weigh as much as the labelled ones.
@@ -191,37 +193,54 @@ def trained(documents: DataFrame, labels: DataFrame, rounds: int = 2, label_rows
         model["platt_text"], model["platt_meta"] = fit_dense(text[:, None], truth), fit_dense(other[:, None], truth)
         if step == rounds:
             break
-        pseudo_text, counts = exchanged(documents, model, pseudo_rows / max(1, n_docs), id_col, text_col)
+        model["bars"] = [bars(x) for x in calibrated(model, text, other)]
+        more, counts = exchanged(documents, model, text_col)
+        by_text = [int(counts[counts[:, 3] == k, 4].sum()) for k in (0, 1)]
+        model["exchanged"].append({"text": by_text, "meta": more[1].astype(int).tolist()})
     p, q = calibrated(model, text, other)
     odds = lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
     model["both"] = fit_dense(np.column_stack([odds(p), odds(q)]), truth)
     return model
 
 
-def exchanged(documents: DataFrame, model: dict, rate: float, id_col: str, text_col: str) -> tuple[list, np.ndarray]:
-    """What the views say with confidence about all documents: text features with the metadata view's label for
-    a share `rate` of the documents, and counts of metadata with the text view's label for all."""
+def bars(scores: np.ndarray) -> tuple[float, float]:
+    """Below the first a view is confident of a bad document, above the second of a good one."""
+    lo, hi = np.quantile(scores, [SUREST, 1 - SUREST])
+    return max(1 - CONFIDENT, float(lo)), min(CONFIDENT, float(hi))
+
+
+def exchanged(documents: DataFrame, model: dict, text_col: str) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """What the views say with confidence about all documents: counts by class and text feature, and by class, with
+    the metadata view's labels, and counts of metadata with the text view's labels."""
 
     def scan(batches):
+        seen, rows = np.zeros((2, WIDTH), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             index, ends = text_features(batch.column("text"), model["roll"])
             meta = batch.column("meta").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
             p, q = calibrated(model, logit_text(model, index, ends), logit_meta(model, meta))
-            sure = np.flatnonzero((p > CONFIDENT) | (p < 1 - CONFIDENT))
-            groups, n = np.unique(np.column_stack([meta[sure], p[sure] > 0.5]), axis=0, return_counts=True)
-            chosen = np.flatnonzero(((q > CONFIDENT) | (q < 1 - CONFIDENT)) & batch.column("drawn").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_pydict({
-                "meta": pa.array([g[:3].tolist() for g in groups] + [None] * len(chosen), pa.list_(pa.int32())), "label": pa.array(np.concatenate([groups[:, 3] if len(groups) else [], q[chosen] > 0.5]).astype(np.int32)),
-                "n": pa.array(np.concatenate([n, np.zeros(len(chosen))]).astype(np.int64)), "features": pa.array([None] * len(groups) + [index[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in chosen], pa.binary()),
-            })
-
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) < int(rate * (1 << 30))
-    rows = documents.select(F.col(text_col).alias("text"), F.array(*metadata_features()).alias("meta"), F.coalesce(drawn, F.lit(False)).alias("drawn")).mapInArrow(scan, "meta array<int>, label int, n long, features binary")
-    # Metadata classes are bounded by their hashes' ranges and in practice are few; labels for the text view by rate.
-    got = rows.groupBy("meta", "label", "features").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    pseudo = sorted((r["features"], r["label"]) for r in got if r["features"] is not None)
-    counts = sorted([*r["meta"], r["label"], r["n"]] for r in got if r["features"] is None)
-    return [(np.frombuffer(x, "<u4").astype(np.int64), float(y)) for x, y in pseudo], np.array(counts, float).reshape(-1, 5)
+            (p_lo, p_hi), (q_lo, q_hi) = model["bars"]
+            sure = np.flatnonzero((p > p_hi) | (p < p_lo))
+            groups, n = np.unique(np.column_stack([meta[sure], p[sure] > p_hi]), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(groups[:, :3].tolist(), pa.list_(pa.int32())), pa.nulls(len(n), pa.int32()), pa.array(groups[:, 3].astype(np.int32)), pa.array(n.astype(np.int64))], names)
+            row = np.repeat(np.arange(len(q)), np.diff(ends))
+            for k, chosen in enumerate((q < q_lo, q > q_hi)):
+                seen[k] += np.bincount(index[chosen[row]], minlength=WIDTH)
+                rows[k] += chosen.sum()
+        for k in (0, 1):  # the feature WIDTH stands for the rows themselves
+            counted = np.append(seen[k], rows[k])
+            at = np.flatnonzero(counted)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.list_(pa.int32())), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(counted[at])], names)
+
+    names = ["meta", "feature", "label", "n"]
+    rows = documents.select(F.col(text_col).alias("text"), F.array(*metadata_features()).alias("meta")).mapInArrow(scan, "meta array<int>, feature int, label int, n long")
+    # Features are bounded by WIDTH, metadata classes by their hashes' ranges and in practice are few.
+    got = rows.groupBy("meta", "feature", "label").agg(F.sum("n").alias("n")).toArrow()
+    of_text = got.filter(pa.compute.is_valid(got["feature"]))
+    table = np.zeros((2, WIDTH + 1))
+    table[of_text["label"].to_numpy(), of_text["feature"].to_numpy()] = of_text["n"].to_numpy()
+    counts = sorted([*r["meta"], r["label"], r["n"]] for r in got.filter(pa.compute.is_null(got["feature"])).to_pylist())
+    return (table[:, :WIDTH], table[:, WIDTH]), np.array(counts, float).reshape(-1, 5)
 
 
 def judged(documents: DataFrame, model: dict | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

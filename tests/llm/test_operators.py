@@ -63,6 +63,15 @@ def test_quality(spark, documents, sf_dir, edges, nothing):
     assert quality.judged(edges, None).filter("keep").count() == edges.count()
 
 
+def test_quality_exchanges_labels_of_all_documents(spark, documents, sf_dir):
+    """Twice the documents, twice the labels, both ways and of both classes."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    twin = documents.withColumn("doc_id", F.col("doc_id") + 10**9)
+    once, twice = (quality.trained(df, labels, rounds=1)["exchanged"][0] for df in (documents, documents.unionByName(twin)))
+    assert all(n > 0 for view in ("text", "meta") for n in once[view])
+    assert twice == {view: [2 * n for n in once[view]] for view in once}
+
+
 # 3
 
 
