@@ -17,9 +17,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir; a new temporary one only where it is unset and all tasks run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
