@@ -34,6 +34,8 @@ from .common import U64, Rolling, mix, pack, pack_sorted, ragged, released, runs
 #: Bytes of the core; every 2 in (length - core + 2) positions are sampled.
 CORE = 20
 MARKED, OPEN = 0, 1
+#: Bytes of text whose triples make a range, about.
+RANGE_BYTES = 32 << 20
 
 
 def slide(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -72,7 +74,8 @@ def sample(data: np.ndarray, offsets: np.ndarray, roll: Rolling, length: int, co
     left, right = np.maximum(first, begin), last + length
     # The context holds exactly the bytes of the strings that the position decides, and where they start.
     context = roll.hashes(sums, left, right) ^ mix(((q - left).astype(U64) << U64(32)) + (right - q).astype(U64))
-    return {"core": h[q], "context": context, "row": row[q], "first": first - begin, "last": last - begin, "at": q - begin}
+    # The sample takes least hashes, which crowd near zero; mixed again they fill their range evenly.
+    return {"core": mix(h[q]), "context": context, "row": row[q], "first": first - begin, "last": last - begin, "at": q - begin}
 
 
 def intervals(first: np.ndarray, last: np.ndarray) -> bytes:
@@ -229,9 +232,13 @@ def merged(batches, buckets: int):
 def removals(documents: DataFrame, length: int = 50, core: int = CORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ranges): for documents with something to remove the ranges of string starts, as packed pairs."""
     spark = documents.sparkSession
-    roll, width = Rolling(11), shuffle_partitions(documents.sparkSession)
-    buckets = 1 << (2 * width - 1).bit_length()  # ranges; every batch of rows sends one packed row to each
+    roll = Rolling(11)
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # A range is what a task holds at a time: that of RANGE_BYTES of text. Every batch of rows sends a packed row to each
+    # range, or one for each triple where that is less.
+    width = max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
+    buckets = 1 << (2 * width - 1).bit_length()
     sorted_ = source.mapInArrow(lambda batches: triples(batches, roll, length, core, buckets), ROWS).repartition(width, "bucket").sortWithinPartitions("bucket")
     found = written(sorted_.mapInArrow(lambda batches: named(batches, buckets), ROWS), "suffix-names")
     sorted_ = None
