@@ -58,19 +58,25 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan(documents: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
+def scan(documents: DataFrame, max_owners: int = 2, max_repositories: int = 4, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
     """(id, base, spans, live, examples) of every document row.
 
     `base` holds the pattern spans and `spans` those and the live ones, both sorted by start, then kind, as
     struct(start, nth, kind, stop, value). `live` lists the distinct values, of base spans or
-    candidates, that at most max_owners distinct owners have in at most as many repositories;
-    `examples` the others. Repository and owner are columns of `documents`, by default its source and
-    its source and language; a null one counts as one of its own. Null and empty texts have no spans. Rows
-    that repeat an id are rows of their own.
+    candidates, that at most max_owners distinct owners have in at most max_repositories distinct repositories:
+    what one owner has put into many is a template of theirs. `examples` lists the others. Owner and
+    repository are columns of `documents`, by default its source, and its source with its language; a null one
+    counts as one of its own. Null and empty texts have no spans. Rows that repeat an id are rows of their own.
     """
+    found = judged_spans(documents, max_owners, max_repositories, id_col, text_col, repository, owner)
+    return found.withColumnRenamed("id", id_col).drop("text_key")
+
+
+def judged_spans(documents: DataFrame, max_owners: int, max_repositories: int, id_col: str, text_col: str, repository: Column | None, owner: Column | None) -> DataFrame:
+    """scan, with the key of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    repository = F.col("source") if repository is None else repository
-    owner = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("-")), F.coalesce(F.col("lang"), F.lit("-"))) if owner is None else owner
+    owner = F.col("source") if owner is None else owner
+    repository = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("-")), F.coalesce(F.col("lang"), F.lit("-"))) if repository is None else repository
     found = documents.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.coalesce(repository.cast("string"), F.lit("-")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("-")).alias("owner"),
         kind_spans(matches(text, ASSIGN, 1, ASSIGN_LEAST), "assign").alias("assign"), kind_spans(matches(text, ACCESS), "access").alias("access"), kind_spans(matches(text, HEX), "hex").alias("hex"),
@@ -83,28 +89,31 @@ def scan(documents: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text
     # Distinct owners of each hash first, within every task, so a value that is everywhere costs little.
     owners = seen.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repositories = seen.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    of_hash = owners.join(repositories, "hash").select("hash", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_owners)).alias("is_live"))
+    of_hash = owners.join(repositories, "hash").select("hash", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("is_live"))
     judged = (
         seen.join(of_hash, "hash").groupBy("id", "text_key")
         .agg(F.array_sort(F.collect_set(F.when(F.col("is_live"), F.col("value")))).alias("live"), F.array_sort(F.collect_set(F.when(~F.col("is_live"), F.col("value")))).alias("examples"))
     )
     none = F.array().cast("array<string>")
     joined_rows = found.alias("f").join(judged.alias("j"), (F.col("f.id").eqNullSafe(F.col("j.id"))) & (F.col("f.text_key") == F.col("j.text_key")), "left")
-    rows = joined_rows.select("f.id", "base", "tokens", F.coalesce("live", none).alias("live"), F.coalesce("examples", none).alias("examples"))
+    rows = joined_rows.select("f.id", "f.text_key", "base", "tokens", F.coalesce("live", none).alias("live"), F.coalesce("examples", none).alias("examples"))
     covered = lambda t: F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
     added = F.filter("tokens", lambda t: F.array_contains("live", t["value"]) & ~covered(t))
-    return rows.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", added)).alias("spans"), "live", "examples")
+    return rows.select("id", "text_key", "base", F.array_sort(F.concat("base", added)).alias("spans"), "live", "examples")
 
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every live-looking value replaced by `mark` wherever it stands in its text, longest
-    first; widely copied examples stay. n_chars follows where the table has it. All rows are kept."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = scan(documents, **options)
+    first; widely copied examples stay. n_chars follows where the table has it. All rows are kept, those with a
+    null id too, and judged each by its own text."""
+    wanted = {"max_owners": 2, "max_repositories": 4, "id_col": "doc_id", "text_col": "text", "repository": None, "owner": None} | options
+    id_col, text_col = wanted["id_col"], wanted["text_col"]
+    found = judged_spans(documents, **wanted)
     longest_first = F.expr("array_sort(live, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
-    key, values = unused(documents, "of"), unused(documents, "values")
-    live = found.filter(F.size("live") > 0).select(F.col(id_col).alias(key), longest_first.alias(values)).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set(values))).alias(values))
-    out = documents.join(live, documents[id_col] == F.col(key), "left")
+    key, values, whose = unused(documents, "of"), unused(documents, "values"), unused(documents, "text_key")
+    live = found.filter(F.size("live") > 0).select(F.col("id").alias(key), F.col("text_key").alias(whose), longest_first.alias(values)).groupBy(key, whose).agg(F.first(values).alias(values))
+    text_key = F.xxhash64(F.coalesce(documents[text_col], F.lit("")))
+    out = documents.join(live, documents[id_col].eqNullSafe(F.col(key)) & (text_key == F.col(whose)), "left")
     text = F.when(F.col(values).isNull(), F.col(text_col)).otherwise(F.aggregate(values, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark))))
     changes = {text_col: text}
     if "n_chars" in documents.columns:
@@ -132,11 +141,11 @@ WHERE len(val[i]) >= {least} AND {more}"""
 
 
 SQL = f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '-') AS repository, coalesce(source, '-') || '/' || coalesce(lang, '-') AS owner FROM documents),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '-') AS owner, coalesce(source, '-') || '/' || coalesce(lang, '-') AS repository FROM documents),
 base AS ({_sql_spans("assign", ASSIGN, 1, ASSIGN_LEAST)} UNION ALL {_sql_spans("access", ACCESS, 0, 18)} UNION ALL {_sql_spans("hex", HEX, 0, 16)}),
 tokens AS ({_sql_spans("live", "[A-Za-z0-9+/_=-]{20,}", 0, 20, "regexp_matches(val[i], '[0-9]') AND regexp_matches(val[i], '[A-Za-z]')")}),
 seen AS (SELECT DISTINCT doc_id, value FROM (SELECT doc_id, value FROM base UNION ALL SELECT doc_id, value FROM tokens)),
-judged AS (SELECT value, count(DISTINCT owner) <= 2 AND count(DISTINCT repository) <= 2 AS is_live FROM seen JOIN t USING (doc_id) GROUP BY value),
+judged AS (SELECT value, count(DISTINCT owner) <= 2 AND count(DISTINCT repository) <= 4 AS is_live FROM seen JOIN t USING (doc_id) GROUP BY value),
 counts AS (SELECT doc_id, count(*) FILTER (is_live) AS n_live, count(*) FILTER (NOT is_live) AS n_examples FROM seen JOIN judged USING (value) GROUP BY doc_id),
 added AS (
   SELECT k.* FROM tokens k JOIN judged USING (value) WHERE is_live
