@@ -9,7 +9,8 @@ Counting and looking up are one exchange. Documents are dealt to chunks; each
 chunk sends its distinct n-grams, as sorted 64-bit hashes with its own counts, to
 the owners of hash ranges; an owner adds up and answers with the totals in the
 order of the request, so answers hold no hashes. N-grams that are everywhere
-reach their owner once from each chunk.
+reach their owner once from each chunk. Chunks and ranges are cut by bytes of
+text; a text longer than a chunk makes one of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import LOWER, NOT_SPACE, U64, Rolling, mix, pack_counts, pack_sorte
 
 END, BEGIN = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 OCTAVES = 40
+#: Bytes of text in a chunk, and for each hash range, about.
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
 
 
 class Chunk:
@@ -149,7 +152,7 @@ def learned(stats: DataFrame, order: int, rounds: int = 30, tolerance: float = 1
     return weights / weights.sum(1, keepdims=True)
 
 
-def scored(documents: DataFrame, order: int = 2, add: float = 0.1, held_out: Column | None = None, tenth: Column | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 2000) -> DataFrame:
+def scored(documents: DataFrame, order: int = 2, add: float = 0.1, held_out: Column | None = None, tenth: Column | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
     Tokens are lower-cased words and one end for each text. Training takes all documents but the
@@ -163,19 +166,20 @@ def scored(documents: DataFrame, order: int = 2, add: float = 0.1, held_out: Col
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10, F.lit(0))
     held_out = fold == 0 if held_out is None else held_out
     tenth = fold == 1 if tenth is None else tenth
-    rows = documents.count()
-    chunks = max(1, -(-rows // chunk_rows))
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(text_col) + 16), F.lit(0))).first()[0]
+    chunks = max(1, -(-size // chunk_bytes))
     few = max(1, -(-chunks // 9))
-    key = F.xxhash64(F.col(id_col))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
     id_type = documents.schema[id_col].dataType.simpleString()
     dealt = documents.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (~held_out).alias("trains"),
         F.when(tenth, F.lit(chunks) + F.pmod(key, F.lit(few))).otherwise(F.pmod(key, F.lit(chunks))).cast("int").alias("chunk"),
     )
-    width = shuffle_partitions(spark)
-    # Two hash ranges for every chunk's worth of n-grams, a power of two.
-    buckets = 1 << max(0, (2 * chunks - 1).bit_length())
-    by_chunk = lambda df: df.repartition(max(width, 1), "chunk").sortWithinPartitions("chunk")
+    width = max(shuffle_partitions(spark), -(-size // (4 * bucket_bytes)))
+    # An owner holds one hash range of one order at a time, and all requests for it: those of bucket_bytes of text. A
+    # chunk sends each owner one row, or one for each n-gram where that is less.
+    buckets = 1 << max(0, (max(width, -(-size // bucket_bytes)) - 1).bit_length())
+    by_chunk = lambda df: df.repartition(width, "chunk").sortWithinPartitions("chunk")
     asked = by_chunk(dealt).mapInArrow(lambda batches: requests(batches, order, buckets), "bucket int, chunk int, n int, keys binary, counts binary")
     told = written(asked.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(answers, "chunk int, bucket int, n int, totals binary, seen long, tokens long"), "lm-counts")
     sums = told.filter(F.col("bucket") % order == 0).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen")).first()
