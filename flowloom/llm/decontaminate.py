@@ -1,16 +1,16 @@
 """Benchmark decontamination with suffix arrays of the training words.
 
 Each task takes a shard of documents, turns every word into a 64-bit hash and
-sorts the word suffixes into a suffix array, by prefix doubling on ranks that
-the shard and the test items share. Suffixes whose first words (`seed` of them)
-stand nowhere in the benchmark match no test suffix that far and are left out
-of the array. Every test suffix is then binary-searched: the positions that
-share its first `window` words are hits, and its neighbours in the array give
-the longest verbatim match and where it is.
-
-The benchmark is what travels to the tasks, in blocks of at most `block_words`
-words; documents stay where they are, and nothing about them but the result
-rows leaves the task.
+sorts the word suffixes into a suffix array, by their first `window` words, on
+ranks that the shard and the test items share. Suffixes whose first words
+(`seed` of them) stand nowhere in the benchmark match no test suffix that far
+and are left out of the array. Every test suffix is then binary-searched: the
+positions that share its first `window` words are hits, each is followed to
+the end of its verbatim match, and the longest is told with where it is.
+
+The benchmark is what travels to the tasks, in broadcast blocks of at most
+`block_words` words, which the driver makes one after the other; documents stay
+where they are and pass one block after the other.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ class Items:
         lengths = np.diff(ends)
         self.depth = np.minimum(lengths, window)
         self.item = np.repeat(np.arange(len(ids)), lengths)
+        self.begin = np.asarray(ends[:-1])
         self.end = np.repeat(ends[1:], lengths)
         at = np.arange(len(hashes))
         # A window starts where so many words are left; the others are suffixes without a window.
@@ -94,8 +95,8 @@ class Items:
             self.seeds[int(n)] = np.unique(g[own])
 
 
-def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, item, window length) of every window found, as three arrays, and each one's longest match."""
+def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(position, item, window length, longest match, position among the items' words) of every window found."""
     row_end = np.repeat(ends[1:], np.diff(ends))
     wanted = np.zeros(len(hashes), bool)
     for n, known in items.seeds.items():
@@ -106,8 +107,8 @@ def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.n
     at = np.flatnonzero(wanted)
     none = np.zeros(0, np.int64)
     if not len(at):
-        return none, none, none, none
-    # Ranks by the first word, then by twice as many from pairs, up to the window.
+        return none, none, none, none, none
+    # A column for each word of the window; suffixes that end before it come first.
     both = np.concatenate([hashes, items.hashes])
     stop = np.concatenate([row_end, items.end + len(hashes)])
     pos = np.concatenate([at, items.starts + len(hashes)])
@@ -130,7 +131,7 @@ def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.n
         where = mine_at[ragged(lo, hi - lo)]
         which = np.repeat(items.starts[own], hi - lo)
         long = common_prefix(hashes, row_end[where], where, items.hashes, items.end[which], which, 1 << 30)
-        out.append((where, items.item[which], np.full(len(where), depth), long))
+        out.append((where, items.item[which], np.full(len(where), depth), long, which))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -151,79 +152,88 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     plain = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     at = columns.index(text_col)
 
-    def clean(known: Items):
+    def clean(known):
         def scan(batches):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for lo, _, data, offsets in texts(batch.column(at), 1 << 22):
                     data = LOWER[data]
                     start, end, upto = words(data, offsets, ALNUM)
-                    where = shard_hits(roll.hashes(roll.sums(data), start, end), upto, known)[0]
+                    where = shard_hits(roll.hashes(roll.sums(data), start, end), upto, known.value)[0]
                     keep[lo + np.unique(np.searchsorted(upto, where, "right") - 1)] = False
                 yield batch.filter(pa.array(keep))
 
         return scan
 
     for known in item_blocks(benchmark, roll, window, seed, block_words):
-        plain = plain.mapInArrow(clean(known), plain.schema)
+        plain = plain.mapInArrow(clean(documents.sparkSession.sparkContext.broadcast(known)), plain.schema)
     return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, longest, contaminated) of every document row.
+    """(doc_id, n_words, n_hit, n_items, items, longest, longest_at, longest_item, longest_item_at, contaminated) of every
+    document row.
 
     Words are runs of [0-9a-z] and non-ASCII characters after A-Z is lower-cased. A window is `window`
     consecutive words of an item; an item of fewer, but not none, is one window. n_hit counts the
     words inside any occurrence of a window, n_items the items with occurring windows, `items` lists
-    them sorted as strings, `longest` is the longest verbatim match in words from any of those windows on.
-    Null and empty texts have no words. Items that repeat an id count as one; items with a null id
-    are left out. An empty benchmark hits nothing. Repeated document rows stay repeated.
+    them sorted as strings. `longest` is the longest verbatim match in words from any of those windows on (0: none),
+    from word longest_at of the document and word longest_item_at of longest_item, counted from 0; of equal ones
+    the first in the document. Null and empty texts have no words. Items that repeat an id count as one; items with
+    a null id are left out. An empty benchmark hits nothing. Repeated document rows stay repeated, however many
+    blocks the benchmark makes.
     """
-    roll, found, blocks = Rolling(3), None, 0
+    roll, context = Rolling(3), documents.sparkSession.sparkContext
+    none = F.array()
+    found = documents.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), none.cast("array<long>").alias("hits"), none.cast("array<string>").alias("items"),
+        F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_at"), F.lit(None).cast("string").alias("longest_item"), F.lit(None).cast("long").alias("longest_item_at"),
+    )
     for known in item_blocks(benchmark, roll, window, seed, block_words):
-        part = _scan(documents, known, roll, id_col, text_col)
-        found, blocks = part if found is None else found.unionByName(part), blocks + 1
-    if blocks > 1:
-        found = (
-            found.groupBy("doc_id", "row")
-            .agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
-        )
+        found = found.mapInArrow(_scan(context.broadcast(known), roll), found.schema)
+    items = F.array_distinct("items")
     return found.select(
-        F.col("doc_id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"),
-        F.array_sort(F.array_distinct("items")).alias("items"), "longest", (F.size("hits") > 0).alias("contaminated"),
+        F.col("id").alias(id_col), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.array_sort(items).alias("items"),
+        "longest", "longest_at", "longest_item", "longest_item_at", (F.size("hits") > 0).alias("contaminated"),
     )
 
 
-def _scan(documents: DataFrame, items: Items, roll: Rolling, id_col: str, text_col: str) -> DataFrame:
-    id_type = documents.schema[id_col].dataType
+def _scan(known, roll: Rolling):
+    """Adds to rows of documents what one block of items hits in them."""
 
     def scan(batches):
+        items = known.value
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in texts(column, 1 << 22):
+            before = {c: batch.column(c) for c in ("hits", "items", "longest", "longest_at", "longest_item", "longest_item_at")}
+            for lo, hi, data, offsets in texts(batch.column("text"), 1 << 22):
                 data = LOWER[data]
                 start, end, upto = words(data, offsets, ALNUM)
                 hashes = roll.hashes(roll.sums(data), start, end)
-                where, which, depth, long = shard_hits(hashes, upto, items)
+                where, which, depth, long, item_word = shard_hits(hashes, upto, items)
                 row = np.searchsorted(upto, where, "right") - 1
-                hit = np.unique(ragged(where, depth))
+                old = [before["hits"].slice(lo, hi - lo), before["items"].slice(lo, hi - lo)]
+                told = upto[np.repeat(np.arange(hi - lo), np.diff(old[0].offsets.to_numpy()))] + old[0].flatten().to_numpy()
+                hit = np.unique(np.concatenate([ragged(where, depth), told]))
                 hit_row = np.searchsorted(upto, hit, "right") - 1
                 bounds = np.searchsorted(hit_row, np.arange(hi - lo + 1))
                 pairs = np.unique(np.stack([row, which]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-                item_bounds = np.searchsorted(pairs[0], np.arange(hi - lo + 1))
-                longest = np.zeros(hi - lo, np.int64)
-                np.maximum.at(longest, row, long)
+                names: list[list[str]] = old[1].to_pylist()
+                for r, i in pairs.T.tolist():
+                    names[r].append(items.ids[i])
+                top = {c: before[c].slice(lo, hi - lo).to_pylist() for c in ("longest", "longest_at", "longest_item", "longest_item_at")}
+                first = np.lexsort((where, -long, row))
+                for k in first[np.unique(row[first], return_index=True)[1]].tolist():
+                    r, place = int(row[k]), int(where[k] - upto[row[k]])
+                    if (long[k], -place) > (top["longest"][r], -(top["longest_at"][r] or 0)):
+                        top["longest"][r], top["longest_at"][r] = int(long[k]), place
+                        top["longest_item"][r], top["longest_item_at"][r] = items.ids[which[k]], int(item_word[k] - items.begin[which[k]])
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, hi - lo), pa.array(np.diff(upto).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - upto[hit_row], pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(item_bounds, pa.int32()), pa.array(list(items.ids[pairs[1]]), pa.string())), pa.array(longest), pa.array(_row_keys(data, offsets, roll)),
-                ], ["doc_id", "n_words", "hits", "items", "longest", "row"])
-
-    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, f"doc_id {id_type.simpleString()}, n_words long, hits array<long>, items array<string>, longest long, row long")
-
+                    batch.column("id").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo), pa.array(np.diff(upto).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - upto[hit_row], pa.int64())), pa.array(names, pa.list_(pa.string())),
+                    pa.array(top["longest"], pa.int64()), pa.array(top["longest_at"], pa.int64()), pa.array(top["longest_item"], pa.string()), pa.array(top["longest_item_at"], pa.int64()),
+                ], batch.schema.names)
 
-def _row_keys(data: np.ndarray, offsets: np.ndarray, roll: Rolling) -> np.ndarray:
-    """A hash of each whole text, by which the results of several benchmark blocks meet."""
-    return roll.hashes(roll.sums(data), offsets[:-1], offsets[1:]).view(np.int64)
+    return scan
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

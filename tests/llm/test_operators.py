@@ -253,6 +253,18 @@ def test_secrets_ownership(spark, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.redacted(nothing).count() == 0
 
 
+def test_secrets_by_repositories_alone_and_without_ids(spark):
+    """One owner's token in many repositories is a template; a row without an id loses its secret too."""
+    template, live = "Zx9" + "Qw8Er7Ty6Ui5Op4As3", "Ab1" + "Cd2Ef3Gh4Ij5Kl6Mn7"
+    rows = [(i, f"see {template} here", f"l{i}", "one", 0) for i in range(5)] + [(None, f"key {live}", "l0", "one", 0), (None, "no secret", "l0", "one", 0), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = secrets.scan(df).collect()
+    assert [r.examples for r in found if r.doc_id == 0] == [[template]] and not any(r.live for r in found if r.doc_id is not None)
+    assert [r.live for r in secrets.scan(df, max_repositories=5).collect() if r.doc_id == 0] == [[template]]
+    out = sorted((r.text or "" for r in secrets.redacted(df).collect() if r.doc_id is None))
+    assert out == ["", "key [SECRET]", "no secret"]
+
+
 # 6
 
 
@@ -302,7 +314,7 @@ def test_lm(which, request, pairs):
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
     wanted = sorted((d, zlib.crc32(str(d).encode()) % 10 == 0, len(t), sum(c[w] > 0 for w in t), n, round(math.fsum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 5)) for d, t in texts)
-    rows = lm.scored(df, chunk_rows=37).collect()
+    rows = lm.scored(df, chunk_bytes=40_000, bucket_bytes=100_000).collect()
     assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows) == wanted
     assert all(r.score <= 0 and math.isfinite(r.score) for r in rows)
     if which == "documents":
@@ -393,8 +405,6 @@ def test_decontaminate(which, request, spark, sf_dir, pairs):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "Word"), (901, None), (902, ""), (903, "ipsum dolor"), (904, "dolor sit amet lorem ipsum dolor sit amet lorem ipsum dolor"), (900, "word")], "item_id long, text string"))
     wanted = sorted(decontaminate.by_brute_force(pairs(df, "doc_id", "text"), pairs(items, "item_id", "text")))
     for block_words in (decontaminate.BLOCK_WORDS, 300):  # one block of items, and several
-        if block_words == 300 and which == "edges":
-            continue  # repeated rows of one id and text fall together there
         found = decontaminate.contaminated(df, items, block_words=block_words).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("sha"), "contaminated")
         assert sorted(tuple(r) for r in found.collect()) == wanted
     kept = decontaminate.decontaminated(df, items)
@@ -409,6 +419,20 @@ def test_longest_match(spark):
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     found = {r.doc_id: r for r in decontaminate.contaminated(docs, items).collect()}
     assert (found[1].longest, found[1].n_hit, found[2].contaminated) == (25, 25, False)
+    assert (found[1].longest_at, found[1].longest_item, found[1].longest_item_at, found[2].longest_at) == (1, "1", 5, None)
+
+
+def test_decontaminate_keeps_repeated_rows_and_null_ids_over_blocks(spark, pairs):
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(i, " ".join(words[i : i + 12])) for i in range(40)], "item_id long, text string")
+    rows = [(None, " ".join(words)), (None, " ".join(words)), (1, " ".join(words[20:35])), (1, " ".join(words[20:35])), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(decontaminate.by_brute_force(rows, pairs(items, "item_id", "text")), key=str)
+    for block_words in (decontaminate.BLOCK_WORDS, 50):
+        found = decontaminate.contaminated(df, items, block_words=block_words)
+        got = found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated").collect()
+        assert sorted(map(tuple, got), key=str) == wanted
+        assert {r.longest for r in found.filter("doc_id = 1").collect()} == {12}
 
 
 # Components
