@@ -1,12 +1,17 @@
 """Exact maximum inner products, longest vectors first.
 
 A rotation by the right singular vectors of all vectors moves most of every
-vector's length into its first components. Each task walks its share of the
-vectors by descending length, adds a few rotated components of every product
-at a time, and drops a vector for a query as soon as what it has so far plus
-|rest of q| * |rest of v| (Cauchy-Schwarz) falls below the query's k-th score;
-once |q| * |v| falls below it, so do all the vectors that follow. Only what is
-left is scored, in integers.
+vector's length into its first components. The vectors are cut into bands of
+about one size by descending length. The band of the longest goes to all tasks:
+every query is scored against it first, which gives it a threshold that its k
+best reach at least. A query then goes only to bands whose longest vector could
+reach that threshold (|q| * |v|), and within a band a few rotated components
+are added at a time, and a vector is dropped as soon as what it has so far plus
+|rest of q| * |rest of v| (Cauchy-Schwarz) falls below the query's k-th score.
+Only what is left is scored, in integers.
+
+A vector is dealt to one band alone; queries pass it in batches, so a task holds
+a band and a batch however many there are.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import runs
+from .common import shuffle_partitions, written
 
-BLOCK = 1024
+#: Vectors of a band, which are compared with a batch of queries in blocks of BLOCK.
+BAND_ROWS, BLOCK = 8192, 1024
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -60,8 +66,9 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(g.reshape(d, d))[1][:, ::-1].copy()
 
 
-def search(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, turn: np.ndarray, k: int, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best of each query among v; v comes by descending length."""
+def search(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, turn: np.ndarray, k: int, steps: tuple[int, ...], reached: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best of each query among v that reach its threshold; v comes by descending length."""
+    reached = np.full(len(q), -np.inf) if reached is None else reached
     rq, rv = q @ turn, v @ turn
     d = q.shape[1]
     cuts = sorted({min(s, d) for s in steps} | {d})
@@ -72,7 +79,7 @@ def search(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, turn:
     live = np.arange(len(q))
     for lo in range(0, len(v), BLOCK):
         hi = min(lo + BLOCK, len(v))
-        kth = best_s[:, -1].astype(np.float64)
+        kth = np.maximum(best_s[:, -1].astype(np.float64), reached)
         slack = 1e-6 * (1 + rest_q[0] * rest_v[0][lo])
         live = live[rest_q[0][live] * rest_v[0][lo] + slack[live] >= kth[live]]
         if not len(live):
@@ -101,44 +108,99 @@ def search(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, turn:
         first = np.searchsorted(all_r, some)
         take = first[:, None] + np.arange(k)
         best_s[some], best_v[some] = all_s[take], all_v[take]
-    r, c = np.nonzero(best_v != np.iinfo(np.int64).max)
+    r, c = np.nonzero((best_v != np.iinfo(np.int64).max) & (best_s >= reached[:, None]))
     return r, best_v[r, c], best_s[r, c]
 
 
-def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10, block_rows: int = 8192, query_rows: int = 4096, steps: tuple[int, ...] = (8, 24)) -> DataFrame:
+def bands(vectors: DataFrame, n: int, band_rows: int) -> np.ndarray:
+    """Lengths squared, descending, at which one band ends and the next starts: a sketch of their distribution.
+    Only the sizes of bands rest on it."""
+    count = -(-n // band_rows)
+    if count < 2:
+        return np.zeros(0)
+    cuts = vectors.agg(F.percentile_approx("norm2", [i / count for i in range(count - 1, 0, -1)], 10 * count)).first()[0]
+    return np.array(cuts, float)
+
+
+def band_of(norm2: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The band of each vector; those of a length at which several bands meet are dealt to them by their ids."""
+    lo, hi = len(cuts) - np.searchsorted(cuts[::-1], norm2, "right"), len(cuts) - np.searchsorted(cuts[::-1], norm2, "left")
+    return (lo + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (hi - lo + 1)).astype(np.int32)
+
+
+def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10, band_rows: int = BAND_ROWS, steps: tuple[int, ...] = (8, 24)) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query with all vectors but its own.
 
-    `vectors` are those of integer_vectors(). Vectors of another length than the first row's take no
-    part. Ties go to the smaller vec_id. Rows that repeat a vec_id are one vector to be found, by the
-    smallest of them, and never match a query of that id. No vectors or no queries: no rows.
-    Vectors are dealt to blocks of about block_rows, each with long and short ones, queries to blocks of
-    about query_rows; every block of one meets every block of the other once.
+    `vectors` are those of integer_vectors(). Vectors of another length than most have take no part. Ties go to
+    the smaller vec_id. Rows that repeat a vec_id are one vector to be found, by the smallest of them, and never
+    match a query of that id. No vectors or no queries: no rows.
     """
-    vectors = vectors.groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("s")).select("vec_id", "s.v", "s.norm2")
-    head = vectors.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    d = head["d"] if head else 0
+    spark = vectors.sparkSession
+    vectors = written(vectors.groupBy("vec_id").agg(F.min(F.struct("v", "norm2")).alias("s")).select("vec_id", "s.v", "s.norm2"), "topk-vectors")
+    head = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if not head:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    d, n = head["d"], head["n"]
     vectors = vectors.filter(F.size("v") == d)
-    n = vectors.agg(F.count("*").alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("q")).first()
-    shares, groups = max(1, -(-n["n"] // block_rows)), max(1, -(-n["q"] // query_rows))
-    turn = rotation(vectors, d) if d else np.zeros((0, 0))
-    key = lambda share, group: (share * F.lit(groups) + group).alias("unit")
-    share, group = F.pmod(F.xxhash64("vec_id"), F.lit(shares)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))
-    items = vectors.select("vec_id", "v", "norm2", F.lit(False).alias("asks"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: share * F.lit(groups) + g)).alias("unit"))
-    asks = vectors.filter(is_query(F.col("vec_id"))).select("vec_id", "v", "norm2", F.lit(True).alias("asks"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda s: s * F.lit(groups) + group)).alias("unit"))
+    turn, cuts = rotation(vectors, d), bands(vectors, n, band_rows)
+
+    def dealt(batches):
+        for b in batches:
+            band = band_of(b.column("norm2").to_numpy(), b.column("vec_id").to_numpy(), cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.full(len(band), -np.inf)), *b.columns], ["band", "reached", *b.schema.names])
+
+    schema = "band int, reached double, vec_id long, v array<bigint>, norm2 double"
+    items = vectors.select("vec_id", "v", "norm2").mapInArrow(dealt, schema)
+    most = {r["band"]: r["most"] for r in items.groupBy("band").agg(F.max("norm2").alias("most")).collect()}  # a row for each band
+    present = sorted(most)
+    longest = np.sqrt([most[p] for p in present])
+    top = vectors.orderBy(F.desc("norm2"), "vec_id").limit(max(k + 1, min(band_rows, 4096))).select("vec_id", "v").toArrow()
+    first = spark.sparkContext.broadcast((top["vec_id"].to_numpy(), matrix(top["v"])))
+
+    def asked(batches):
+        """Every query once for each band that can hold one of its k best."""
+        vid, v = first.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            qid, q = b.column("vec_id").to_numpy(), matrix(b.column("v"))
+            r, _, score = search(qid, q, vid, v, turn, k, steps)
+            reached, found = np.full(len(q), -np.inf), np.bincount(r, minlength=len(q))
+            full = np.flatnonzero(found == k)
+            reached[full] = score[np.cumsum(found)[full] - 1]
+            bound = np.sqrt(b.column("norm2").to_numpy()) * (1 + 1e-9)
+            for place, band in enumerate(present):  # bands are in order of their lengths
+                goes = np.flatnonzero(bound * longest[place] >= reached)
+                if len(goes):
+                    rows = b.take(pa.array(goes))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(goes), band, np.int32)), pa.array(reached[goes]), *rows.columns], ["band", "reached", *rows.schema.names])
+
+    asks = vectors.filter(is_query(F.col("vec_id"))).select("vec_id", "v", "norm2").mapInArrow(asked, schema)
 
     def meet(batches):
-        for unit in runs(batches, "unit"):
-            asking = np.asarray(unit["asks"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-            ids, v = unit["vec_id"].to_numpy(), matrix(unit["v"])
-            r, found, score = search(ids[asking], v[asking], ids[~asking], v[~asking], turn, k, steps) if asking.any() and not asking.all() else (np.zeros(0, int),) * 3
-            yield pa.RecordBatch.from_pydict({"query_id": ids[asking][r].astype(np.int64), "vec_id": found.astype(np.int64), "score": score.astype(np.int64)})
-
-    found = (
-        items.unionByName(asks)
-        .repartition(shares * groups, "unit")
-        .sortWithinPartitions("unit", "asks", F.desc("norm2"), "vec_id")
-        .mapInArrow(meet, "query_id long, vec_id long, score long")
-    )
+        band, held, vid, v = None, [], None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            here, asks = b.column("band").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            marks = np.flatnonzero((here[1:] != here[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *marks.tolist()], [*marks.tolist(), len(here)]):
+                part = b.slice(lo, hi - lo)
+                if here[lo] != band:
+                    band, held, vid = here[lo], [], None
+                if not asks[lo]:
+                    held.append(part)
+                    continue
+                if vid is None:
+                    items_ = pa.Table.from_batches(held) if held else None
+                    vid, v = (items_["vec_id"].to_numpy(), matrix(items_["v"])) if held else (np.zeros(0, np.int64), np.zeros((0, d), np.int64))
+                qid = part.column("vec_id").to_numpy()
+                r, found, score = search(qid, matrix(part.column("v")), vid, v, turn, k, steps, part.column("reached").to_numpy())
+                yield pa.RecordBatch.from_pydict({"query_id": qid[r].astype(np.int64), "vec_id": found.astype(np.int64), "score": score.astype(np.int64)})
+
+    both = items.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)))
+    met = both.repartition(max(len(present), shuffle_partitions(spark)), "band").sortWithinPartitions("band", "asks", F.desc("norm2"), "vec_id")
+    found = met.mapInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
