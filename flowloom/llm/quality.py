@@ -25,7 +25,9 @@ from .common import ALNUM, LOWER, U64, Rolling, byte_set, mix, ragged, texts, wo
 LABEL_ROWS = 16000
 WIDTH = 1 << 16
 SHAPES = 512
-CELLS = 4096
+#: Cells of the metadata's hashes, and its features in all.
+LANGUAGES, SOURCES, LENGTHS = 16, 512, 64
+CELLS = LANGUAGES * LENGTHS + SOURCES + LENGTHS
 #: A view is confident beyond this probability of a class, or in the share SUREST of its calibrated scores on each side.
 CONFIDENT, SUREST = 0.97, 0.05
 LINE = ~byte_set([(0x0A, 0x0A), (0x0D, 0x0D)])
@@ -64,11 +66,13 @@ def text_features(column: pa.Array, roll: Rolling) -> tuple[np.ndarray, np.ndarr
 
 
 def metadata_features() -> list:
-    """Three features of a row: its language and length, its source, and its length."""
-    size = F.least(F.floor(F.log2(F.coalesce("n_chars", F.lit(0)).cast("double") + 2) * 2), F.lit(63))
+    """Three features of a row: its language and length, its source, and its length; of all three together there are
+    LANGUAGES * SOURCES * LENGTHS classes at most."""
+    size = F.least(F.floor(F.log2(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0)).cast("double") + 2) * 2), F.lit(LENGTHS - 1))
+    hashed = lambda c, cells: F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(cells))
     return [
-        F.pmod(F.xxhash64(F.coalesce("lang", F.lit("")), size), F.lit(2048)).cast("int"),
-        (F.lit(2048) + F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(1984))).cast("int"), (F.lit(4032) + size).cast("int"),
+        (hashed("lang", LANGUAGES) * LENGTHS + size).cast("int"),
+        (F.lit(LANGUAGES * LENGTHS) + hashed("source", SOURCES)).cast("int"), (F.lit(LANGUAGES * LENGTHS + SOURCES) + size).cast("int"),
     ]
 
 
@@ -173,7 +177,10 @@ def trained(documents: DataFrame, labels: DataFrame, rounds: int = 2, label_rows
     hash_ = F.xxhash64(F.col(id_col), F.lit(3))
     few = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min(good).alias("label")).orderBy(hash_, id_col).limit(label_rows)
     few = few.withColumn("calibrates", F.pmod(hash_, F.lit(4)) == 0)
-    known = documents.join(F.broadcast(few), id_col)  # label_rows rows at most
+    known = documents.join(F.broadcast(few), id_col)
+    columns = [c for c in (text_col, "lang", "source", "n_chars") if c in documents.columns]
+    # Of rows that repeat a labelled id one counts, so there are label_rows rows at most.
+    known = known.groupBy(id_col, "label", "calibrates").agg(F.min(F.struct(*columns)).alias("row")).select(id_col, "label", "calibrates", "row.*")
     sample = Sample(features(known, roll, text_col).toArrow())
     fits, checks = np.flatnonzero(~sample.calibrates), np.flatnonzero(sample.calibrates)
     if min(len(set(sample.label[fits])), len(set(sample.label[checks]))) < 2:
@@ -234,7 +241,7 @@ def exchanged(documents: DataFrame, model: dict, text_col: str) -> tuple[tuple[n
 
     names = ["meta", "feature", "label", "n"]
     rows = documents.select(F.col(text_col).alias("text"), F.array(*metadata_features()).alias("meta")).mapInArrow(scan, "meta array<int>, feature int, label int, n long")
-    # Features are bounded by WIDTH, metadata classes by their hashes' ranges and in practice are few.
+    # Features are bounded by WIDTH, metadata classes by LANGUAGES * SOURCES * LENGTHS, twice: about a million rows at most.
     got = rows.groupBy("meta", "feature", "label").agg(F.sum("n").alias("n")).toArrow()
     of_text = got.filter(pa.compute.is_valid(got["feature"]))
     table = np.zeros((2, WIDTH + 1))
