@@ -10,8 +10,8 @@ length, and joins the pattern, copy and place which that rank falls in.
 
 from __future__ import annotations
 
-import base64
 import json
+import os
 import zlib
 from collections import defaultdict
 
@@ -78,18 +78,17 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 class Pieces:
     """Token ids of texts. Byte-level BPE never joins across the start of a run of white space, so ids are
     looked up by runs of white space and the word after them, each distinct one tokenized once. Texts with an
-    added token of the tokenizer, which is matched anywhere in a text, are left to the tokenizer itself."""
+    added token of the tokenizer, which is matched anywhere in a text, and with other white space than spaces, tabs and
+    line breaks are tokenized whole."""
 
-    def __init__(self, vocabulary: str, pattern: str, tokenizer: str | None = None):
+    def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
-        import tiktoken
         from tokenizers import Tokenizer
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
-        self.encoder = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.odd, self.roll = regex.compile(ODD_SPACE), Rolling(9)
-        self.tokenizer = Tokenizer.from_file(tokenizer) if tokenizer else None
-        self.added = [t["content"] for t in json.load(open(tokenizer, "rb"))["added_tokens"]] if tokenizer else []
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.added = [t["content"] for t in json.load(open(tokenizer, "rb"))["added_tokens"]]
         self.clear()
 
     def clear(self) -> None:
@@ -97,7 +96,7 @@ class Pieces:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        got = [self.encoder.encode_ordinary(u.decode()) for u in units]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
         at = len(self.ids) + np.cumsum(size) - size
@@ -107,9 +106,9 @@ class Pieces:
 
     def whole(self, text: str) -> list[int] | None:
         """The ids of a text that has to be tokenized whole."""
-        if any(t in text for t in self.added):
+        if any(t in text for t in self.added) or self.odd.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.encoder.encode_ordinary(text) if self.odd.search(text) else None
+        return None
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids up to each row's end from 0) for rows of ordinary white space."""
@@ -135,15 +134,13 @@ class Pieces:
         return self.ids[ragged(self.at[place], size)], upto[np.searchsorted(first, offsets)]
 
 
-def tokenized_pieces(documents: DataFrame, vocabulary: str, pattern: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids and end_id, cut at each `size` ids.
-
-    `tokenizer` is the tokenizers file of the same vocabulary, whose added tokens count as such in texts.
-    """
+def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids by the tokenizers file and end_id, cut at
+    each `size` ids."""
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        pieces = Pieces(vocabulary, pattern, tokenizer)
+        pieces = Pieces(tokenizer)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in texts(column, 1 << 20):
@@ -181,25 +178,35 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     whole = histogram.pop(size, 0)
     places = [(size, 0, whole, 0, 0)] + [(a, b, c, d + whole, e) for a, b, c, d, e in slots(pack_histogram(histogram, size))]
-    table = spark.createDataFrame(places, "length long, lo long, hi long, sequence long, offset long")
     rank = F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = pieces.withColumn("rank", rank).join(bases, ["length", "share"]).withColumn("rank", F.col("rank") + F.col("base"))
-    # Patterns are bounded by the lengths, so their table is a few thousand rows at any input.
-    placed = ranked.join(F.broadcast(table), ["length"]).filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("lo")).drop("share", "base", "rank", "lo", "hi", "sequence")
+    ranked = ranked.drop("share", "base")
+    # Patterns are bounded by the lengths, so there are a few thousand places at any input.
+    table = np.array(sorted(places), np.int64).reshape(-1, 5)
+    keys = table[:, 0] * (1 << 50) + table[:, 1]
+
+    def place(batches):
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.searchsorted(keys, length * (1 << 50) + rank, "right") - 1
+            sequence, offset = table[at, 3] + rank - table[at, 1], table[at, 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offset), pa.array(sequence)], [*batch.schema.names, "offset", "sequence_id"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
+    return ranked.mapInArrow(place, f"{schema}, offset long, sequence_id long").drop("rank")
 
 
-def packed(documents: DataFrame, vocabulary: str, pattern: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def packed(documents: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id are documents of their own.
     A sequence shorter than `size` is to be padded.
     """
-    cut = written(tokenized_pieces(documents, vocabulary, pattern, size, end_id, id_col, text_col, tokenizer), "pieces")
+    cut = written(tokenized_pieces(documents, tokenizer, size, end_id, id_col, text_col), "pieces")
     return pack(cut, size).select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
