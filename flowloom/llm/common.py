@@ -35,6 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, name: str) -> None:
+    """Deletes what was written under a name of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or with underscores before it, so that no column of df has it."""
     taken = {c.lower() for c in df.columns}
