@@ -261,10 +261,27 @@ def map_fields(records: DataFrame) -> DataFrame:
     )
 
 
-def decode(datagrams: DataFrame, ttl_s: int | None = None) -> DataFrame:
-    """Decoded flows of all three versions; addresses as wire bytes, times in ms, null where there is none."""
+def last_templates(templates: DataFrame, sets: DataFrame, ttl_s: int) -> DataFrame:
+    """The last template, or withdrawal, of each exporter, domain and id, for later datagrams. Data sets that use one
+    within its time to live keep it alive; idle ones are left out."""
+    key = ["exporter_ip", "version", "domain", "template_id"]
+    rest = [c for c in templates.columns if c not in key]
+    last = templates.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*ARRIVAL)).alias("last")).select(*key, "last.*").select(*templates.columns)
+    used = sets.filter(F.col("set_id") >= FIRST_DATA_SET).groupBy("exporter_ip", "version", "domain", F.col("set_id").alias("template_id")).agg(F.max("recv_ts").alias("used"))
+    alive = F.unix_seconds("used") - F.unix_seconds("recv_ts") <= ttl_s
+    kept = last.join(used, key, "left").withColumn("recv_ts", F.when(alive, F.greatest("recv_ts", "used")).otherwise(F.col("recv_ts"))).drop("used")
+    now = sets.agg(F.max(F.unix_seconds("recv_ts")).alias("now"))  # one row
+    return kept.crossJoin(F.broadcast(now)).filter(F.col("now").isNull() | (F.col("now") - F.unix_seconds("recv_ts") <= ttl_s)).select(*templates.columns)
+
+
+def decode(datagrams: DataFrame, ttl_s: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Decoded flows of all three versions; addresses as wire bytes, times in ms, null where there is none.
+
+    `known` are templates from before these datagrams.
+    """
     sets = split_sets(datagrams)
-    records = decode_records(resolve_templates(sets, extract_templates(sets), ttl_s))
+    templates = extract_templates(sets)
+    records = decode_records(resolve_templates(sets, templates if known is None else known.unionByName(templates), ttl_s))
     return decode_v5(datagrams).unionByName(map_fields(cap_records(records)))
 
 

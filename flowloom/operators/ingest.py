@@ -64,22 +64,31 @@ def normalize_times(flows: DataFrame, start: Column | None = None, end: Column |
     return out.withColumn("end_s", F.when((end >= F.col("start_s")) & (end <= now + AHEAD_S), end).otherwise(F.col("start_s")))
 
 
-def skip_reason() -> Column:
-    """The first rule that a flow breaks, else null."""
+def skip_reason(both_private: Column | None = None) -> Column:
+    """The first rule that a flow breaks, else null.
+
+    both_private says whether both ends are private, for flows whose addresses of other kinds than IPv4 are gone.
+    """
+    private = X.is_private(F.col("src_ip")) & X.is_private(F.col("dst_ip"))
     return (
         F.when(F.col("skip_zero") & X.is_zero_bytes(F.col("bytes")), "zero_bytes")
         .when(F.col("skip_dns") & X.is_dns(F.col("src_port"), F.col("dst_port")), "dns")
-        .when(F.col("skip_private") & X.is_private(F.col("src_ip")) & X.is_private(F.col("dst_ip")), "private_to_private")
+        .when(F.col("skip_private") & (private if both_private is None else both_private), "private_to_private")
     )
 
 
+def reason_of(flows: DataFrame) -> Column:
+    """skip_reason for these flows: decoded ones bring the column both_private, which was judged on the wire's addresses."""
+    return skip_reason(F.col("both_private") if "both_private" in flows.columns else None)
+
+
 def with_skip_reason(flows: DataFrame) -> DataFrame:
-    return flows.withColumn("skip_reason", skip_reason())
+    return flows.withColumn("skip_reason", reason_of(flows))
 
 
 def apply_skip_rules(flows: DataFrame) -> DataFrame:
     """Flows that no rule skips."""
-    return flows.filter(skip_reason().isNull())
+    return flows.filter(reason_of(flows).isNull())
 
 
 def with_flow_type(flows: DataFrame, version: str = "version") -> DataFrame:
@@ -109,7 +118,7 @@ def accounting(raw: DataFrame, devices: DataFrame, mode: str = "allow", **option
     """(state, skip_reason, flows, bytes): what became of every flow; `kept` for those that are stored."""
     stamped = stamp_identity(raw, devices, mode, **options)
     admitted = F.col("state").isin("matched", "unknown")
-    reason = F.when(admitted, F.coalesce(skip_reason(), F.lit("kept"))).otherwise("")
+    reason = F.when(admitted, F.coalesce(reason_of(stamped), F.lit("kept"))).otherwise("")
     return stamped.withColumn("reason", reason).groupBy("state", "reason").agg(F.count("*").alias("flows"), F.sum("bytes").alias("bytes"))
 
 

@@ -210,3 +210,9 @@ def page_merged(hot: DataFrame, cold: DataFrame | None, f: SearchFilter, limit:
     limit, offset = page_bounds(limit, offset)
     rows = search_all(hot, cold, f, cap)
     return rows.orderBy(F.desc("time"), *[F.col(c) for c in sorted(rows.columns) if c != "time"]).offset(offset).limit(limit)
+
+
+def list_audit(audit: DataFrame, isp: int | None = None, n: int = 100) -> DataFrame:
+    """The latest lookups, of one tenant or of all (None)."""
+    rows = audit if isp is None else audit.filter(F.col("isp_id") == isp)
+    return rows.orderBy(F.desc("id")).limit(n)

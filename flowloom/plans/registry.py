@@ -62,8 +62,8 @@ SHOWN = "(nat_public_ip <> 0 AND NOT (nat_public_ip = src_ip AND nat_public_port
 
 
 def human(n: str) -> str:
-    cases = " ".join(f"WHEN {n} >= {1 << 10 * i} THEN printf('%.1f', {n} / {float(1 << 10 * i)}) || ' {u}iB'" for i, u in list(enumerate("KMGTPE", 1))[::-1])
-    return f"CASE {cases} ELSE {n}::VARCHAR || ' B' END"
+    cases = " ".join(f"WHEN ({n}) >= {1 << 10 * i} THEN printf('%.1f', ({n}) / {float(1 << 10 * i)}) || ' {u}iB'" for i, u in list(enumerate("KMGTPE", 1))[::-1])
+    return f"CASE {cases} ELSE ({n})::VARCHAR || ' B' END"
 
 
 RECORD = f"""CAST({ist_date("start_s")} AS VARCHAR) AS date, {ist_clock("start_s")} AS clock, CAST({ist_date("start_s")} AS VARCHAR) || ' ' || {ist_clock("start_s")} AS time,
@@ -476,7 +476,7 @@ def _(df):
 
 @query("t6_list_audit", "SELECT * FROM audit WHERE isp_id = 2 ORDER BY id DESC LIMIT 100")
 def _(spark, d):
-    return Fx.audit(spark, d).filter("isp_id = 2").orderBy(F.desc("id")).limit(100)
+    return S.list_audit(Fx.audit(spark, d), 2)
 
 
 @query("t7_list_archived_days", "SELECT day, rows FROM archived ORDER BY day DESC LIMIT 5")
@@ -720,5 +720,9 @@ def _(spark, d):
 
 def folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster shares."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="flowloom-")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="flowloom-")
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"

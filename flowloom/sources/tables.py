@@ -17,7 +17,7 @@ def read_datagrams(spark: SparkSession, path: str, stream: bool = False) -> Data
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
     """The hot table; filters on event_date prune its partitions."""
-    return spark.read.schema(schemas.FLOW_LOGS).parquet(path)
+    return spark.read.schema(schemas.FLOW_LOGS).parquet(path).drop("batch_id")
 
 
 def read_cold(spark: SparkSession, base: str, isp: int, days: list[str], fmt: str = "parquet") -> DataFrame:
@@ -39,12 +39,14 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return bundle.select("version", "unknown_mode", F.explode("devices").alias("d")).select("version", "unknown_mode", "d.*")
 
 
-def write_flows(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Appends flow_logs by day; rows of one exporter and device stand together, in the order of the table's key,
-    so that Parquet's statistics and Bloom filters on addresses find them."""
+def write_flows(df: DataFrame, path: str, files: int | None = None, batch_id: int = -1) -> None:
+    """Appends flow_logs by day, and below it by micro-batch (-1: none); rows of one exporter and device stand together, in
+    the order of the table's key, so that Parquet's statistics and Bloom filters on addresses find them. A micro-batch
+    overwrites what it has written before."""
     files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartition(files, "event_date", "exporter_ip", "device_id").sortWithinPartitions("event_date", *schemas.FLOW_KEY)
-    out = rows.write.mode("append").partitionBy("event_date")
+    out = rows.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("event_date", "batch_id")
+    out = out.mode("append") if batch_id < 0 else out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     for c in ("nat_public_ip", "src_ip"):
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
     out.parquet(path)

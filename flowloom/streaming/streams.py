@@ -14,19 +14,23 @@ from flowloom.operators import decode as D
 from flowloom.operators import ingest as I
 from flowloom.operators import liveness as V
 from flowloom.operators import rollup as R
+from flowloom.sources import tables as T
 
 TTL_MS = 30 * 60 * 1000
 STATEFUL = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, mode: str = "allow", **trigger) -> StreamingQuery:
+def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, mode: str = "allow", ttl_s: int = TTL_MS // 1000, **trigger) -> StreamingQuery:
     """Datagrams to the hot table: decoded, stamped, guarded, filtered and appended by day.
 
     The registry is read anew for every micro-batch; if that fails, the one before stays in force.
-    Templates are those of the micro-batch; template_state() keeps them over batches. A micro-batch
-    that runs again overwrites its own directory, so each flow is stored once.
+    Templates are kept over micro-batches, for ttl_s seconds after they were last sent or used, in a table beside the
+    checkpoint: each micro-batch reads the one of the batch before and writes its own. A micro-batch that runs again
+    overwrites its own flows and templates, so each flow is stored once. Flows of one day stand in that day's
+    partition, below it by micro-batch; read_flows() reads them, and drop_day() drops them.
     """
     held: list[DataFrame] = []
+    templates = f"{checkpoint}-templates"
 
     def store(batch: DataFrame, batch_id: int) -> None:
         try:
@@ -34,9 +38,13 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
         except Exception:  # noqa: BLE001  a registry that can't be read leaves the last one in force
             if not held:
                 raise
-        raw = D.to_raw_flows(D.decode(batch))
-        flows = I.ingest(raw, held[0], mode)
-        flows.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch_id={batch_id}")
+        spark, known = batch.sparkSession, None
+        if batch_id:
+            known = spark.read.schema(D.TEMPLATES).parquet(f"{templates}/{batch_id - 1}")
+        sets = D.split_sets(batch)
+        own = D.extract_templates(sets)
+        D.last_templates(own if known is None else known.unionByName(own), sets, ttl_s).write.mode("overwrite").parquet(f"{templates}/{batch_id}")
+        T.write_flows(I.ingest(D.to_raw_flows(D.decode(batch, ttl_s, known)), held[0], mode), path, batch_id=batch_id)
 
     return datagrams.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
@@ -119,7 +127,8 @@ class Liveness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state, out = tuple(self.state.get()) if self.state.exists() else None, []
-        for tick, seen in sorted((int(r["tick_s"]), None if pd.isna(r["seen_s"]) else int(r["seen_s"])) for part in rows for r in part.to_dict("records")):
+        ticks = [(int(r["tick_s"]), None if pd.isna(r["seen_s"]) else int(r["seen_s"])) for part in rows for r in part.to_dict("records")]
+        for tick, seen in sorted(ticks, key=lambda t: (t[0], t[1] or 0)):
             state, event = V.fold(state, tick, seen, self.silence_s, self.remind_s)
             if event:
                 out.append((*key, tick, event, state[0]))

@@ -75,3 +75,22 @@ def test_device_numbers_and_version(spark, registry):
     version = G.bundle_version(registry).first()[0]
     assert len(version) == 16
     assert version == G.bundle_version(registry.orderBy(F.desc("id"))).first()[0] != G.bundle_version(registry.filter("id = 1")).first()[0]
+
+
+def test_private_rule_on_ipv6(spark, registry):
+    """Addresses of IPv6 are judged on the wire's bytes, before they turn to 0."""
+    import ipaddress
+
+    from flowloom.operators import decode as D
+
+    rows = [("fe80::1", "fc00::1"), ("fe80::1", "2001:db8::1"), ("fd00::5", "fd00::6"), ("10.0.0.1", "192.168.0.1"), ("10.0.0.1", "8.8.8.8")]
+    at = "timestamp_seconds(1704150000)"
+    wire = spark.createDataFrame([(i, ipaddress.ip_address(a).packed, ipaddress.ip_address(b).packed) for i, (a, b) in enumerate(rows)], "n int, src_addr binary, dst_addr binary")
+    decoded = wire.selectExpr(
+        f"{X.ip('203.0.113.1')}L AS exporter_ip", "src_addr", "dst_addr", "CAST(NULL AS BINARY) AS nat_addr", "n AS src_port", "443 AS dst_port", "0 AS nat_public_port", "6 AS protocol", "9L AS bytes", "1L AS packets",
+        "'ipfix' AS flow_type", f"{at} AS recv_ts", "1704150000000L AS start_ms", "1704150000000L AS end_ms",
+    )
+    raw = D.to_raw_flows(decoded)
+    assert sorted(r.src_port for r in I.ingest(raw, registry, "allow").collect()) == [1, 4]
+    counted = {r.reason: r.flows for r in I.accounting(raw, registry).collect()}
+    assert counted == {"private_to_private": 3, "kept": 2}

@@ -33,11 +33,36 @@ def test_ingest_stream(spark, sf_dir, tmp_path):
     Fx.datagrams_v5(raw).union(Fx.datagrams_ipfix(raw)).repartition(2).write.parquet(f"{tmp_path}/in")
     stream = T.read_datagrams(spark, f"{tmp_path}/in", stream=True)
     streams.ingest_stream(stream, lambda s: Fx.devices(s, sf_dir), f"{tmp_path}/hot", f"{tmp_path}/check", availableNow=True).awaitTermination()
-    found = spark.read.parquet(f"{tmp_path}/hot").drop("batch_id")
+    found = T.read_flows(spark, f"{tmp_path}/hot")
     batch = I.ingest(D.to_raw_flows(D.decode(spark.read.parquet(f"{tmp_path}/in"))), Fx.devices(spark, sf_dir))
     assert rows_of(found.select(sorted(batch.columns))) == rows_of(batch)
 
 
+def test_ingest_stream_keeps_templates_over_batches(spark, sf_dir, tmp_path):
+    """A template in one micro-batch and its data in later ones; a withdrawal and half an hour without use end it."""
+    import datetime as dt
+
+    from tests import test_decode as B
+
+    sent = [
+        B.v9(B.a_set(0, B.template(256, *B.FIELDS))), B.v9(B.a_set(256, B.record())), B.v9(B.a_set(256, B.record("10.0.0.2"))),  # known, and again
+        B.v9(B.a_set(256, B.record("10.0.0.3"))),  # 25 minutes later: use has kept it alive
+        B.v9(B.a_set(256, B.record("10.0.0.4"))),  # 31 minutes after that: gone
+        B.ipfix(B.a_set(2, B.template(300, (8, 4), (12, 4), (1, 4)))), B.ipfix(B.a_set(2, b"\x01\x2c\x00\x00")), B.ipfix(B.a_set(300, B.ip4("10.0.0.5") + B.ip4("8.8.8.8") + b"\0\0\0\x09")),
+    ]
+    minutes = [0, 10, 20, 45, 76, 76, 77, 78]
+    for i, (payload, at) in enumerate(zip(sent, minutes)):
+        when = B.AT + dt.timedelta(minutes=at)
+        spark.createDataFrame([(i, when, B.X.ip("203.0.113.1"), 2055, payload)], schemas.DATAGRAMS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = T.read_datagrams(spark, f"{tmp_path}/in", stream=True)
+        devices = Fx.devices(spark, sf_dir)
+        streams.ingest_stream(stream, lambda s: devices, f"{tmp_path}/hot", f"{tmp_path}/check", availableNow=True).awaitTermination()
+    found = T.read_flows(spark, f"{tmp_path}/hot")
+    assert sorted(r.src_ip & 255 for r in found.collect()) == [1, 2, 3]
+    day = str(found.first().event_date)
+    assert L.drop_day(spark, f"{tmp_path}/hot", day) and not L.drop_day(spark, f"{tmp_path}/hot", day)
+
+
 def test_template_state(spark, sf_dir, tmp_path):
     Fx.datagrams_ipfix(Fx.raw_flows(spark, sf_dir).limit(50)).repartition(1).write.parquet(f"{tmp_path}/in")
     rows = collected(spark, streams.template_state(T.read_datagrams(spark, f"{tmp_path}/in", stream=True)), "templates", tmp_path)
