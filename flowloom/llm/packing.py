@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import types
 import zlib
 from collections import defaultdict
 
@@ -134,13 +136,22 @@ class Pieces:
         return self.ids[ragged(self.at[place], size)], upto[np.searchsorted(first, offsets)]
 
 
+def pieces_of(tokenizer: str) -> Pieces:
+    """One store for all tasks that a Python worker runs one after the other. Functions travel to it by value, so the store
+    is kept among the worker's modules."""
+    kept = sys.modules.setdefault("flowloom_pieces", types.ModuleType("flowloom_pieces"))
+    if getattr(kept, "tokenizer", None) != tokenizer:
+        kept.tokenizer, kept.pieces = tokenizer, Pieces(tokenizer)
+    return kept.pieces
+
+
 def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids by the tokenizers file and end_id, cut at
     each `size` ids."""
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        pieces = Pieces(tokenizer)
+        pieces = pieces_of(tokenizer)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in texts(column, 1 << 20):
