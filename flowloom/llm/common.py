@@ -110,6 +110,15 @@ class Rolling:
     def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.down[start])
 
+    def of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = (1 << 20) - 1) -> np.ndarray:
+        """Hashes of substrings that ascend and don't overlap, from sums of about `piece` bytes at a time."""
+        out, i = np.empty(len(start), U64), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + piece, "right")))
+            out[i:j] = self.hashes(self.sums(data[start[i] : end[j - 1]]), start[i:j] - start[i], end[i:j] - start[i])
+            i = j
+        return out
+
 
 def byte_set(keep: list[tuple[int, int]]) -> np.ndarray:
     """A table of 256 booleans from inclusive ranges."""

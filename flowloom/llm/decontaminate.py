@@ -35,7 +35,7 @@ def item_words(column: pa.Array, roll: Rolling) -> tuple[np.ndarray, np.ndarray]
     for _, _, data, offsets in texts(column):
         data = LOWER[data]
         start, end, upto = words(data, offsets, ALNUM)
-        hashes.append(roll.hashes(roll.sums(data), start, end))
+        hashes.append(roll.of_words(data, start, end))
         ends.append(upto[1:] + done)
         done += len(start)
     return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), np.concatenate(ends)
@@ -159,7 +159,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                 for lo, _, data, offsets in texts(batch.column(at), 1 << 22):
                     data = LOWER[data]
                     start, end, upto = words(data, offsets, ALNUM)
-                    where = shard_hits(roll.hashes(roll.sums(data), start, end), upto, known.value)[0]
+                    where = shard_hits(roll.of_words(data, start, end), upto, known.value)[0]
                     keep[lo + np.unique(np.searchsorted(upto, where, "right") - 1)] = False
                 yield batch.filter(pa.array(keep))
 
@@ -208,7 +208,7 @@ def _scan(known, roll: Rolling):
             for lo, hi, data, offsets in texts(batch.column("text"), 1 << 22):
                 data = LOWER[data]
                 start, end, upto = words(data, offsets, ALNUM)
-                hashes = roll.hashes(roll.sums(data), start, end)
+                hashes = roll.of_words(data, start, end)
                 where, which, depth, long, item_word = shard_hits(hashes, upto, items)
                 row = np.searchsorted(upto, where, "right") - 1
                 old = [before["hits"].slice(lo, hi - lo), before["items"].slice(lo, hi - lo)]

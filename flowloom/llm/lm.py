@@ -40,7 +40,7 @@ class Chunk:
             start, end, upto = words(data, offsets, NOT_SPACE)
             n = np.diff(upto)
             tokens = np.full(len(start) + len(n), END, U64)
-            tokens[np.arange(len(start)) + np.repeat(np.arange(len(n)), n)] = roll.hashes(roll.sums(data), start, end)
+            tokens[np.arange(len(start)) + np.repeat(np.arange(len(n)), n)] = roll.of_words(data, start, end)
             parts.append(tokens)
             counts.append(n + 1)
         self.tokens = np.concatenate(parts) if parts else np.zeros(0, U64)

@@ -42,15 +42,22 @@ def text_features(column: pa.Array, roll: Rolling) -> tuple[np.ndarray, np.ndarr
         low = LOWER[data]
         start, end, upto = words(low, offsets, ALNUM)
         row = np.repeat(np.arange(n), np.diff(upto))
-        hashed = roll.hashes(roll.sums(low), start, end)
+        hashed = roll.of_words(low, start, end)
         pairs = np.unique((row.astype(U64) << U64(32)) | (U64(SHAPES) + hashed % U64(WIDTH - SHAPES)))
         per_row = np.searchsorted(pairs, np.arange(n + 1, dtype=U64) << U64(32))
         l_start, l_end, l_upto = words(data, offsets, LINE)
         l_row = np.repeat(np.arange(n), np.diff(l_upto))
-        lines = roll.hashes(roll.sums(data), l_start, l_end) ^ mix(l_row.astype(U64))
+        lines = roll.of_words(data, l_start, l_end) ^ mix(l_row.astype(U64))
         kept = np.bincount(l_row[np.unique(lines, return_index=True)[1]], minlength=n)
         size = np.maximum(np.diff(offsets), 1)
-        share = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[data])])[offsets]) / size
+        filled = np.flatnonzero(np.diff(offsets))
+
+        def share(table: np.ndarray) -> np.ndarray:
+            of_row = np.zeros(n)
+            if len(filled):
+                of_row[filled] = np.add.reduceat(table[data], offsets[filled], dtype=np.int64)
+            return of_row / size
+
         n_words, distinct = np.diff(upto), np.diff(per_row)
         letters = np.bincount(row, weights=end - start, minlength=n)
         measures = [
