@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, Rolling, mix, ragged, texts, words
+from .common import ALNUM, LOWER, U64, Rolling, mix, ragged, short_batches, texts, words
 
 #: Words of test items that one pass takes to the tasks: about 100 MB with their ranks.
 BLOCK_WORDS = 4_000_000
@@ -137,6 +137,7 @@ def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.n
 
 def item_blocks(benchmark: DataFrame, roll: Rolling, window: int, seed: int, block_words: int) -> Iterator[Items]:
     """The items in blocks of about block_words words; a benchmark of ordinary size, or an empty one, makes one block."""
+    short_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // (4 * block_words)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Rolling, ragged, shuffle_partitions, texts, written
+from .common import NOT_SPACE, Rolling, ragged, short_batches, shuffle_partitions, texts, written
 
 SIZE = 1024
 #: White space beyond ASCII and odd ASCII separators; texts with these are tokenized whole.
@@ -148,6 +148,7 @@ def pieces_of(tokenizer: str) -> Pieces:
 def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids by the tokenizers file and end_id, cut at
     each `size` ids."""
+    short_batches(documents.sparkSession)
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def scan(batches):

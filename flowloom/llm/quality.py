@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, Rolling, byte_set, mix, ragged, texts, words
+from .common import ALNUM, LOWER, U64, Rolling, byte_set, mix, ragged, short_batches, texts, words
 
 #: Bound of the fit, in rows: labelled documents.
 LABEL_ROWS = 16000
@@ -179,6 +179,7 @@ def trained(documents: DataFrame, labels: DataFrame, rounds: int = 2, label_rows
     The model's "exchanged" has for each round the labels given by the text view and by the metadata view,
     each as [bad, good].
     """
+    short_batches(documents.sparkSession)
     roll = Rolling(21)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     hash_ = F.xxhash64(F.col(id_col), F.lit(3))
@@ -264,6 +265,7 @@ def judged(documents: DataFrame, model: dict | None, threshold: float = 0.5, tex
     Null and empty texts have the features of an empty text. Without a model, and for tables without
     both classes of labels, scores are null and every row is kept.
     """
+    short_batches(documents.sparkSession)
     if model is None:
         none = F.lit(None).cast("double")
         return documents.withColumns({"text_score": none, "meta_score": none, "score": none, "keep": F.lit(True)})
