@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.llm import components, decontaminate, lm, packing, quality, secrets, simhash, similar, suffixes, topk, urls, warc
-from flowloom.llm.common import shared_dir
+from flowloom.llm.common import BATCH_BYTES, shared_dir, short_batches
 from flowloom.llm.queries import QUERIES, SQL
 
 
@@ -471,3 +471,29 @@ def test_components(spark):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_arrow_batches_of_any_size_give_the_same(spark, documents, edges, sf_dir, pairs):
+    """Rows of one text a batch give what large batches do; a size that the session sets is kept."""
+    import public_tokenizers
+
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = {}
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        for size in ("1k", "64m"):
+            spark.conf.set(BATCH_BYTES, size)
+            short_batches(spark)
+            assert spark.conf.get(BATCH_BYTES) == size
+            found = decontaminate.contaminated(documents, benchmark)
+            pieces = packing.tokenized_pieces(edges, path)
+            out[size] = [sorted(pairs(df, *df.columns), key=str) for df in (found, pieces, similar.one_of_each(edges).select("doc_id", "text"))]
+        spark.conf.unset(BATCH_BYTES)
+        short_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == "4m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+        if before:
+            spark.conf.set(BATCH_BYTES, before)
+    assert out["1k"] == out["64m"]
