@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB texts."""
 
-from . import decontaminate, lm, packing, quality, secrets, simhash, suffixes, topk, urls, warc
+from . import clusters, decontaminate, language, lm, packing, periods, quality, secrets, simhash, suffixes, topk, urls, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_runs": periods.op11_runs,
+    "op12_clusters": clusters.op12_clusters,
+    "op13_language": language.op13_language,
 }
 
 SQL = {
@@ -22,4 +25,5 @@ SQL = {
     "op6_warc": warc.SQL,
     "op7_norm_topk": topk.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op12_clusters": clusters.SQL,
 }
