@@ -4,6 +4,7 @@ shared folder, and array helpers for tasks that work on whole Arrow batches."""
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import time
 import uuid
@@ -92,10 +93,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes up to which of_words() mixes a string piece by piece, and masks of the lowest 0 to 8 bytes.
+LONG = 256
+LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
 class Rolling:
-    """Hashes of substrings from one prefix sum: sum(R[byte] * P**position) * P**-start, mod 2**64.
+    """Hashes of substrings. Equal strings have equal hashes wherever they stand.
 
-    Equal strings have equal hashes wherever they stand.
+    hashes() takes them from one prefix sum, sum(R[byte] * P**position) * P**-start mod 2**64, for any number of short substrings
+    that overlap; modulo a power of two, some pairs of 1024 bytes and more have equal sums for every P. of_words() is for whole words.
     """
 
     def __init__(self, seed: int = 1):
@@ -118,13 +125,21 @@ class Rolling:
     def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.down[start])
 
-    def of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = (1 << 20) - 1) -> np.ndarray:
-        """Hashes of substrings that ascend and don't overlap, from sums of about `piece` bytes at a time."""
-        out, i = np.empty(len(start), U64), 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + piece, "right")))
-            out[i:j] = self.hashes(self.sums(data[start[i] : end[j - 1]]), start[i:j] - start[i], end[i:j] - start[i])
-            i = j
+    def of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of substrings, whose bytes are mixed in eight at a time; those of over LONG bytes are first digested. Unlike a
+        prefix sum, this has no pairs of strings that collide whatever the seed."""
+        size = end - start
+        out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + self.of_byte[0])
+        eight = np.ndarray(len(data) + 1, U64, np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+        while len(live):
+            piece = eight[start[live] + at] & LOWEST[np.minimum(size[live] - at, 8)]
+            out[live] = mix(out[live] ^ piece)
+            at += 8
+            live = live[size[live] > at]
+        for i in np.flatnonzero(size > LONG):
+            digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+            out[i : i + 1] = mix(out[i : i + 1] ^ np.frombuffer(digest, U64))
         return out
 
 

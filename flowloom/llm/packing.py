@@ -120,7 +120,7 @@ class Pieces:
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         first = np.flatnonzero(start)
         last = np.append(first[1:], len(data)) if len(first) else first
-        keys = self.roll.hashes(self.roll.sums(data), first, last)
+        keys = self.roll.of_words(data, first, last)
         distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > STORE:
             self.clear()
