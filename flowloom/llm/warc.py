@@ -30,7 +30,7 @@ from .common import shared_dir, shuffle_partitions
 
 ROLL_BYTES = 16 << 20
 #: Payload bytes of a range, about, and cells in which they are summed up at a time.
-RANGE_BYTES, CELLS = 64 << 20, 1 << 14
+RANGE_BYTES, CELLS = 64 << 20, 1 << 16
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,30 +105,30 @@ class Roller:
             yield {"file": self.name, "records": self.count, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
-def exact_cuts(sizes: DataFrame, key: str, size: str, target: int) -> list[int]:
+def exact_cuts(sizes: DataFrame, key: str, size: str, target: int, cells: int = CELLS) -> list[int]:
     """Ascending keys at which ranges of about `target` bytes start, the first left out; null keys don't count.
 
-    Sizes are summed up in at most CELLS cells; a cell with more than the target is cut again, down to single keys.
+    Keys are dealt to cells by their leading bits and their sizes summed up; a cell with more than the target is cut again by at
+    least one bit more, down to single keys. What comes to the driver are `cells` sums at a time, or two for each cell over
+    the target, which are fewer than ranges.
     """
-    sizes = sizes.filter(F.col(key).isNotNull())
+    flip, every = -(1 << 63), (1 << 64) - 1  # keys without a sign, in the same order
+    sizes = sizes.filter(F.col(key).isNotNull()).select(key, size, F.col(key).bitwiseXOR(F.lit(flip)).alias("__bits"))
     ends = sizes.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     if ends["lo"] is None:
         return []
     found: list[tuple[int, int]] = []  # (first key, bytes) of cells that need no more cutting
-    wide, shift = [(int(ends["lo"]), int(ends["hi"]))], None
-    while wide:
-        span = max(hi - lo for lo, hi in wide) + 1
-        shift = max(0, (span - 1).bit_length() - max(0, (CELLS // len(wide)).bit_length() - 1))
-        spans = F.broadcast(sizes.sparkSession.createDataFrame(wide, "lo long, hi long"))  # ranges over the target: few
-        inside = sizes.join(spans, F.col(key).between(F.col("lo"), F.col("hi")))
-        cells = inside.groupBy("lo", "hi", F.shiftright(F.col(key) - F.col("lo"), shift).alias("cell")).agg(F.sum(size).alias("bytes"), F.min(key).alias("first")).collect()
-        wide = []
-        for r in cells:
-            lo, hi = r["lo"] + (r["cell"] << shift), min(r["hi"], r["lo"] + ((r["cell"] + 1) << shift) - 1)
-            if shift and r["bytes"] > target:
-                wide.append((lo, hi))
-            else:
-                found.append((r["first"], r["bytes"]))
+    shift = max(0, ((int(ends["lo"]) ^ int(ends["hi"])) & every).bit_length() - cells.bit_length() + 1)
+    while True:
+        cut = sizes.groupBy(F.shiftrightunsigned("__bits", shift).alias("cell")).agg(F.sum(size).alias("bytes"), F.min(key).alias("first")).toArrow()
+        first, n = cut["first"].to_numpy(), cut["bytes"].to_numpy()
+        heavy = (n > target) & (shift > 0)
+        found += zip(first[~heavy].tolist(), n[~heavy].tolist())
+        if not heavy.any():
+            break
+        wide = sizes.sparkSession.createDataFrame(pa.table({"__cell": cut["cell"].filter(pa.array(heavy))}))
+        sizes = sizes.join(wide, F.shiftrightunsigned("__bits", shift) == F.col("__cell"), "left_semi")
+        shift = max(0, shift - max(1, (cells // int(heavy.sum())).bit_length() - 1))
     cuts, held = [], 0
     for first, n in sorted(found):
         if held and held + n > target:
