@@ -4,13 +4,14 @@ Each task takes a shard of documents, turns every word into a 64-bit hash and
 sorts the word suffixes into a suffix array, by their first `window` words, on
 ranks that the shard and the test items share. Suffixes whose first words
 (`seed` of them) stand nowhere in the benchmark match no test suffix that far
-and are left out of the array. Every test suffix is then binary-searched: the
-positions that share its first `window` words are hits, each is followed to
-the end of its verbatim match, and the longest is told with where it is.
+and are left out of the array. Every distinct window of the test suffixes is
+then binary-searched; the positions that begin with it are hits, one row each
+however often words repeat. The longest verbatim match of a document, with
+where it is, comes from a second suffix array of the words that were hit.
 
 The benchmark is what travels to the tasks, in broadcast blocks of at most
-`block_words` words, which the driver makes one after the other; documents stay
-where they are and pass one block after the other.
+`block_words` words, which the driver makes one after the other. Documents pass
+one block after the other, each in a stage of its own, so a task holds one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, Rolling, mix, ragged, short_batches, texts, words
+from .common import ALNUM, LOWER, U64, Rolling, mix, ragged, short_batches, texts, words, written
 
 #: Words of test items that one pass takes to the tasks: about 100 MB with their ranks.
 BLOCK_WORDS = 4_000_000
@@ -61,19 +62,6 @@ def ranks(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def common_prefix(a: np.ndarray, a_end: np.ndarray, at: np.ndarray, b: np.ndarray, b_end: np.ndarray, bt: np.ndarray, most: int) -> np.ndarray:
-    """Words that the suffixes of a from `at` and of b from `bt` share."""
-    out = np.zeros(len(at), np.int64)
-    live = np.arange(len(at))
-    for step in range(most):
-        live = live[(at[live] + step < a_end[live]) & (bt[live] + step < b_end[live])]
-        live = live[a[at[live] + step] == b[bt[live] + step]]
-        if not len(live):
-            break
-        out[live] += 1
-    return out
-
-
 class Items:
     """Test items as word hashes, and the keys by which a shard is searched."""
 
@@ -95,8 +83,9 @@ class Items:
             self.seeds[int(n)] = np.unique(g[own])
 
 
-def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
-    """(position, item, window length, longest match, position among the items' words) of every window found."""
+def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, window length, window) of every place in the shard where a window begins, one row for each length; and of the
+    windows, by number, (how many test suffixes begin with it, those suffixes one after the other)."""
     row_end = np.repeat(ends[1:], np.diff(ends))
     wanted = np.zeros(len(hashes), bool)
     for n, known in items.seeds.items():
@@ -117,7 +106,7 @@ def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.n
         there = pos + i < stop[pos]
         columns.append(np.where(there, both[np.minimum(pos + i, len(both) - 1)], U64(0)))
         columns.append(there)
-    out = []
+    out, numbered = [], 0
     for depth in np.unique(items.depth[items.item[items.starts]]):
         rank = ranks([c for pair in zip(columns[1 : 2 * depth : 2], columns[0 : 2 * depth : 2]) for c in pair])
         full = pos + depth <= stop[pos]
@@ -126,15 +115,78 @@ def shard_hits(hashes: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.n
         mine = mine[full[: len(at)]]
         order = np.lexsort((mine_at, mine))
         array, mine_at = mine[order], mine_at[order]
-        own = items.depth[items.item[items.starts]] == depth
-        lo, hi = np.searchsorted(array, test[own], "left"), np.searchsorted(array, test[own], "right")
+        own = np.flatnonzero(items.depth[items.item[items.starts]] == depth)
+        own = own[np.argsort(test[own], kind="stable")]
+        windows, first = np.unique(test[own], return_index=True)
+        lo, hi = np.searchsorted(array, windows, "left"), np.searchsorted(array, windows, "right")
+        size = np.diff(first, append=len(own))
+        met = np.flatnonzero(hi > lo)
+        lo, hi, size = lo[met], hi[met], size[met]
         where = mine_at[ragged(lo, hi - lo)]
-        which = np.repeat(items.starts[own], hi - lo)
-        long = common_prefix(hashes, row_end[where], where, items.hashes, items.end[which], which, 1 << 30)
-        out.append((where, items.item[which], np.full(len(where), depth), long, which))
+        out.append((where, np.full(len(where), depth), numbered + np.repeat(np.arange(len(met)), hi - lo), size, items.starts[own][ragged(first[met], size)]))
+        numbered += len(met)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def longest_matches(hashes: np.ndarray, ends: np.ndarray, items: Items, where: np.ndarray, depth: np.ndarray, window: np.ndarray, size: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words, test suffix) of the longest match of each document with a hit; of equal ones the first in the document.
+
+    Whole items of fewer words than a window match by their own length. For the others the words that windows cover, in the shard
+    and in the items, are sorted as suffixes by doubling; a suffix of the shard has its longest match beside it among
+    those of the items, of a length that is read off the doublings' names.
+    """
+    first = np.cumsum(size) - size
+    found = [(where, depth, suffixes[first[window]])]
+    long = np.flatnonzero(depth == items.window)
+    if len(long):
+        test = suffixes[ragged(first[np.unique(window[long])], size[np.unique(window[long])])]
+        mine, theirs = (np.unique(ragged(x, np.full(len(x), items.window))) for x in (where[long], test))
+        # Stretches of neighbours, a letter of its own after each: no match goes on past a document's or an item's end.
+        stop = np.concatenate([np.repeat(ends[1:], np.diff(ends))[mine], items.end[theirs]])
+        at, of = np.concatenate([mine, theirs]), np.repeat([0, 1], [len(mine), len(theirs)])
+        last = np.ones(len(at), bool)
+        last[:-1] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]) | (at[:-1] + 1 == stop[:-1])
+        place = np.arange(len(at)) + np.concatenate([[0], np.cumsum(last[:-1])])
+        name = np.full(len(at) + int(last.sum()), -1, np.int64)
+        name[place] = np.unique(np.concatenate([hashes[mine], items.hashes[theirs]]), return_inverse=True)[1]
+        gaps = np.flatnonzero(name < 0)
+        name[gaps] = name.max() + 1 + np.arange(len(gaps))
+        names, step, widest = [name], 1, int(np.diff(gaps, prepend=-1).max())
+        while step < widest:
+            name = names[-1]
+            after = np.zeros(len(name), np.int64)
+            after[:-step] = name[step:] + 1
+            names.append(np.unique(name * (len(name) + 2) + after, return_inverse=True)[1])
+            step *= 2
+        order = np.lexsort((np.arange(len(name)), names[-1]))
+        home = np.full(len(name), -1, np.int64)  # of the letters of items, where they stand
+        home[place[len(mine) :]] = theirs
+        inside = home[order] >= 0
+        starts = np.isin(mine, where[long])
+        p = place[: len(mine)][starts]
+        spot = np.empty(len(name), np.int64)
+        spot[order] = np.arange(len(order))
+        before = np.maximum.accumulate(np.where(inside, np.arange(len(order)), -1))
+        behind = np.minimum.accumulate(np.where(inside, np.arange(len(order)), len(order))[::-1])[::-1]
+        for near in (before, behind):
+            q = near[spot[p]]
+            some = np.flatnonzero((q >= 0) & (q < len(order)))
+            a, b = p[some].copy(), order[q[some]]
+            other, words_ = b.copy(), np.zeros(len(some), np.int64)
+            for k in reversed(range(len(names))):
+                for _ in range(2 if k == len(names) - 1 else 1):
+                    fits = (a < len(name)) & (b < len(name))
+                    same = np.zeros(len(a), bool)
+                    same[fits] = names[k][a[fits]] == names[k][b[fits]]
+                    a, b, words_ = a + (same << k), b + (same << k), words_ + (same << k)
+            found.append((mine[starts][some], words_, home[other]))
+    place, words_, suffix = (np.concatenate(x) for x in zip(*found))
+    row = np.searchsorted(ends, place, "right") - 1
+    order = np.lexsort((suffix, place, -words_, row))
+    pick = order[np.unique(row[order], return_index=True)[1]]
+    return place[pick], words_[pick], suffix[pick]
+
+
 def item_blocks(benchmark: DataFrame, roll: Rolling, window: int, seed: int, block_words: int) -> Iterator[Items]:
     """The items in blocks of about block_words words; a benchmark of ordinary size, or an empty one, makes one block."""
     short_batches(benchmark.sparkSession)
@@ -166,7 +218,8 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
         return scan
 
-    for known in item_blocks(benchmark, roll, window, seed, block_words):
+    for nth, known in enumerate(item_blocks(benchmark, roll, window, seed, block_words)):
+        plain = written(plain, "decontaminate") if nth else plain  # a task holds one block
         plain = plain.mapInArrow(clean(documents.sparkSession.sparkContext.broadcast(known)), plain.schema)
     return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
@@ -190,7 +243,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, s
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), none.cast("array<long>").alias("hits"), none.cast("array<string>").alias("items"),
         F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_at"), F.lit(None).cast("string").alias("longest_item"), F.lit(None).cast("long").alias("longest_item_at"),
     )
-    for known in item_blocks(benchmark, roll, window, seed, block_words):
+    for nth, known in enumerate(item_blocks(benchmark, roll, window, seed, block_words)):
+        found = written(found, "decontaminate") if nth else found  # a task holds one block
         found = found.mapInArrow(_scan(context.broadcast(known), roll), found.schema)
     items = F.array_distinct("items")
     return found.select(
@@ -210,24 +264,30 @@ def _scan(known, roll: Rolling):
                 data = LOWER[data]
                 start, end, upto = words(data, offsets, ALNUM)
                 hashes = roll.of_words(data, start, end)
-                where, which, depth, long, item_word = shard_hits(hashes, upto, items)
+                where, depth, window, size, suffixes = shard_hits(hashes, upto, items)
                 row = np.searchsorted(upto, where, "right") - 1
                 old = [before["hits"].slice(lo, hi - lo), before["items"].slice(lo, hi - lo)]
                 told = upto[np.repeat(np.arange(hi - lo), np.diff(old[0].offsets.to_numpy()))] + old[0].flatten().to_numpy()
                 hit = np.unique(np.concatenate([ragged(where, depth), told]))
                 hit_row = np.searchsorted(upto, hit, "right") - 1
                 bounds = np.searchsorted(hit_row, np.arange(hi - lo + 1))
-                pairs = np.unique(np.stack([row, which]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
                 names: list[list[str]] = old[1].to_pylist()
-                for r, i in pairs.T.tolist():
-                    names[r].append(items.ids[i])
+                if len(where):
+                    # Windows of each document, then the items of each window, once each.
+                    met = np.unique(np.stack([row, window]), axis=1)
+                    of = np.unique(np.stack([np.repeat(np.arange(len(size)), size), items.item[suffixes]]), axis=1)
+                    first = np.searchsorted(of[0], np.arange(len(size) + 1))
+                    many = np.diff(first)[met[1]]
+                    pairs = np.unique(np.stack([np.repeat(met[0], many), of[1][ragged(first[met[1]], many)]]), axis=1)
+                    for r, i in pairs.T.tolist():
+                        names[r].append(items.ids[i])
                 top = {c: before[c].slice(lo, hi - lo).to_pylist() for c in ("longest", "longest_at", "longest_item", "longest_item_at")}
-                first = np.lexsort((where, -long, row))
-                for k in first[np.unique(row[first], return_index=True)[1]].tolist():
-                    r, place = int(row[k]), int(where[k] - upto[row[k]])
-                    if (long[k], -place) > (top["longest"][r], -(top["longest_at"][r] or 0)):
-                        top["longest"][r], top["longest_at"][r] = int(long[k]), place
-                        top["longest_item"][r], top["longest_item_at"][r] = items.ids[which[k]], int(item_word[k] - items.begin[which[k]])
+                for at, long, suffix in zip(*longest_matches(hashes, upto, items, where, depth, window, size, suffixes)) if len(where) else ():
+                    r = int(np.searchsorted(upto, at, "right")) - 1
+                    place = int(at - upto[r])
+                    if (long, -place) > (top["longest"][r], -(top["longest_at"][r] or 0)):
+                        top["longest"][r], top["longest_at"][r] = int(long), place
+                        top["longest_item"][r], top["longest_item_at"][r] = items.ids[items.item[suffix]], int(suffix - items.begin[items.item[suffix]])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo), pa.array(np.diff(upto).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - upto[hit_row], pa.int64())), pa.array(names, pa.list_(pa.string())),

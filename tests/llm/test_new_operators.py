@@ -258,3 +258,121 @@ def test_language_sample_is_bounded(spark, documents):
     held = language.sampled(rows, 80_000, 3).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
     assert len(held) == 3 and all(5_000 < r.n <= 80_000 / 3 for r in held)
     assert language.sampled(rows.filter("doc_id = 5"), 1, 256).count() == 1
+
+
+# Mended: hashes, archives, decontamination
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_word_hashes_have_no_certain_collisions():
+    from flowloom.llm.common import LONG, Rolling
+
+    rng = np.random.default_rng(0)
+    strings = {thue_morse(n, f) for n in (64, 256, 257, 1024, 2048, 4096) for f in (0, 1)}
+    strings |= {"", "a", "aa", "b", "a\0", "\0", "\0\0"} | {"x" * n for n in range(1, LONG + 20)} | {"".join(rng.choice(list("ab"), n)) for n in range(1, 40) for _ in range(20)}
+    strings = sorted(strings)
+    data = np.frombuffer("".join(strings).encode(), np.uint8)
+    end = np.cumsum([len(s) for s in strings])
+    for seed in (3, 5, 9, 13):
+        h = Rolling(seed).of_words(data, end - [len(s) for s in strings], end)
+        assert len(set(h.tolist())) == len(strings)
+        again = Rolling(seed).of_words(np.concatenate([data[5:], data]), end + len(data) - 5 - [len(s) for s in strings], end + len(data) - 5)
+        assert (h == again).all()
+
+
+def test_colliding_words_are_told_apart(spark, pairs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from flowloom.llm import decontaminate, lm, packing, similar
+
+    long = [thue_morse(n, f) for n in (1024, 2048, 4096) for f in (0, 1)]
+    rows = [(i, f"{w} end of {w}") for i, w in enumerate(long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = Tokenizer.from_file(path)
+    got = {d: n for d, n in pairs(packing.tokenized_pieces(df, path).select("doc_id", "doc_tokens").distinct(), "doc_id", "doc_tokens")}
+    assert got == {d: len(ids.encode(t, add_special_tokens=False).ids) + 1 for d, t in rows}
+    items = spark.createDataFrame([(0, long[0])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(df, items).filter("contaminated").collect()} == {0}
+    kept = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 10]
+    known = {r.doc_id: r.n_known for r in lm.scored(df).collect()}
+    assert known == {d: 5 if d in kept else 3 for d, _ in rows}
+    assert similar.one_of_each(df).count() == len(rows)
+
+
+@pytest.mark.parametrize(("target", "cells"), [(1, 1 << 16), (40_000, 64)])
+def test_archive_ranges_of_any_ids(spark, target, cells):
+    from flowloom.llm import warc
+
+    tables = {
+        "hashes": spark.range(20_000).select(F.xxhash64("id").alias("k")),
+        "ends": spark.range(1000).select(F.when(F.col("id") == 0, -(2**63)).when(F.col("id") == 1, 2**63 - 1).otherwise(F.col("id") - 500).alias("k")),
+        "even": spark.range(20_000).select((F.col("id") * 7).alias("k")),
+        "one": spark.range(50).select(F.lit(5).cast("long").alias("k")),
+        "null": spark.range(5).select(F.lit(None).cast("long").alias("k")),
+    }
+    for df in tables.values():
+        sizes = df.select("k", F.lit(10).cast("long").alias("n"))
+        keys = sorted(r.k for r in df.collect() if r.k is not None)
+        sums = sorted(Counter(keys).items())
+        cuts = warc.exact_cuts(sizes, "k", "n", target, cells)
+        assert cuts == sorted(set(cuts)) and set(cuts) <= set(keys[1:])
+        edges = np.searchsorted(cuts, [k for k, _ in sums], "right")
+        held, single = Counter(), Counter()
+        for (_, n), e in zip(sums, edges):
+            held[int(e)] += 10 * n
+            single[int(e)] += 1
+        assert all(n <= target or single[e] == 1 for e, n in held.items())
+
+
+def test_archive_of_hashed_ids(spark, tmp_path):
+    from flowloom.llm import warc
+
+    pages = spark.range(300).select(F.xxhash64("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("x"), (F.col("id") % 50).cast("string")).alias("html"))
+    warc.write_archive(pages, f"file://{tmp_path}/w", range_bytes=20_000)
+    found = warc.read_archive(spark, f"file://{tmp_path}/w")
+    assert found.count() == 300 and found.filter("record_type = 'response'").count() == 50
+
+
+def test_decontaminate_repeated_words(spark):
+    """Long stretches of one word, in documents and items alike, cost as many rows as words."""
+    import time
+
+    from flowloom.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "0 " * 20_000), (2, "0 1 " * 5000), (3, "0 " * 9), (4, "a " * 30 + "0 " * 25 + "b")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "0 " * 10_000), (8, "1 0 " * 3000), (9, "0 0 0")], "item_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in decontaminate.contaminated(docs, items).collect()}
+    assert time.time() - began < 30
+    assert [(found[d].n_words, found[d].n_hit, found[d].longest, found[d].longest_at, found[d].items) for d in (1, 2, 3, 4)] == [(20_000, 20_000, 10_000, 0, ["7", "9"]), (10_000, 10_000, 6000, 1, ["8"]), (9, 9, 3, 0, ["9"]), (56, 25, 25, 30, ["7", "9"])]
+
+
+def test_longest_matches_by_brute_force(spark, pairs):
+    from flowloom.llm import decontaminate
+
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(map(str, rng.integers(0, 2, n)))
+    items = [(i, text(n)) for i, n in enumerate([200, 60, 3, 11, 10])] + [(9, "0 " * 40)]
+    docs = [(i, text(150)) for i in range(20)] + [(99, items[0][1][40:200] + " 7 " + items[1][1]), (100, "0 " * 60)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    words = {i: t.split() for i, t in items}
+    got = {r.doc_id: r for r in found.collect()}
+    for d, t in docs:
+        w, best = t.split(), (0, 0)
+        for i in range(len(w)):
+            for v in words.values():
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= min(10, len(v)) and (n, -i) > best:
+                        best = (n, -i)
+        r = got[d]
+        assert (r.longest, -(r.longest_at or 0)) == best
+        if r.longest:
+            assert words[int(r.longest_item)][r.longest_item_at : r.longest_item_at + r.longest] == w[r.longest_at : r.longest_at + r.longest]
