@@ -132,6 +132,54 @@ def datagrams_ipfix(raw: DataFrame) -> DataFrame:
     return raw.select(F.xxhash64(*raw.columns, nth).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(4739).alias("port"), F.concat(*head, *body).alias("payload"))
 
 
+#: Elements and lengths of version 9, whose template comes by itself.
+V9_TEMPLATE = [(8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (1, 8), (2, 4), (22, 4), (21, 4), (225, 4), (227, 2), (5, 1)]
+HALF_HOUR = 1800
+
+
+def field_bytes(fields: list[tuple[int, int]]) -> bytes:
+    return b"".join(ie.to_bytes(2, "big") + n.to_bytes(2, "big") for ie, n in fields)
+
+
+def datagrams_v9(raw: DataFrame) -> DataFrame:
+    """A version 9 datagram for every flow, whose start is 100 s before it was received, and one with the template for each exporter
+    and half hour that has flows."""
+    raw, c = spread(raw), F.col
+    size = sum(n for _, n in V9_TEMPLATE)
+    head = lambda at: [wire(9, 2), wire(1, 2), wire(200000, 4), wire(at, 4), F.lit(bytes(4)), wire(7, 4)]
+    values = {22: F.lit(100000), 21: 100000 + c("dur_s") * 1000, 5: F.lit(3)} | dict(zip((8, 12, 7, 11, 4, 1, 2, 225, 227), map(c, ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes", "packets", "nat_public_ip", "nat_public_port"))))
+    body = [wire(values[ie], n) for ie, n in V9_TEMPLATE]
+    row = lambda at, *parts: [F.timestamp_seconds(at).alias("recv_ts"), "exporter_ip", F.lit(2055).alias("port"), F.concat(*head(at), *parts).alias("payload")]
+    data = raw.select(F.xxhash64(*raw.columns).alias("datagram_id"), *row(c("received_s"), wire(310, 2), wire(4 + size, 2), *body))
+    fields = field_bytes(V9_TEMPLATE)
+    slots = raw.select("exporter_ip", (c("received_s") - c("received_s") % HALF_HOUR).alias("slot_s")).distinct()
+    # Ids sort before those of data that came in the same second.
+    told = slots.select(F.lit(-(2**63)).alias("datagram_id"), *row(c("slot_s"), wire(0, 2), wire(8 + len(fields), 2), wire(310, 2), wire(len(V9_TEMPLATE), 2), F.lit(fields)))
+    return data.unionByName(told)
+
+
+def datagrams_variable(raw: DataFrame) -> DataFrame:
+    """A version 10 datagram for every flow, with its template and a name of 0 to 299 bytes between the addresses and the counters."""
+    raw, c = spread(raw), F.col
+    fields = field_bytes([(8, 4), (12, 4), (82, 65535), (1, 8), (2, 8)])
+    template = (2).to_bytes(2, "big") + (8 + len(fields)).to_bytes(2, "big") + (301).to_bytes(2, "big") + (5).to_bytes(2, "big") + fields
+    n = c("src_port") % 300
+    name = F.concat(F.when(n < 255, wire(n, 1)).otherwise(F.concat(F.lit(b"\xff"), wire(n, 2))), F.encode(F.repeat(F.lit("n"), n.cast("int")), "UTF-8"))
+    body = F.concat(wire(c("src_ip"), 4), wire(c("dst_ip"), 4), name, wire(c("bytes"), 8), wire(c("packets"), 8))
+    size = F.length(body)
+    payload = F.concat(wire(10, 2), wire(20 + len(template) + size, 2), wire(c("received_s"), 4), F.lit(bytes(8)), F.lit(template), wire(301, 2), wire(4 + size, 2), body)
+    return raw.select(F.xxhash64(*raw.columns).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(4739).alias("port"), payload.alias("payload"))
+
+
+def datagrams_crowded(exporters: DataFrame) -> DataFrame:
+    """A version 9 datagram for each device, with two sets of 40 records for each unit of its device_id modulo 128: up to 10,160 records."""
+    template = (0).to_bytes(2, "big") + (12).to_bytes(2, "big") + (256).to_bytes(2, "big") + (1).to_bytes(2, "big") + field_bytes([(8, 4)])
+    n = 40 * (F.col("device_id") % 128)
+    a_set = F.concat(wire(256, 2), wire(4 + 4 * n, 2), F.unhex(F.repeat(F.lit("0A000001"), n.cast("int"))))
+    payload = F.concat(wire(9, 2), wire(3, 2), F.lit(bytes(16)), F.lit(template), a_set, a_set)
+    return exporters.select(F.col("id").alias("datagram_id"), F.timestamp_seconds(F.lit(AS_OF_S)).alias("recv_ts"), "exporter_ip", F.lit(2055).alias("port"), payload.alias("payload"))
+
+
 PRIVATE = "({0} BETWEEN 167772160 AND 184549375 OR {0} BETWEEN 2886729728 AND 2887778303 OR {0} BETWEEN 3232235520 AND 3232301055 OR {0} BETWEEN 1681915904 AND 1686110207 OR {0} BETWEEN 2130706432 AND 2147483647 OR {0} BETWEEN 2851995648 AND 2852061183)"
 
 

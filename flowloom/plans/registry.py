@@ -696,6 +696,55 @@ def _(spark, d):
     return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "nat_public_ip", "src_port", "dst_port", "nat_public_port", "protocol", "bytes", "packets", start.alias("start_s")).agg(F.count("*").alias("n"))
 
 
+V9 = "FROM raw_flows WHERE flow_type = 'netflow9'"
+
+
+@query("d2_d9_decode_v9", f"""SELECT exporter_ip, src_ip, dst_ip, nat_public_ip, src_port, dst_port, nat_public_port, protocol, bytes, packets, received_s - 100 AS start_s, received_s - 100 + dur_s AS end_s, COUNT(*) AS n {V9} GROUP BY ALL""")
+def _(spark, d):
+    """Templates once for each half hour that an exporter sends in; every flow finds the one before it."""
+    decoded = D.to_raw_flows(D.decode(Fx.datagrams_v9(raw_flows(spark, d).filter("flow_type = 'netflow9'")), ttl_s=Fx.HALF_HOUR))
+    start = F.col("received_s") + F.col("start_off_s")
+    return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "nat_public_ip", "src_port", "dst_port", "nat_public_port", "protocol", "bytes", "packets", start.alias("start_s"), (start + F.col("dur_s")).alias("end_s")).agg(F.count("*").alias("n"))
+
+
+@query("d6_template_lives", f""", r AS (SELECT exporter_ip, received_s, row_number() OVER w AS nth, received_s - lag(received_s) OVER w > 600 AS late {V9} WINDOW w AS (PARTITION BY exporter_ip ORDER BY received_s)),
+f AS (SELECT *, CASE WHEN nth = 1 THEN received_s END AS told, sum(CAST(coalesce(late, false) AS INT)) OVER (PARTITION BY exporter_ip ORDER BY received_s) AS gaps FROM r)
+SELECT exporter_ip, CAST(count(*) FILTER (gaps = 0) AS BIGINT) AS flows FROM f GROUP BY 1 HAVING count(*) FILTER (gaps = 0) > 0""")
+def _(spark, d):
+    """One template from each exporter, with its first flow: it lives as long as no two flows are over ten minutes apart."""
+    sent = Fx.datagrams_v9(raw_flows(spark, d).filter("flow_type = 'netflow9'"))
+    told = F.substring("payload", 21, 2) == F.lit(b"\0\0")
+    first = sent.filter(~told).groupBy("exporter_ip").agg(F.min("recv_ts").alias("first"))
+    once = sent.filter(told).groupBy("exporter_ip", "port").agg(F.min_by("payload", "recv_ts").alias("payload")).join(first, "exporter_ip").select(F.lit(-(2**63)).alias("datagram_id"), F.col("first").alias("recv_ts"), "exporter_ip", "port", "payload")
+    return D.decode(sent.filter(~told).unionByName(once), ttl_s=600).groupBy("exporter_ip").agg(F.count("*").alias("flows"))
+
+
+@query("d8_decode_variable", "SELECT exporter_ip, src_ip, dst_ip, bytes, packets, received_s AS start_s, COUNT(*) AS n FROM raw_flows WHERE flow_type = 'ipfix' GROUP BY ALL")
+def _(spark, d):
+    decoded = D.to_raw_flows(D.decode(Fx.datagrams_variable(raw_flows(spark, d).filter("flow_type = 'ipfix'"))))
+    return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "bytes", "packets", (F.col("received_s") + F.col("start_off_s")).alias("start_s")).agg(F.count("*").alias("n"))
+
+
+@query("d11_record_cap", "SELECT exporter_ip, CAST(SUM(least(80 * (device_id % 128), 8192)) AS BIGINT) AS records FROM devices WHERE device_id % 128 > 0 GROUP BY ALL")
+def _(spark, d):
+    return D.decode(Fx.datagrams_crowded(devices(spark, d))).groupBy("exporter_ip").agg(F.count("*").alias("records"))
+
+
+@query("d12_unknown_templates", f"SELECT exporter_ip, CAST(9 AS INT) AS version, CAST(7 AS BIGINT) AS domain, CAST(310 AS INT) AS set_id, COUNT(*) AS sets {V9} AND exporter_ip % 3 = 0 GROUP BY ALL")
+def _(spark, d):
+    sent = Fx.datagrams_v9(raw_flows(spark, d).filter("flow_type = 'netflow9'"))
+    sent = sent.filter((F.col("exporter_ip") % 3 != 0) | (F.substring("payload", 21, 2) != F.lit(b"\0\0")))
+    sets = D.split_sets(sent)
+    return D.unknown_template_sets(D.resolve_templates(sets, D.extract_templates(sets)))
+
+
+@query("s4_filter_protocol", "SELECT received_s // 86400 AS day, COUNT(*) AS n FROM raw_flows WHERE flow_type = 'ipfix' GROUP BY ALL")
+def _(spark, d):
+    raw = raw_flows(spark, d)
+    both = Fx.datagrams_v5(raw).unionByName(Fx.datagrams_ipfix(raw.filter("flow_type = 'ipfix'")))
+    return D.filter_protocol(both, "ipfix").groupBy(F.floor(F.unix_seconds("recv_ts") / 86400).alias("day")).agg(F.count("*").alias("n"))
+
+
 @query("d13_classify_datagrams", "SELECT 'ok' AS verdict, COUNT(*) AS n FROM raw_flows WHERE flow_type = 'ipfix' UNION ALL SELECT 'short', COUNT(*) FROM raw_flows WHERE flow_type = 'ipfix'")
 def _(spark, d):
     whole = Fx.datagrams_ipfix(raw_flows(spark, d).filter("flow_type = 'ipfix'"))

@@ -39,10 +39,22 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return bundle.select("version", "unknown_mode", F.explode("devices").alias("d")).select("version", "unknown_mode", "d.*")
 
 
+def delete(spark: SparkSession, pattern: str) -> int:
+    """Deletes the files and folders of a pattern; how many there were."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.globStatus(at) or []]
+    for x in found:
+        fs.delete(x, True)
+    return len(found)
+
+
 def write_flows(df: DataFrame, path: str, files: int | None = None, batch_id: int = -1) -> None:
     """Appends flow_logs by day, and below it by micro-batch (-1: none); rows of one exporter and device stand together, in
     the order of the table's key, so that Parquet's statistics and Bloom filters on addresses find them. A micro-batch
     overwrites what it has written before."""
+    if batch_id >= 0:
+        delete(df.sparkSession, f"{path}/event_date=*/batch_id={batch_id}")  # of days, too, that it has no rows for this time
     files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartition(files, "event_date", "exporter_ip", "device_id").sortWithinPartitions("event_date", *schemas.FLOW_KEY)
     out = rows.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("event_date", "batch_id")

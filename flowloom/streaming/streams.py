@@ -14,6 +14,7 @@ from flowloom.operators import decode as D
 from flowloom.operators import ingest as I
 from flowloom.operators import liveness as V
 from flowloom.operators import rollup as R
+from flowloom.operators import templates as Life
 from flowloom.sources import tables as T
 
 TTL_MS = 30 * 60 * 1000
@@ -25,7 +26,8 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
 
     The registry is read anew for every micro-batch; if that fails, the one before stays in force.
     Templates are kept over micro-batches, for ttl_s seconds after they were last sent or used, in a table beside the
-    checkpoint: each micro-batch reads the one of the batch before and writes its own. A micro-batch that runs again
+    checkpoint: each micro-batch reads the one of the batch before and writes its own, and the one before that goes. However the
+    same datagrams are cut into batches, the same flows are stored. A micro-batch that runs again
     overwrites its own flows and templates, so each flow is stored once. Flows of one day stand in that day's
     partition, below it by micro-batch; read_flows() reads them, and drop_day() drops them.
     """
@@ -38,13 +40,17 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
         except Exception:  # noqa: BLE001  a registry that can't be read leaves the last one in force
             if not held:
                 raise
-        spark, known = batch.sparkSession, None
+        spark, events = batch.sparkSession, D.events_of(batch)
         if batch_id:
-            known = spark.read.schema(D.TEMPLATES).parquet(f"{templates}/{batch_id - 1}")
-        sets = D.split_sets(batch)
-        own = D.extract_templates(sets)
-        D.last_templates(own if known is None else known.unionByName(own), sets, ttl_s).write.mode("overwrite").parquet(f"{templates}/{batch_id}")
-        T.write_flows(I.ingest(D.to_raw_flows(D.decode(batch, ttl_s, known)), held[0], mode), path, batch_id=batch_id)
+            events = spark.read.schema(Life.EVENTS).parquet(f"{templates}/{batch_id - 1}").unionByName(events)
+        chain = Life.chained(events, ttl_s).persist()
+        try:
+            now = chain.agg(F.max("at")).first()[0]
+            Life.carried(chain, ttl_s, now).write.mode("overwrite").parquet(f"{templates}/{batch_id}")
+            T.write_flows(I.ingest(D.to_raw_flows(D.decode(batch, ttl_s, chain=chain)), held[0], mode), path, batch_id=batch_id)
+        finally:
+            chain.unpersist()
+        T.delete(spark, f"{templates}/{batch_id - 2}")
 
     return datagrams.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
@@ -53,49 +59,55 @@ TEMPLATE_EVENTS = StructType([StructField("exporter_ip", LongType()), StructFiel
 
 
 class Templates(StatefulProcessor):
-    """Templates of one exporter and domain as JSON by version and id. Idle ones expire; use keeps them alive."""
+    """Templates of one exporter and domain as JSON by version and id, each with when it was last sent or used. Idle ones expire by
+    the times of the datagrams, however late they are read; beyond `most` the one unused longest goes."""
+
+    def __init__(self, ttl_s: int, most: int):
+        self.ttl_us, self.most = ttl_s * 1_000_000, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("templates", "id string", "template string", TTL_MS)
+        self.known = handle.getMapState("templates", "id string", "template string, used long")
+        self.held = handle.getValueState("held", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        out = []
+        out, held = [], int(self.held.get()[0]) if self.held.exists() else 0
+
+        def tell(r: dict, event: str, template: str | None = None) -> None:
+            out.append((*key, r["version"], r["template_id"], event, template))
+
         for r in sorted((r for part in rows for r in part.to_dict("records")), key=lambda r: (r["recv_ts"], r["datagram_id"], r["set_ordinal"], r["template_ordinal"])):
-            name = (f"{r['version']}/{r['template_id']}",)
-            if r["template"] is None:  # a data set asks
-                found = self.known.getValue(name) if self.known.containsKey(name) else None
+            name, now, told = (f"{r['version']}/{r['template_id']}",), r["recv_ts"].value // 1000, r["definition"]
+            found = self.known.getValue(name) if self.known.containsKey(name) else None
+            if found is not None and (told == Life.WITHDRAWN or now - found[1] > self.ttl_us):
+                self.known.removeKey(name)
+                held, found = held - 1, None
+            if told is None:  # a data set asks
                 if found is not None:
-                    self.known.updateValue(name, found)
-                out.append((*key, r["version"], r["template_id"], "known" if found else "unknown", found[0] if found else None))
-            elif r["template"] == "":
-                if self.known.containsKey(name):
-                    self.known.removeKey(name)
-                out.append((*key, r["version"], r["template_id"], "withdrawn", None))
+                    self.known.updateValue(name, (found[0], max(found[1], now)))
+                tell(r, "known" if found else "unknown", found[0] if found else None)
+            elif told == Life.WITHDRAWN:
+                tell(r, "withdrawn")
             else:
-                self.known.updateValue(name, (r["template"],))
-                out.append((*key, r["version"], r["template_id"], "stored", r["template"]))
+                self.known.updateValue(name, (told, now))
+                held += found is None
+                tell(r, "stored", told)
+                if held > self.most:
+                    oldest = min(self.known.iterator(), key=lambda kv: (kv[1][1], kv[0]))[0]
+                    self.known.removeKey(oldest)
+                    held -= 1
+                    v, t = oldest[0].split("/")
+                    tell({"version": int(v), "template_id": int(t)}, "evicted")
+        self.held.update((held,))
         yield pd.DataFrame(out, columns=[f.name for f in TEMPLATE_EVENTS])
 
     def close(self) -> None:
         pass
 
 
-def template_events(sets: DataFrame) -> DataFrame:
-    """Rows of template_state(): templates as JSON, withdrawals as empty text, data sets as null."""
-    t = D.extract_templates(sets)
-    body = F.when(F.col("withdrawn"), "").otherwise(F.to_json(F.struct("fields", "record_len", "has_varlen", "is_options")))
-    head = ["exporter_ip", "domain", "version", "template_id", "recv_ts", "datagram_id", "set_ordinal", "template_ordinal"]
-    data = sets.filter(F.col("set_id") >= D.FIRST_DATA_SET).withColumns({"template_id": F.col("set_id"), "template_ordinal": F.lit(-1), "template": F.lit(None).cast("string")})
-    return t.withColumn("template", body).select(*head, "template").unionByName(data.select(*head, "template"))
-
-
-def template_state(datagrams: DataFrame) -> DataFrame:
-    """What each exporter's templates do, with state that expires after 30 idle minutes; set STATEFUL on the session.
-
-    Expiry runs in batches without rows, so a query on this never ends by itself, not even under availableNow.
-    """
-    rows = template_events(D.split_sets(datagrams))
-    return rows.groupBy("exporter_ip", "domain").transformWithStateInPandas(Templates(), TEMPLATE_EVENTS, "Append", "ProcessingTime")
+def template_state(datagrams: DataFrame, ttl_s: int = TTL_MS // 1000, most: int = Life.MOST_TEMPLATES) -> DataFrame:
+    """What each exporter's templates do: stored, withdrawn, evicted, and known or unknown where a data set asks; set STATEFUL on
+    the session. For watching exporters: ingest_stream() doesn't send payloads through state."""
+    return D.events_of(datagrams).drop("used").groupBy("exporter_ip", "domain").transformWithStateInPandas(Templates(ttl_s, most), TEMPLATE_EVENTS, "Append", "None")
 
 
 def rollup_stream(flows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -110,8 +110,7 @@ def test_time_to_live_and_cap(table):
     late = d.withColumn("recv_ts", F.expr("recv_ts + make_interval(0, 0, 0, 0, 0, 31 * datagram_id, 0)"))
     assert D.decode(late).count() == 1 and D.decode(late, ttl_s=1800).count() == 0
     many = table(v9(a_set(0, template(256, (8, 4))), *[a_set(256, bytes(4) * 5000)] * 2))
-    sets = D.split_sets(many)
-    assert D.cap_records(D.decode_records(D.resolve_templates(sets, D.extract_templates(sets)))).count() == D.RECORDS_PER_DATAGRAM
+    assert D.decode(many).count() == D.decode(many, few=0).count() == D.RECORDS_PER_DATAGRAM
 
 
 def test_classify_and_filter(table):
@@ -156,3 +155,96 @@ def test_addresses_are_judged_before_coercion(table):
     t = a_set(2, template(256, (27, 16), (28, 16)))
     r = D.to_raw_flows(D.decode(table(ipfix(t, a_set(256, b"\xfe\x80" + bytes(14) + bytes(15) + b"\x01"))))).first()
     assert (r.src_ip, r.dst_ip, r.both_private) == (0, 0, True)
+
+
+# Template lives
+
+
+def flows_of(df):
+    return sorted((r.datagram_id, r.set_ordinal, r.record_ordinal, bytes(r.src_addr)) for r in df.collect())
+
+
+def at_minutes(table, *sent):
+    """Datagrams by (minute, payload) or (minute, exporter, payload), in that order."""
+    rows = table(*[(s[1], s[2]) if len(s) == 3 else s[1] for s in sent])
+    minute = F.element_at(F.array(*[F.lit(float(s[0])) for s in sent]), (F.col("datagram_id") + 1).cast("int"))
+    return rows.withColumn("recv_ts", F.timestamp_seconds(F.lit(T0) + (minute * 60).cast("long")))
+
+
+def test_use_keeps_a_template_alive_within_a_batch(table):
+    t, data = v9(a_set(0, template(256, *FIELDS))), v9(a_set(256, record()))
+    for few in (D.FEW_CHANGES, 0):
+        live = lambda *sent: [r[0] for r in flows_of(D.decode(at_minutes(table, *sent), ttl_s=1800, few=few))]  # noqa: E731, B023
+        assert live((0, t), (20, data), (40, data), (60, data)) == [1, 2, 3]
+        assert live((0, t), (20, data), (51, data), (60, data)) == [1]
+        assert live((0, t), (31, data), (32, t), (40, data)) == [3]
+        assert live((0, data), (0, t), (0.5, data), (0.5, data)) == [1 + 1, 3]
+        assert live((0, t), (29, t), (58, data), (87, t), (116, data)) == [2, 4]
+
+
+def test_templates_that_change_within_a_minute(table):
+    wide, narrow = a_set(2, template(300, (8, 4), (12, 4))), a_set(2, template(300, (8, 4)))
+    body, gone = ip4("10.0.0.1") + ip4("10.0.0.2"), a_set(2, struct.pack(">HH", 300, 0))
+    sent = [(0, ipfix(wide)), (0.1, ipfix(a_set(300, body))), (0.2, ipfix(narrow, a_set(300, body))), (0.3, ipfix(gone)), (0.4, ipfix(a_set(300, body))), (0.5, ipfix(wide, a_set(300, body), narrow, a_set(300, body)))]
+    for few in (D.FEW_CHANGES, 0):
+        found = flows_of(D.decode(at_minutes(table, *sent), ttl_s=1800, few=few))
+        assert [r[:3] for r in found] == [(1, 0, 0), (2, 1, 0), (2, 1, 1), (5, 1, 0), (5, 3, 0), (5, 3, 1)]
+
+
+def test_lives_by_brute_force(spark, table):
+    """Random templates, withdrawals and data of two exporters, against a dictionary that is walked in order."""
+    import random
+
+    rng = random.Random(4)
+    layouts = [[(8, 4)], [(8, 4), (12, 4)], [(8, 4), (7, 2), (11, 2)]]
+    sent, state, wanted, minute = [], {}, [], 0.0
+    for i in range(400):
+        minute += rng.choice([0, 0, 0.01, 0.3, 2, 5, 11])
+        exporter, tid, kind = rng.choice(["203.0.113.1", "203.0.113.2"]), rng.choice([256, 257]), rng.random()
+        key, now = (exporter, tid), int(minute * 60)
+        if key in state and now - state[key][1] > 600:
+            del state[key]
+        if kind < 0.15:
+            fields = rng.choice(layouts)
+            sent.append((minute, exporter, ipfix(a_set(2, template(tid, *fields)))))
+            state[key] = (sum(n for _, n in fields), now)
+        elif kind < 0.2:
+            sent.append((minute, exporter, ipfix(a_set(2, struct.pack(">HH", tid, 0)))))
+            state.pop(key, None)
+        else:
+            sent.append((minute, exporter, ipfix(a_set(tid, bytes([10, 0, 0, i % 250]) * 6))))
+            if key in state:
+                wanted += [(i, 0, k) for k in range(24 // state[key][0])]
+                state[key] = (state[key][0], now)
+    df = at_minutes(table, *sent)
+    assert 100 < len(wanted)
+    for few in (D.FEW_CHANGES, 0):
+        assert [r[:3] for r in flows_of(D.decode(df, ttl_s=600, few=few))] == wanted
+    # The same in batches, what is known carried over.
+    from flowloom.operators import templates as L
+
+    known, found = None, []
+    for lo in range(0, 400, 57):
+        part = df.filter(F.col("datagram_id").between(lo, lo + 56))
+        events = D.events_of(part)
+        chain = L.chained(events if known is None else known.unionByName(events), 600)
+        found += [r[:3] for r in flows_of(D.decode(part, ttl_s=600, chain=chain))]
+        known = spark.createDataFrame(L.carried(chain, 600, chain.agg(F.max("at")).first()[0]).collect(), L.EVENTS)
+    assert found == wanted
+
+
+def test_templates_beyond_the_cap_go_oldest_first(table):
+    from flowloom.operators import templates as L
+
+    sent = [(i, v9(a_set(0, template(256 + i, *FIELDS)))) for i in range(5)] + [(9, v9(a_set(257, record())))]
+    chain = L.chained(D.events_of(at_minutes(table, *sent)), 3600)
+    assert [sorted(r.template_id for r in L.carried(chain, 3600, (T0 + 600) * 10**6, most=n).collect()) for n in (3, 9)] == [[257, 259, 260], [256, 257, 258, 259, 260]]
+
+
+def test_hot_exporter_is_spread_by_minute(spark):
+    """However many sets an exporter sends, a key's chain has a few rows a minute."""
+    from flowloom.operators import templates as L
+
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("exporter_ip"), F.lit(9).alias("version"), F.lit(1).cast("long").alias("domain"), F.lit(256).alias("template_id"), F.timestamp_seconds(F.lit(T0) + F.col("id") % 600).alias("recv_ts"), F.col("id").alias("datagram_id"), F.lit(0).alias("set_ordinal"), F.lit(0).alias("template_ordinal"), F.when(F.col("id") % 3 == 0, "d").alias("definition"), F.lit(None).cast("timestamp").alias("used"))
+    chain = L.chained(rows, 1800)
+    assert chain.count() <= 3 * 11 and L.changes(chain).count() == 1

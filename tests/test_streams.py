@@ -63,10 +63,34 @@ def test_ingest_stream_keeps_templates_over_batches(spark, sf_dir, tmp_path):
     assert L.drop_day(spark, f"{tmp_path}/hot", day) and not L.drop_day(spark, f"{tmp_path}/hot", day)
 
 
-def test_template_state(spark, sf_dir, tmp_path):
-    Fx.datagrams_ipfix(Fx.raw_flows(spark, sf_dir).limit(50)).repartition(1).write.parquet(f"{tmp_path}/in")
-    rows = collected(spark, streams.template_state(T.read_datagrams(spark, f"{tmp_path}/in", stream=True)), "templates", tmp_path)
-    assert {r.event: r["count"] for r in rows.groupBy("event").count().collect()} == {"stored": 50, "known": 50}
+def test_template_state(spark, tmp_path):
+    """Expiry by the datagrams' own times, refreshed by use; withdrawal; eviction of what was unused longest."""
+    import datetime as dt
+
+    from tests import test_decode as B
+
+    t = lambda i: B.ipfix(B.a_set(2, B.template(i, (8, 4))))
+    data = lambda i: B.ipfix(B.a_set(i, bytes(4)))
+    sent = [(0, t(256)), (20, data(256)), (45, data(256)), (80, data(256)), (81, t(300)), (82, t(301)), (83, data(300)), (84, t(302)), (85, data(301)), (86, B.ipfix(B.a_set(2, b"\x01\x2c\0\0"))), (87, data(300))]
+    rows = [(i, B.AT + dt.timedelta(minutes=m), 1, 4739, p) for i, (m, p) in enumerate(sent)]
+    spark.createDataFrame(rows, schemas.DATAGRAMS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = collected(spark, streams.template_state(T.read_datagrams(spark, f"{tmp_path}/in", stream=True), most=2), "templates", tmp_path)
+    assert [(r.event, r.template_id) for r in found.collect()] == [
+        ("stored", 256), ("known", 256), ("known", 256), ("unknown", 256), ("stored", 300), ("stored", 301), ("known", 300), ("stored", 302), ("evicted", 301), ("unknown", 301), ("withdrawn", 300), ("unknown", 300),
+    ]
+
+
+def test_ingest_stream_is_the_same_for_any_batches(spark, sf_dir, tmp_path):
+    """Templates by half hours, all in one batch and a file a batch."""
+    sent = Fx.datagrams_v9(Fx.raw_flows(spark, sf_dir).filter("exporter_ip % 4 = 0 AND flow_type = 'netflow9'").limit(60)).orderBy("recv_ts", "datagram_id").coalesce(1)
+    sent.write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/in")
+    devices = Fx.devices(spark, sf_dir).cache()
+    batch = I.ingest(D.to_raw_flows(D.decode(spark.read.parquet(f"{tmp_path}/in"), streams.TTL_MS // 1000)), devices)
+    for name, most in (("one", 1000), ("each", 1)):
+        stream = spark.readStream.schema(schemas.DATAGRAMS).option("maxFilesPerTrigger", most).parquet(f"{tmp_path}/in")
+        streams.ingest_stream(stream, lambda s: devices, f"{tmp_path}/{name}", f"{tmp_path}/check-{name}", availableNow=True).awaitTermination()
+        assert rows_of(T.read_flows(spark, f"{tmp_path}/{name}").select(sorted(batch.columns))) == rows_of(batch)
+    assert len(list((tmp_path / "check-each-templates").iterdir())) == 2
 
 
 def test_liveness_stream(spark, sf_dir, tmp_path):
