@@ -246,8 +246,8 @@ def extract_templates(sets: DataFrame) -> DataFrame:
 
 
 def events_of(datagrams: DataFrame) -> DataFrame:
-    """T.EVENTS of version 9 and 10 datagrams: every template, options template and withdrawal, and a row without a definition for
-    every data set."""
+    """T.EVENTS of version 9 and 10 datagrams: every template, options template and withdrawal, and rows without a definition for
+    data sets: of those of one template in one second and Arrow batch, the first and the last."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.timestamp("us", "UTC"), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.timestamp("us", "UTC")]
     names = [c.split(" ")[0] for c in T.EVENTS.split(", ")]
 
@@ -268,6 +268,8 @@ def events_of(datagrams: DataFrame) -> DataFrame:
             if len(known) > 10_000:
                 known.clear()
             asks = np.flatnonzero(kind >= FIRST_DATA_SET)
+            when, ids_ = batch.column("recv_ts").cast(pa.int64()).to_numpy(), batch.column("datagram_id").to_numpy()
+            asks = outermost(asks, [s["nth"], ids_[s["row"]], when[s["row"]], when[s["row"]] // 1_000_000, kind, s["domain"], v, batch.column("exporter_ip").to_numpy()[s["row"]]])
             pick = np.concatenate([np.array(at, np.int64), asks])
             head = batch.select(["exporter_ip", "recv_ts", "datagram_id"]).take(pa.array(s["row"][pick]))
             columns = [
@@ -279,6 +281,16 @@ def events_of(datagrams: DataFrame) -> DataFrame:
     return of_templates(datagrams).mapInArrow(read, T.EVENTS)
 
 
+def outermost(asks: np.ndarray, by: list[np.ndarray]) -> np.ndarray:
+    """Of data sets, the first and the last of each key and second; those between say nothing more about a template's life. by: their
+    order and key, the last column first."""
+    by = [c[asks] for c in by]
+    order = np.lexsort(by)
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.any([c[order][1:] != c[order][:-1] for c in by[3:]], axis=0) if len(order) else True
+    return asks[order[new[:-1] | new[1:]]]
+
+
 def definition(fields: list[dict], record_len: int, has_varlen: bool, is_options: bool, withdrawn: bool) -> str:
     if withdrawn:
         return T.WITHDRAWN

@@ -2,9 +2,9 @@
 
 A template holds for its exporter, version, domain and id from its arrival until it is sent anew, withdrawn, or neither
 sent nor used for the time to live; every use keeps it alive. So its life is a chain of sets with no gap beyond the time to live.
-It is found in two levels. Within a key and a minute no gap can be too long, so a minute is summed up by its first and last
-set and the places where the definition changes; that is what hot exporters have most of, and it is spread by minute. Then
-the minutes of a key are chained, which are few rows whatever the exporter sends.
+It is found in two levels. Within a key and a minute no gap can be too long, so all that counts of a minute are its first and
+last set and the places where the definition changes; that level has most of the rows of hot exporters and is spread by minute.
+Then the minutes of a key are chained, which are few rows whatever the exporter sends.
 """
 
 from __future__ import annotations
@@ -28,37 +28,35 @@ def slice_of(ttl_s: int | None):
 
 
 def chained(events: DataFrame, ttl_s: int | None = None) -> DataFrame:
-    """(KEY, slice, ARRIVAL, kind, at, state): for every key and minute the state as it begins (kind 0), each change of the
-    definition (kind 1) and its end (kind 2). `state` is the definition in force from there on: null before the first one,
-    `withdrawn` after a withdrawal or a gap beyond ttl_s (None: no limit)."""
+    """(KEY, slice, ARRIVAL, latest, state) of the first and the last event of every key and minute and of each change of the definition
+    within it. `state` is the definition in force from there on: null before the first one, `withdrawn` after a withdrawal
+    or where a data set asks after a gap beyond ttl_s (None: no limit); `latest` the last use so far in the minute."""
     rows = events.withColumns({"slice": slice_of(ttl_s), "at": F.unix_micros(F.coalesce("used", "recv_ts"))})
-    within = Window.partitionBy(*KEY, "slice").orderBy(*ARRIVAL)
-    said = rows.filter("definition IS NOT NULL").withColumn("before", F.lag("definition").over(within)).filter("before IS NULL OR before <> definition")
-    ends = rows.groupBy(*KEY, "slice").agg(F.min(F.struct(*ARRIVAL, "at")).alias("first"), F.max(F.struct(*ARRIVAL)).alias("last"), F.max("at").alias("latest"))
-    columns = [*KEY, "slice", *ARRIVAL, "kind", "at", "state"]
-    none = F.lit(None).cast("string").alias("state")
-    both = (
-        ends.select(*KEY, "slice", "first.*", F.lit(0).alias("kind"), none).select(*columns)
-        .unionByName(said.select(*KEY, "slice", *ARRIVAL, F.lit(1).alias("kind"), "at", F.col("definition").alias("state")))
-        .unionByName(ends.select(*KEY, "slice", "last.*", F.lit(2).alias("kind"), F.col("latest").alias("at"), none).select(*columns))
-    )
-    chain = Window.partitionBy(*KEY).orderBy(*ARRIVAL, "kind")
-    gone = F.lit(False) if ttl_s is None else (F.col("kind") == 0) & (F.col("at") - F.lag("at").over(chain) > ttl_s * 1_000_000)
-    changed = both.withColumn("state", F.when(gone, WITHDRAWN).otherwise(F.col("state")))
-    return changed.withColumn("state", F.last("state", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, 0))).select(*columns)
+    minute = Window.partitionBy(*KEY, "slice")
+    within = minute.orderBy(*ARRIVAL)
+    before = F.last("definition", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumns({
+        "changed": F.coalesce(F.col("definition").isNotNull() & ~F.col("definition").eqNullSafe(before), F.lit(False)), "first": F.row_number().over(within) == 1,
+        "ends": F.lead("recv_ts").over(within).isNull(), "latest": F.max("at").over(minute),
+    })
+    few = marked.filter("changed OR first OR ends")
+    chain = Window.partitionBy(*KEY).orderBy(*ARRIVAL)
+    gone = F.lit(False) if ttl_s is None else F.col("first") & F.col("definition").isNull() & (F.col("at") - F.lag("latest").over(chain) > ttl_s * 1_000_000)
+    told = few.withColumn("told", F.when(F.col("changed"), F.col("definition")).when(gone, WITHDRAWN))
+    state = F.last("told", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    return told.select(*KEY, "slice", *ARRIVAL, "latest", state.alias("state"))
 
 
 def changes(chain: DataFrame) -> DataFrame:
     """(KEY, ARRIVAL, state) of the places where what holds for a key changes."""
-    before = F.lag("state").over(Window.partitionBy(*KEY).orderBy(*ARRIVAL, "kind"))
-    return chain.withColumn("before", before).filter("kind < 2 AND state IS NOT NULL AND (before IS NULL OR before <> state)").select(*KEY, *ARRIVAL, "state")
+    before = F.lag("state").over(Window.partitionBy(*KEY).orderBy(*ARRIVAL))
+    return chain.withColumn("before", before).filter("state IS NOT NULL AND (before IS NULL OR before <> state)").select(*KEY, *ARRIVAL, "state")
 
 
 def carried(chain: DataFrame, ttl_s: int | None = None, now_us: int | None = None, most: int = MOST_TEMPLATES) -> DataFrame:
     """What later batches have to know, as EVENTS: the definitions in force, with when they were last used. Idle ones are left
     out, counted from now_us, and beyond `most` those used longest ago."""
-    place = F.struct(*ARRIVAL, "kind")
-    last = chain.groupBy(*KEY).agg(F.max_by("state", place).alias("definition"), F.max("at").alias("at")).filter(F.col("definition") != WITHDRAWN)
+    last = chain.groupBy(*KEY).agg(F.max_by("state", F.struct(*ARRIVAL)).alias("definition"), F.max("latest").alias("at")).filter(F.col("definition") != WITHDRAWN)
     if ttl_s is not None and now_us is not None:
         last = last.filter(F.lit(now_us) - F.col("at") <= ttl_s * 1_000_000)
     last = last.orderBy(F.desc("at"), *KEY).limit(most)
@@ -67,8 +65,8 @@ def carried(chain: DataFrame, ttl_s: int | None = None, now_us: int | None = Non
 
 def in_force(asks: DataFrame, chain: DataFrame, ttl_s: int | None = None) -> DataFrame:
     """asks (KEY, ARRIVAL, ...) with `definition`, null where none is in force: an as-of join within each key and minute."""
-    rows = asks.withColumns({"slice": slice_of(ttl_s), "kind": F.lit(3), "state": F.lit(None).cast("string")})
-    both = rows.unionByName(chain.filter("kind < 2").select(*KEY, "slice", *ARRIVAL, "kind", "state"), allowMissingColumns=True)
-    before = Window.partitionBy(*KEY, "slice").orderBy(*ARRIVAL, "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("state", F.last("state", ignorenulls=True).over(before)).filter("kind = 3")
+    rows = asks.withColumns({"slice": slice_of(ttl_s), "asks": F.lit(True), "state": F.lit(None).cast("string")})
+    both = rows.unionByName(chain.select(*KEY, "slice", *ARRIVAL, F.lit(False).alias("asks"), "state"), allowMissingColumns=True)
+    before = Window.partitionBy(*KEY, "slice").orderBy(*ARRIVAL, "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("state", F.last("state", ignorenulls=True).over(before)).filter("asks")
     return found.withColumn("definition", F.when(F.col("state") != WITHDRAWN, F.col("state"))).select(*asks.columns, "definition")

@@ -45,7 +45,7 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
             events = spark.read.schema(Life.EVENTS).parquet(f"{templates}/{batch_id - 1}").unionByName(events)
         chain = Life.chained(events, ttl_s).persist()
         try:
-            now = chain.agg(F.max("at")).first()[0]
+            now = chain.agg(F.max("latest")).first()[0]
             Life.carried(chain, ttl_s, now).write.mode("overwrite").parquet(f"{templates}/{batch_id}")
             T.write_flows(I.ingest(D.to_raw_flows(D.decode(batch, ttl_s, chain=chain)), held[0], mode), path, batch_id=batch_id)
         finally:

@@ -229,7 +229,7 @@ def test_lives_by_brute_force(spark, table):
         events = D.events_of(part)
         chain = L.chained(events if known is None else known.unionByName(events), 600)
         found += [r[:3] for r in flows_of(D.decode(part, ttl_s=600, chain=chain))]
-        known = spark.createDataFrame(L.carried(chain, 600, chain.agg(F.max("at")).first()[0]).collect(), L.EVENTS)
+        known = spark.createDataFrame(L.carried(chain, 600, chain.agg(F.max("latest")).first()[0]).collect(), L.EVENTS)
     assert found == wanted
 
 
