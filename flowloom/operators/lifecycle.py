@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import exprs as X
 
 COLD_COLUMNS = ["device_id", "src_ip", "src_port", "dst_ip", "dst_port", "nat_public_ip", "nat_public_port", "protocol", "bytes", "packets", "flow_start", "flow_end", "flow_type", "exporter_ip"]
+#: Days that flows are kept, and that the archive waits.
 TTL_DAYS, ARCHIVE_AFTER = 180, 7
+ROWS_PER_FILE = 2_000_000
 
 
 def ttl_days(days: int = TTL_DAYS, archive_after: int | None = None) -> int:
@@ -21,24 +25,64 @@ def expire_days(df: DataFrame, days: int, as_of: str, archive_after: int | None
     return df.filter(F.date_add("event_date", ttl_days(days, archive_after)) > F.lit(as_of).cast("date"))
 
 
-def project_archive(df: DataFrame) -> DataFrame:
+def project_archive(df: DataFrame, *more: str) -> DataFrame:
     """The 15 columns with the tenant, addresses as dotted text and times in UTC, and the day."""
     text = {c: X.inet_ntoa(F.col(c)) for c in ("src_ip", "dst_ip", "nat_public_ip", "exporter_ip")}
     clock = lambda c: F.concat_ws(" ", X.ist_date(X.epoch(F.col(c)) - X.IST).cast("string"), X.ist_clock(X.epoch(F.col(c)) - X.IST))
-    return df.withColumns(text | {c: clock(c) for c in ("flow_start", "flow_end")}).select("isp_id", "event_date", *COLD_COLUMNS)
+    return df.withColumns(text | {c: clock(c) for c in ("flow_start", "flow_end")}).select("isp_id", "event_date", *COLD_COLUMNS, *more)
 
 
-def archive_day(df: DataFrame, day: str, base: str, fmt: str = "parquet") -> DataFrame:
-    """Writes one day below base/isp_id=/year=/month=/day=, as Parquet or gzip CSV; returns rows per tenant.
+def file_numbers(df: DataFrame, rows_per_file: int) -> DataFrame:
+    """df with `file`: a number within each tenant, so that files hold stretches of about rows_per_file rows by device and time.
 
-    A tenant without rows that day gets no directory. Only the partitions of the day are overwritten.
+    Rows are counted by tenant, device and quarter of an hour; those counts alone are ordered and summed up. A cell with more
+    rows than a file is dealt to as many files as it needs.
+    """
+    cell = ["isp_id", "device_id", "__quarter"]
+    rows = df.withColumn("__quarter", F.floor(X.epoch(F.col("flow_start")) / 900))
+    order = Window.partitionBy("isp_id").orderBy("device_id", "__quarter").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__first", F.floor(F.coalesce(F.sum("__n").over(order), F.lit(0)) / rows_per_file)).withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__n") / rows_per_file)))
+    counts = counts.select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(cell)], "__first", "__parts")
+    joined = rows.join(counts, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of{i}")) for i, c in enumerate(cell)]))
+    dealt = F.pmod(F.xxhash64(*df.columns), F.col("__parts"))
+    return joined.withColumn("file", F.when(F.col("__parts") > 1, F.col("__first") + dealt).otherwise(F.col("__first"))).select(*df.columns, "file")
+
+
+def archive_day(df: DataFrame, day: str, base: str, fmt: str = "parquet", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Writes one day below base/isp_id=/year=/month=/day=, as Parquet or gzip CSV; returns what then stands there, as
+    summed_up() of the files read back.
+
+    A tenant without rows that day gets no directory, and a large one files of about rows_per_file rows, by device and time. Only
+    the partitions of the day are overwritten.
     """
     d = F.col("event_date")
-    rows = project_archive(df.filter(d == F.lit(day).cast("date")))
-    rows = rows.withColumns({"year": F.date_format(d, "yyyy"), "month": F.date_format(d, "MM"), "day": F.date_format(d, "dd")}).drop("event_date")
-    out = rows.repartition("isp_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("isp_id", "year", "month", "day")
+    rows = file_numbers(df.filter(d == F.lit(day).cast("date")), rows_per_file)
+    rows = project_archive(rows, "file").withColumns({"year": F.date_format(d, "yyyy"), "month": F.date_format(d, "MM"), "day": F.date_format(d, "dd")}).drop("event_date")
+    spread = rows.repartition("isp_id", "file").drop("file")
+    out = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("isp_id", "year", "month", "day")
     out.parquet(base) if fmt == "parquet" else out.option("header", True).option("compression", "gzip").csv(base)
-    return df.filter(d == F.lit(day).cast("date")).groupBy("isp_id").agg(F.count("*").alias("rows"))
+    return written_day(df.sparkSession, base, day, fmt)
+
+
+def summed_up(archive: DataFrame) -> DataFrame:
+    """(isp_id, rows, sum_of_hashes, xor_of_hashes) of archive rows, for telling whether two hold the same."""
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLD_COLUMNS])
+    return archive.groupBy("isp_id").agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum_of_hashes"), F.bit_xor(h).alias("xor_of_hashes"))
+
+
+def written_day(spark: SparkSession, base: str, day: str, fmt: str = "parquet") -> DataFrame:
+    from flowloom.sources.tables import read_cold
+
+    return summed_up(read_cold(spark, base, 0, [day], fmt))
+
+
+def handed_over(hot: DataFrame, day: str, written: DataFrame) -> bool:
+    """Whether the archive, as read back, holds each tenant's rows of the day, and nothing else."""
+    wanted = summed_up(project_archive(hot.filter(F.col("event_date") == F.lit(day).cast("date"))))
+    columns = wanted.columns
+    both = wanted.withColumn("side", F.lit(1)).unionByName(written.select(*columns).withColumn("side", F.lit(-1)))
+    return both.groupBy(*columns).agg(F.sum("side").alias("side")).filter("side <> 0").isEmpty()
 
 
 def archive_candidates(df: DataFrame, archived: DataFrame, after: int, as_of: str) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +129,9 @@ def archive_one_day(df: DataFrame, day: str, base: str, fmt: str = "parquet") ->
 def archive_sweep(spark: SparkSession, hot_path: str, archived: DataFrame, base: str, after: int = ARCHIVE_AFTER, as_of: str = "1970-01-01", fmt: str = "parquet", save=None) -> DataFrame:
     """One status row per day past the window: archived before (dropped again), exported and dropped, or left.
 
-    The books are saved, by `save` on a DataFrame of the new row, before the hot day is dropped; no rows,
-    a failed export or failed books leave the day. The loop is over days, each a job of its own.
+    A day is dropped only when its archive, read back, has each tenant's rows by number and digest, and the books
+    are saved, by `save` on a DataFrame of the new row. No rows, a failed export, files that lack something or
+    failed books leave the day. The loop is over days, each a job of its own.
     """
     hot = spark.read.parquet(hot_path)
     export, again = archive_candidates(hot, archived, after, as_of)
@@ -98,8 +143,9 @@ def archive_sweep(spark: SparkSession, hot_path: str, archived: DataFrame, base:
     for r in export:
         hot = spark.read.parquet(hot_path)  # its files change with every day that is dropped
         status = archive_one_day(hot, str(r["day"]), base, fmt)
+        status = status.persist()
         n = status.agg(F.sum("rows"), F.max("status")).first()
-        if not n[0] or n[1] != "archived":
+        if not n[0] or n[1] != "archived" or not handed_over(hot, str(r["day"]), status):
             out.append((r["day"], n[0] or 0, "left"))
             continue
         try:

@@ -39,14 +39,19 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return bundle.select("version", "unknown_mode", F.explode("devices").alias("d")).select("version", "unknown_mode", "d.*")
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders of a pattern."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [x.getPath().toString() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+
+
 def delete(spark: SparkSession, pattern: str) -> int:
     """Deletes the files and folders of a pattern; how many there were."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [x.getPath() for x in fs.globStatus(at) or []]
-    for x in found:
-        fs.delete(x, True)
-    return len(found)
+    names = found(spark, pattern)
+    for x in names:
+        at = spark._jvm.org.apache.hadoop.fs.Path(x)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(names)
 
 
 def write_flows(df: DataFrame, path: str, files: int | None = None, batch_id: int = -1) -> None:

@@ -110,19 +110,60 @@ def template_state(datagrams: DataFrame, ttl_s: int = TTL_MS // 1000, most: int
     return D.events_of(datagrams).drop("used").groupBy("exporter_ip", "domain").transformWithStateInPandas(Templates(ttl_s, most), TEMPLATE_EVENTS, "Append", "None")
 
 
-def rollup_stream(flows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Both rollups of every micro-batch, each in a directory of its batch that a repeated run overwrites;
-    merge on read with merge_rollup() and merge_subs()."""
+def rollup_stream(flows: DataFrame, path: str, checkpoint: str, compact_every: int = 720, **trigger) -> StreamingQuery:
+    """Both rollups of every micro-batch, each in a directory of its batch that a repeated run overwrites; read them with
+    read_rollup(). Every so many batches the older ones are merged."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         R.rollup_hourly(batch).write.mode("overwrite").parquet(f"{path}/hourly/batch_id={batch_id}")
         R.rollup_subs(batch).write.mode("overwrite").parquet(f"{path}/subs/batch_id={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            compact_rollup(batch.sparkSession, path, batch_id - 1)
 
     return flows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "2 minutes"})).start()
 
 
+def generations(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(number, last batch merged into it) of the finished generations, in order."""
+    done = T.found(spark, f"{path}/generations/*/through/_SUCCESS")
+    numbers = sorted(int(x.split("/")[-3]) for x in done)
+    return [(g, spark.read.schema("through long").json(f"{path}/generations/{g}/through").first()[0]) for g in numbers[-2:]]
+
+
+def parts_of(spark: SparkSession, path: str, kind: str, generation: tuple[int, int] | None, last: int | None = None) -> DataFrame:
+    """The rows of a generation and of the batches after it, up to `last`."""
+    batches = spark.read.parquet(f"{path}/{kind}")
+    rows = batches.filter((F.col("batch_id") > (generation[1] if generation else -1)) & (F.lit(True) if last is None else F.col("batch_id") <= last)).drop("batch_id")
+    return rows.unionByName(spark.read.parquet(f"{path}/generations/{generation[0]}/{kind}")) if generation else rows
+
+
+def compact_rollup(spark: SparkSession, path: str, last: int) -> None:
+    """Merges the last generation and the batches after it, up to `last`, into a new generation.
+
+    A generation counts once its `through` is written, whole; from then on readers take it instead of its batches. What it
+    replaces stays until the next compaction, so readers that have begun find their files. A batch at or below
+    `through` that runs again writes where nobody reads. One that breaks off leaves no trace that is read.
+    """
+    before = generations(spark, path)
+    newest = before[-1] if before else None
+    if newest and last <= newest[1]:
+        return
+    g = newest[0] + 1 if newest else 0
+    for kind, merge in (("hourly", R.merge_rollup), ("subs", R.merge_subs)):
+        merge(parts_of(spark, path, kind, newest, last)).write.mode("overwrite").parquet(f"{path}/generations/{g}/{kind}")
+    spark.createDataFrame([(last,)], "through long").coalesce(1).write.mode("overwrite").json(f"{path}/generations/{g}/through")
+    if newest:  # what nobody has been sent to since the compaction before
+        for kind in ("hourly", "subs"):
+            for x in T.found(spark, f"{path}/{kind}/batch_id=*"):
+                if int(x.rpartition("=")[2]) <= newest[1]:
+                    T.delete(spark, x)
+        T.delete(spark, f"{path}/generations/{newest[0] - 1}")
+
+
 def read_rollup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return R.merge_rollup(spark.read.parquet(f"{path}/hourly")), R.merge_subs(spark.read.parquet(f"{path}/subs"))
+    """(hourly, subscriber days): the newest generation and the batches after it, merged."""
+    newest = (generations(spark, path) or [None])[-1]
+    return R.merge_rollup(parts_of(spark, path, "hourly", newest)), R.merge_subs(parts_of(spark, path, "subs", newest))
 
 
 LIVENESS_EVENTS = StructType([StructField("isp_id", IntegerType()), StructField("exporter_ip", LongType()), StructField("tick_s", LongType()), StructField("event", StringType()), StructField("last_s", LongType())])

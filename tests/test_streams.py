@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowloom import schemas
@@ -9,6 +10,7 @@ from flowloom.operators import decode as D
 from flowloom.operators import ingest as I
 from flowloom.operators import lifecycle as L
 from flowloom.operators import liveness as V
+from flowloom.operators import rollup as R
 from flowloom.plans import fixtures as Fx
 from flowloom.plans.registry import liveness_ticks
 from flowloom.sources import tables as T
@@ -136,3 +138,73 @@ def test_report_and_registry_files(spark, sf_dir, tmp_path):
     devices = Fx.devices(spark, sf_dir)
     devices.agg(F.collect_list(F.struct(*devices.columns)).alias("devices")).select(F.lit("v1").alias("version"), F.lit("allow").alias("unknown_mode"), "devices").coalesce(1).write.json(f"{tmp_path}/bundle")
     assert T.read_registry(spark, f"{tmp_path}/bundle").count() == devices.count()
+
+
+def truncated(spark, base, day):
+    """Takes one file of the day out of an archive."""
+    y, m, d = day.split("-")
+    T.delete(spark, T.found(spark, f"{base}/isp_id=*/year={y}/month={m}/day={d}/part-*")[0])
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csvgz"])
+def test_an_archive_that_lacks_rows_leaves_the_day(spark, sf_dir, tmp_path, monkeypatch, fmt):
+    flows = Fx.flow_logs(spark, sf_dir).filter("event_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'")
+    T.write_flows(flows, f"{tmp_path}/hot")
+    days, whole = spark.createDataFrame([], "day date"), L.archive_day
+
+    def cut(df, day, base, fmt="parquet"):
+        whole(df, day, base, fmt)
+        if day == "2024-01-02":
+            truncated(spark, base, day)
+        return L.written_day(spark, base, day, fmt)
+
+    monkeypatch.setattr(L, "archive_day", cut)
+    rows = {str(r.day): r.status for r in L.archive_sweep(spark, f"{tmp_path}/hot", days, f"{tmp_path}/cold", 7, "2024-01-30", fmt).collect()}
+    assert rows == {"2024-01-02": "left", "2024-01-03": "archived, dropped"}
+    left = T.read_flows(spark, f"{tmp_path}/hot")
+    assert rows_of(left) == rows_of(flows.filter("event_date = DATE '2024-01-02'").select(*left.columns))
+
+
+def test_a_large_tenant_is_archived_in_even_files(spark, tmp_path):
+    """95 % of the rows are one tenant's, a third of them of one device and second."""
+    day = F.lit("2024-01-02").cast("date")
+    isp = F.when(F.col("id") % 20 == 0, 1 + F.col("id") % 7).otherwise(99).cast("int")
+    start = F.when(F.col("id") % 3 == 0, F.lit(1704200000)).otherwise(1704153600 + F.col("id") * 7919 % 80000)
+    zero = {c: F.lit(0) for c in ("src_port", "dst_port", "nat_public_port", "protocol")} | {c: F.lit(0).cast("long") for c in ("dst_ip", "nat_public_ip", "bytes", "packets", "exporter_ip")}
+    rows = spark.range(20_000).select(day.alias("event_date"), isp.alias("isp_id"), (F.col("id") % 5).cast("int").alias("device_id"), F.col("id").alias("src_ip"), F.timestamp_seconds(start).alias("flow_start"), F.timestamp_seconds(start).alias("flow_end"), F.lit("ipfix").alias("flow_type"), F.current_timestamp().alias("created_at"), *[v.alias(c) for c, v in zero.items()])
+    summed = {r.isp_id: r.rows for r in L.archive_day(rows, "2024-01-02", f"{tmp_path}/cold", rows_per_file=1000).collect()}
+    assert summed == {r.isp_id: r["count"] for r in rows.groupBy("isp_id").count().collect()}
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/cold").filter("isp_id = 99").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 2000 and sum(sizes) == summed[99]
+
+
+def test_rollup_compaction(spark, sf_dir, tmp_path):
+    flows = Fx.flow_logs(spark, sf_dir).filter("isp_id = 2").cache()
+    parts, path = 9, str(tmp_path)
+    batch = lambda i: flows.filter(F.pmod(F.xxhash64(*flows.columns), F.lit(parts)) == i)
+
+    def store(i):
+        R.rollup_hourly(batch(i)).write.mode("overwrite").parquet(f"{path}/hourly/batch_id={i}")
+        R.rollup_subs(batch(i)).write.mode("overwrite").parquet(f"{path}/subs/batch_id={i}")
+
+    def totals():
+        hourly, subs = streams.read_rollup(spark, path)
+        return [tuple(r) for df in (hourly.agg(F.sum("flows"), F.sum("bytes"), F.count("*"), F.hll_sketch_estimate(F.hll_union_agg("subs"))), subs.agg(F.sum("bytes"), F.count("*"))) for r in df.collect()]
+
+    begun = None
+    for i in range(parts):
+        store(i)
+        if i in (2, 5, 8):
+            begun = streams.read_rollup(spark, path)[0].agg(F.sum("flows").alias("n"))  # planned before, run after
+            before = totals()
+            streams.compact_rollup(spark, path, i - 1)
+            assert totals() == before and begun.first().n == before[0][0]
+            store(1)  # a batch that runs again
+            streams.compact_rollup(spark, path, i - 1)  # and a compaction
+            assert totals() == before
+    whole = R.merge_rollup(R.rollup_hourly(flows)).agg(F.sum("flows"), F.sum("bytes"), F.count("*"), F.hll_sketch_estimate(F.hll_union_agg("subs"))).first()
+    assert totals()[0] == tuple(whole)
+    assert len(T.found(spark, f"{path}/generations/*")) == 2 and len(T.found(spark, f"{path}/hourly/batch_id=*")) <= 5
+    T.found(spark, f"{path}/generations/*")
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}/generations/77/hourly")  # one that broke off
+    assert totals()[0] == tuple(whole)
