@@ -33,14 +33,14 @@ def project_archive(df: DataFrame, *more: str) -> DataFrame:
 
 
 def file_numbers(df: DataFrame, rows_per_file: int) -> DataFrame:
-    """df with `file`: a number within each tenant, so that files hold stretches of about rows_per_file rows by device and time.
+    """df with `file`: a number within each tenant and day, so that files hold stretches of about rows_per_file rows by device and time.
 
     Rows are counted by tenant, device and quarter of an hour; those counts alone are ordered and summed up. A cell with more
     rows than a file is dealt to as many files as it needs.
     """
-    cell = ["isp_id", "device_id", "__quarter"]
+    cell = ["isp_id", "event_date", "device_id", "__quarter"]
     rows = df.withColumn("__quarter", F.floor(X.epoch(F.col("flow_start")) / 900))
-    order = Window.partitionBy("isp_id").orderBy("device_id", "__quarter").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("isp_id", "event_date").orderBy("device_id", "__quarter").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*cell).agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__first", F.floor(F.coalesce(F.sum("__n").over(order), F.lit(0)) / rows_per_file)).withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__n") / rows_per_file)))
     counts = counts.select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(cell)], "__first", "__parts")
@@ -49,19 +49,20 @@ def file_numbers(df: DataFrame, rows_per_file: int) -> DataFrame:
     return joined.withColumn("file", F.when(F.col("__parts") > 1, F.col("__first") + dealt).otherwise(F.col("__first"))).select(*df.columns, "file")
 
 
-def archive_day(df: DataFrame, day: str, base: str, fmt: str = "parquet", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Writes one day below base/isp_id=/year=/month=/day=, as Parquet or gzip CSV; returns what then stands there, as
-    summed_up() of the files read back.
-
-    A tenant without rows that day gets no directory, and a large one files of about rows_per_file rows, by device and time. Only
-    the partitions of the day are overwritten.
-    """
+def write_archive(df: DataFrame, base: str, fmt: str = "parquet", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Writes flows below base/isp_id=/year=/month=/day=, as Parquet or gzip CSV: large days of a tenant as files of about
+    rows_per_file rows, by device and time. The partitions that it has rows of are overwritten, and no others."""
     d = F.col("event_date")
-    rows = file_numbers(df.filter(d == F.lit(day).cast("date")), rows_per_file)
-    rows = project_archive(rows, "file").withColumns({"year": F.date_format(d, "yyyy"), "month": F.date_format(d, "MM"), "day": F.date_format(d, "dd")}).drop("event_date")
-    spread = rows.repartition("isp_id", "file").drop("file")
+    rows = project_archive(file_numbers(df, rows_per_file), "file").withColumns({"year": F.date_format(d, "yyyy"), "month": F.date_format(d, "MM"), "day": F.date_format(d, "dd")})
+    spread = rows.repartition("isp_id", "event_date", "file").drop("file", "event_date")
     out = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("isp_id", "year", "month", "day")
     out.parquet(base) if fmt == "parquet" else out.option("header", True).option("compression", "gzip").csv(base)
+
+
+def archive_day(df: DataFrame, day: str, base: str, fmt: str = "parquet", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """write_archive() of one day; returns what then stands there, as summed_up() of the files read back. A tenant without rows
+    that day gets no directory."""
+    write_archive(df.filter(F.col("event_date") == F.lit(day).cast("date")), base, fmt, rows_per_file)
     return written_day(df.sparkSession, base, day, fmt)
 
 

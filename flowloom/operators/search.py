@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from flowloom.functions import exprs as X
 
 from .ingest import small
 
+log = logging.getLogger(__name__)
 COUNT_CAP, SEARCH_CAP = 100_000, 5_000
 
 
@@ -194,18 +197,38 @@ def archived_days_in_range(days: DataFrame, from_s: int | None, to_s: int | None
     return days
 
 
+def cold_records(cold: DataFrame, f: SearchFilter, cap: int = SEARCH_CAP) -> DataFrame:
+    """The newest `cap` records among archived rows."""
+    old = search_cold(cold, f).withColumn("flow_start", X.at_epoch(F.col("start_s")))
+    for c in ("src_ip", "dst_ip", "nat_public_ip"):
+        old = old.withColumn(c, X.inet_aton(F.col(c)))
+    return project_search(old.orderBy(*newest(old)).limit(cap))
+
+
 def search_all(hot: DataFrame, cold: DataFrame | None, f: SearchFilter, cap: int = SEARCH_CAP, dedup: bool = False) -> DataFrame:
     """Records of hot and cold matches, the newest `cap` of each; a day in both is there twice unless dedup."""
     found = search(hot, f)
     out = project_search(found.orderBy(*newest(found)).limit(cap))
     if cold is not None:
-        old = search_cold(cold, f).withColumn("flow_start", X.at_epoch(F.col("start_s")))
-        for c in ("src_ip", "dst_ip", "nat_public_ip"):
-            old = old.withColumn(c, X.inet_aton(F.col(c)))
-        out = out.unionByName(project_search(old.orderBy(*newest(old)).limit(cap)))
+        out = out.unionByName(cold_records(cold, f, cap))
     return out.distinct() if dedup else out
 
 
+def search_all_or_hot(hot: DataFrame, read_cold: Callable[[], DataFrame], f: SearchFilter, cap: int = SEARCH_CAP) -> tuple[DataFrame, bool]:
+    """(search_all(), whether the archive took part): hot matches alone if the archive can't be read, when planned or when run.
+
+    The archive's records, at most `cap`, are fetched here, since a file may turn out to be damaged only then.
+    """
+    found = search_all(hot, None, f, cap)
+    try:
+        old = cold_records(read_cold(), f, cap)
+        rows = old.collect()
+    except Exception as e:  # noqa: BLE001  whatever is wrong with the archive, the hot rows are there
+        log.error("cold search failed, hot matches only: %s", str(e)[:200])
+        return found, False
+    return found.unionByName(hot.sparkSession.createDataFrame(rows, old.schema)), True
+
+
 def page_merged(hot: DataFrame, cold: DataFrame | None, f: SearchFilter, limit: int = 50, offset: int = 0, cap: int = SEARCH_CAP) -> DataFrame:
     limit, offset = page_bounds(limit, offset)
     rows = search_all(hot, cold, f, cap)

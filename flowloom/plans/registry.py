@@ -310,9 +310,9 @@ def _(df):
     return A.days_older_than(df, 7, AS_OF)
 
 
-@flows("a24_search_count", f"SELECT COUNT(*) AS n FROM (SELECT 1 FROM flow_logs WHERE {FOUND} LIMIT 20)")
+@flows("a24_search_count", f"SELECT COUNT(*) AS n FROM (SELECT 1 FROM flow_logs WHERE {FOUND} LIMIT 100000)")
 def _(df):
-    return S.search_count(df, BY_PUBLIC, cap=20)
+    return S.search_count(df, BY_PUBLIC)
 
 
 @flows("a25_archive_counts", f"SELECT isp_id, COUNT(*) AS rows FROM flow_logs WHERE {TODAY} GROUP BY ALL")
@@ -351,7 +351,10 @@ def _(spark, d):
     return G.number_devices(known.filter("id % 7 = 0").drop("device_id"), known).select("id", "isp_id", "device_id")
 
 
-@query("a33_bundle_version")
+DEVICE_CELLS = ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in sorted(c.split(" ")[0] for c in schemas.DEVICES.split(", ")))
+
+
+@query("a33_bundle_version", f"SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 16) AS version FROM (SELECT concat_ws('|', lpad(exporter_ip::VARCHAR, 10, '0'), {DEVICE_CELLS}) AS line FROM devices)")
 def _(spark, d):
     return G.bundle_version(devices(spark, d))
 
@@ -546,7 +549,23 @@ def _(spark, d):
     return L.upsert_archived_days(old, new.unionByName(later)).select("day", "objects", "rows")
 
 
-@query("r9_liveness_transitions")
+#: One step of the state machine after the other, for all exporters at once.
+LIVENESS = """, live AS (SELECT DISTINCT isp_id, exporter_ip FROM devices WHERE enabled),
+s AS (SELECT isp_id, exporter_ip, received_s // 10800 * 10800 + 10800 AS tick_s, MAX(start_s) AS seen_s FROM flow_logs GROUP BY ALL),
+t AS (SELECT l.isp_id, l.exporter_ip, k, 1704067200 + k * 10800 AS tick_s, coalesce(seen_s, 0) AS seen_s FROM live l CROSS JOIN range(249) r(k) LEFT JOIN s ON s.isp_id = l.isp_id AND s.exporter_ip = l.exporter_ip AND s.tick_s = 1704067200 + k * 10800),
+f AS (
+  SELECT isp_id, exporter_ip, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS tick_s, CAST(0 AS BIGINT) AS last_s, 'init' AS status, CAST(0 AS BIGINT) AS alerted, CAST(NULL AS VARCHAR) AS event FROM live
+  UNION ALL
+  SELECT isp_id, exporter_ip, k, tick_s, last_s, CASE WHEN last_s = 0 THEN status WHEN down THEN 'silent' ELSE 'healthy' END,
+    CASE WHEN down AND (status <> 'silent' OR tick_s - alerted >= 43200) THEN tick_s ELSE alerted END,
+    CASE WHEN down AND status <> 'silent' THEN 'silent' WHEN down AND tick_s - alerted >= 43200 THEN 'reminder' WHEN last_s > 0 AND NOT down AND status = 'silent' THEN 'recovered' END
+  FROM (SELECT f.isp_id, f.exporter_ip, t.k, t.tick_s, greatest(f.last_s, t.seen_s) AS last_s, f.status, f.alerted, greatest(f.last_s, t.seen_s) > 0 AND t.tick_s - greatest(f.last_s, t.seen_s) > 21600 AS down
+    FROM f JOIN t ON t.isp_id = f.isp_id AND t.exporter_ip = f.exporter_ip AND t.k = f.k + 1)
+)
+SELECT isp_id, exporter_ip, tick_s, event, last_s FROM f WHERE event IS NOT NULL"""
+
+
+@query("r9_liveness_transitions", LIVENESS)
 def _(spark, d):
     return V.transitions(liveness_ticks(spark, d), devices(spark, d), 6 * 3600, 12 * 3600)
 
@@ -569,19 +588,24 @@ REPORTED = {
     "today": ("n", f"SELECT COUNT(*) AS n FROM flow_logs WHERE {TODAY}"),
     "hourly": ("hour flows", HOURS),
     "devices": ("device flows", f"SELECT * FROM ({TOP_DEVICES})"),
+    "protocols": ("place name pct", MIX),
+    "subscribers": ("label value pct", "WITH " + TOP_SUBS[2:]),
+    "records": ("date clock time sub device_id priv_ip priv_port pub_ip pub_port proto action dest", f"SELECT {RECORD}, {dotted('dst_ip')} AS dest FROM (SELECT * FROM flow_logs WHERE {ALL} ORDER BY {TIES} LIMIT 50)"),
 }
 
 
-def reported(scalars: str) -> str:
-    """The sections that are small and exact, as stacked() gives them."""
-    parts = {"scalars": (scalars, f"SELECT * FROM ({SCALARS} WHERE {ALL})"), **REPORTED}
+def sections(parts: dict[str, tuple[str, str]]) -> str:
+    """All sections, from their columns and SQL, as stacked() gives them."""
     return " UNION ALL ".join(f"SELECT '{n}' AS section, {pairs(*c.split())} AS row FROM ({s})" for n, (c, s) in parts.items())
 
 
+def reported(scalars: str) -> str:
+    return sections({"scalars": (scalars, f"SELECT * FROM ({SCALARS} WHERE {ALL})"), **REPORTED})
+
+
 @query("c1_dashboard", reported("rows subscribers devices bytes nat_ips mean_s"))
 def _(spark, d):
-    parts = C.dashboard(flow_logs(spark, d), 0, 7, AS_OF)
-    return C.stacked({k: parts[k] for k in ("scalars", "today", "hourly", "devices")})
+    return C.stacked(C.dashboard(flow_logs(spark, d), 0, 7, AS_OF))
 
 
 @query("c2_dashboard_from_rollup", reported("rows devices bytes mean_s"))
@@ -589,17 +613,31 @@ def _(spark, d):
     rows = flow_logs(spark, d)
     parts = C.dashboard_from_rollup(R.rollup_hourly(rows), R.rollup_subs(rows), rows, 0, 7, AS_OF)
     parts["scalars"] = parts["scalars"].drop("subscribers", "nat_ips")
-    return C.stacked({k: parts[k] for k in ("scalars", "today", "hourly", "devices")})
+    return C.stacked(parts)
 
 
-@query("c3_flows_page")
+@query("c3_flows_page", sections({
+    "summary": ("rows bytes packets devices", f"SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes, CAST(SUM(packets) AS BIGINT) AS packets, COUNT(DISTINCT device_id) AS devices FROM flow_logs WHERE {ALL}"),
+    "talkers": ("src_ip bytes flows", f"SELECT {dotted('src_ip')} AS src_ip, CAST(SUM(bytes) AS BIGINT) AS bytes, COUNT(*) AS flows FROM flow_logs f WHERE {ALL} GROUP BY f.src_ip ORDER BY SUM(bytes) DESC, f.src_ip LIMIT 10"),
+    "devices": ("isp_id device_id flows bytes", f"SELECT isp_id, device_id, COUNT(*) AS flows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE {ALL} GROUP BY isp_id, device_id ORDER BY SUM(bytes) DESC, isp_id, device_id LIMIT 200"),
+    "recent": ("start_s isp_id device_id src_ip src_port nat_public_ip nat_public_port dst_ip dst_port proto", f"""SELECT start_s, isp_id, device_id, {dotted('src_ip')} AS src_ip, src_port, {dotted('nat_public_ip')} AS nat_public_ip, nat_public_port,
+ {dotted('dst_ip')} AS dst_ip, dst_port, {NAME} AS proto FROM (SELECT * FROM flow_logs WHERE {ALL} ORDER BY {TIES} LIMIT 25)"""),
+}))
 def _(spark, d):
     return C.stacked(C.flows_page(flow_logs(spark, d), 0, 7, AS_OF))
 
 
-@query("c4_search_page", f"""SELECT 'total' AS section, to_json({{'capped': false, 'n': COUNT(*)}})::VARCHAR AS row FROM flow_logs WHERE nat_public_ip = {X.ip("203.0.113.42")}""")
+NAMED = "SELECT device_id, name FROM devices WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY isp_id DESC, id DESC) = 1"
+COLUMNS = "date clock time sub device_id priv_ip priv_port pub_ip pub_port proto dst_ip dst_port dest action"
+BY_ADDRESS = f"nat_public_ip = {X.ip('203.0.113.42')}"
+
+
+@query("c4_search_page", sections({
+    "records": (COLUMNS, f"SELECT p.* REPLACE (coalesce(n.name, p.sub) AS sub) FROM (SELECT {SEARCHED} FROM (SELECT * FROM flow_logs WHERE {BY_ADDRESS} ORDER BY {TIES} LIMIT 50)) p LEFT JOIN ({NAMED}) n ON n.device_id = p.device_id"),
+    "total": ("n capped", f"SELECT COUNT(*) AS n, false AS capped FROM flow_logs WHERE {BY_ADDRESS}"),
+}))
 def _(spark, d):
-    return C.stacked({"total": C.search_page(flow_logs(spark, d), None, devices(spark, d), LONGER)["total"]})
+    return C.stacked(C.search_page(flow_logs(spark, d), None, devices(spark, d), LONGER))
 
 
 @query("c5_disclosure", f"""SELECT priv_ip AS src_ip, priv_port::VARCHAR AS src_port, dst_ip, dst_port::VARCHAR AS dst_port, pub_ip AS nat_ip,
@@ -608,14 +646,22 @@ def _(spark, d):
     return C.disclosure(flow_logs(spark, d), None, devices(spark, d), BY_PUBLIC)["cells"]
 
 
-@query("c6_retention_page", f"""SELECT 'storage' AS section, {pairs("rows", "bytes")} AS row FROM (SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE isp_id = 2)
-UNION ALL SELECT 'days', {pairs("event_date", "flows")} FROM (SELECT event_date, COUNT(*) AS flows FROM flow_logs WHERE isp_id = 2 GROUP BY ALL ORDER BY event_date DESC LIMIT 30)""")
+@query("c6_retention_page", sections({
+    "storage": ("rows bytes", "SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE isp_id = 2"),
+    "window": ("first_day last_day", "SELECT MIN(event_date) AS first_day, MAX(event_date) AS last_day FROM flow_logs WHERE isp_id = 2"),
+    "days": ("event_date flows", "SELECT event_date, COUNT(*) AS flows FROM flow_logs WHERE isp_id = 2 GROUP BY ALL ORDER BY event_date DESC LIMIT 30"),
+    "archived": ("day objects rows bytes archived_at", "SELECT * REPLACE (strftime(make_timestamp(archived_at * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS archived_at) FROM (SELECT day, objects, rows, bytes, archived_s AS archived_at FROM archived ORDER BY day DESC LIMIT 30)"),
+}))
 def _(spark, d):
-    parts = C.retention_page(flow_logs(spark, d), Fx.archived(spark, d), 2)
-    return C.stacked({k: parts[k] for k in ("storage", "days")})
+    return C.stacked(C.retention_page(flow_logs(spark, d), Fx.archived(spark, d), 2))
 
 
-@query("c7_overview")
+@query("c7_overview", sections({
+    "today": ("n", f"SELECT COUNT(*) AS n FROM flow_logs WHERE {TODAY} AND isp_id = 2"),
+    "storage": ("rows bytes", "SELECT COUNT(*) AS rows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM flow_logs WHERE isp_id = 2"),
+    "accounting": ("state reason flows bytes", "SELECT state, CASE WHEN state = 'disabled' THEN '' ELSE coalesce(reason, 'kept') END AS reason, COUNT(*) AS flows, CAST(SUM(bytes) AS BIGINT) AS bytes FROM reasoned GROUP BY ALL"),
+    "exporters": ("n", "SELECT COUNT(*) AS n FROM devices WHERE enabled AND isp_id = 2"),
+}))
 def _(spark, d):
     return C.stacked(C.overview(flow_logs(spark, d), raw_flows(spark, d), devices(spark, d), 2, AS_OF))
 
@@ -636,14 +682,14 @@ def _(spark, d):
     return T.read_flows(spark, path).filter("event_date >= DATE '2024-01-25'").groupBy("event_date", "device_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-COLD = f"SELECT isp_id, {dotted('src_ip')} AS src_ip, start_s, COUNT(*) AS n FROM flow_logs f WHERE event_date = DATE '2024-01-12' GROUP BY isp_id, f.src_ip, start_s"
+COLD = f"SELECT isp_id, {dotted('src_ip')} AS src_ip, start_s, COUNT(*) AS n FROM flow_logs f GROUP BY isp_id, f.src_ip, start_s"
 
 
 def cold(spark: SparkSession, d: str, fmt: str) -> DataFrame:
+    """All days of all tenants, written and read back."""
     base = f"{folder(spark)}/cold"
-    for day in ("2024-01-11", "2024-01-12"):
-        L.archive_day(flow_logs(spark, d), day, base, fmt)
-    return T.read_cold(spark, base, 0, ["2024-01-12"], fmt)
+    L.write_archive(flow_logs(spark, d), base, fmt)
+    return T.read_cold(spark, base, 0, None, fmt)
 
 
 @query("s11_s6_cold_parquet", COLD)
@@ -659,27 +705,35 @@ def _(spark, d):
 TWICE = f"SELECT {SEARCHED} FROM flow_logs WHERE {FOUND}"
 
 
-@query("f9_search_cold", f"SELECT isp_id, {dotted('src_ip')} AS src_ip, start_s FROM flow_logs WHERE event_date = DATE '2024-01-12' AND nat_public_ip = {X.ip('203.0.113.42')}")
+@query("f9_search_cold", f"SELECT isp_id, {dotted('src_ip')} AS src_ip, start_s FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')}")
 def _(spark, d):
     return S.search_cold(cold(spark, d, "parquet"), LONGER).select("isp_id", "src_ip", "start_s")
 
 
-@query("u1_search_all", f"SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} UNION ALL SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} AND event_date = DATE '2024-01-12'")
+@query("u1_search_all", f"SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} UNION ALL SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')}")
 def _(spark, d):
     return S.search_all(flow_logs(spark, d), cold(spark, d, "parquet"), LONGER)
 
 
-@query("t8_page_merged", f", u AS (SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} UNION ALL SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} AND event_date = DATE '2024-01-12') SELECT * FROM u ORDER BY time DESC, action, clock, date, dest, device_id, dst_ip, dst_port, priv_ip, priv_port, proto, pub_ip, pub_port, sub LIMIT 50 OFFSET 5")
+@query("t8_page_merged", f", u AS (SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')} UNION ALL SELECT {SEARCHED} FROM flow_logs WHERE nat_public_ip = {X.ip('203.0.113.42')}) SELECT * FROM u ORDER BY time DESC, action, clock, date, dest, device_id, dst_ip, dst_port, priv_ip, priv_port, proto, pub_ip, pub_port, sub LIMIT 50 OFFSET 5")
 def _(spark, d):
     return S.page_merged(flow_logs(spark, d), cold(spark, d, "parquet"), LONGER, 50, 5)
 
 
-@query("m3_archive_sweep", """, o AS (SELECT event_date AS day, COUNT(*) AS n FROM flow_logs WHERE event_date < DATE '2024-01-30' - 26 GROUP BY ALL)
+@query("m3_archive_sweep", """, o AS (SELECT event_date AS day, COUNT(*) AS n FROM flow_logs WHERE event_date < DATE '2024-01-30' - 7 GROUP BY ALL)
 SELECT day, CASE WHEN day IN (SELECT day FROM archived) THEN 0 ELSE n END AS rows, CASE WHEN day IN (SELECT day FROM archived) THEN 'already archived, dropped' ELSE 'archived, dropped' END AS status FROM o""")
 def _(spark, d):
     base = folder(spark)
     T.write_flows(flow_logs(spark, d), f"{base}/hot")
-    return L.archive_sweep(spark, f"{base}/hot", Fx.archived(spark, d).select("day"), f"{base}/cold", after=26, as_of=AS_OF)
+    return L.archive_sweep(spark, f"{base}/hot", Fx.archived(spark, d).select("day"), f"{base}/cold", after=7, as_of=AS_OF)
+
+
+@query("s12_report_csv", f"""SELECT priv_ip AS src_ip, priv_port::VARCHAR AS src_port, dst_ip, dst_port::VARCHAR AS dst_port, pub_ip AS nat_ip,
+ CASE WHEN pub_port > 0 THEN pub_port::VARCHAR ELSE '' END AS nat_port, time AS timestamp, proto FROM (SELECT {SEARCHED} FROM flow_logs WHERE {BY_ADDRESS})""")
+def _(spark, d):
+    path = f"{folder(spark)}/report"
+    T.write_report_csv(S.search_all(flow_logs(spark, d), None, LONGER), {"address": "203.0.113.42"}, path)
+    return spark.read.option("header", True).schema("src_ip string, src_port string, dst_ip string, dst_port string, nat_ip string, nat_port string, timestamp string, proto string").csv(f"{path}/rows")
 
 
 @query("d1_decode_v5", """SELECT exporter_ip, src_ip, dst_ip, src_port, dst_port, protocol, bytes, packets, received_s - 100 AS start_s, received_s - 100 + dur_s AS end_s, COUNT(*) AS n FROM raw_flows GROUP BY ALL""")
@@ -775,3 +829,6 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="flowloom-")
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+SQL["r9_liveness_transitions"] = SQL["r9_liveness_transitions"].replace("WITH", "WITH RECURSIVE", 1)

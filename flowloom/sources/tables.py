@@ -20,13 +20,13 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FLOW_LOGS).parquet(path).drop("batch_id")
 
 
-def read_cold(spark: SparkSession, base: str, isp: int, days: list[str], fmt: str = "parquet") -> DataFrame:
-    """Archived rows of the named days, of one tenant or of all (0), with start_s and end_s parsed or null."""
+def read_cold(spark: SparkSession, base: str, isp: int, days: list[str] | None, fmt: str = "parquet") -> DataFrame:
+    """Archived rows of the named days, or all (None), of one tenant or of all (0), with start_s and end_s parsed or null."""
     schema = f"{schemas.COLD}, isp_id int, year string, month string, day string"
     reader = spark.read.schema(schema).option("basePath", base)
     rows = reader.parquet(base) if fmt == "parquet" else reader.option("header", True).option("enforceSchema", True).csv(base)
-    wanted = [d.split("-") for d in days]
-    keep = F.lit(False)
+    wanted = [d.split("-") for d in days or []]
+    keep = F.lit(days is None)
     for y, m, d in wanted:
         keep = keep | ((F.col("year") == y) & (F.col("month") == m) & (F.col("day") == d))
     rows = rows.filter(keep & (F.col("isp_id") == isp if isp else F.lit(True)))

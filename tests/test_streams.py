@@ -208,3 +208,23 @@ def test_rollup_compaction(spark, sf_dir, tmp_path):
     T.found(spark, f"{path}/generations/*")
     spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}/generations/77/hourly")  # one that broke off
     assert totals()[0] == tuple(whole)
+
+
+def test_a_search_goes_on_without_a_broken_archive(spark, sf_dir, tmp_path):
+    from flowloom.operators import search as S
+
+    flows = Fx.flow_logs(spark, sf_dir).cache()
+    f = S.SearchFilter(device_id=3)
+    base = f"{tmp_path}/cold"
+    L.write_archive(flows, base)
+    cold = lambda: T.read_cold(spark, base, 0, None)
+    rows, took_part = S.search_all_or_hot(flows, cold, f)
+    assert took_part and rows_of(rows) == rows_of(S.search_all(flows, cold(), f))
+    hot = rows_of(S.search_all(flows, None, f))
+    assert len(hot) > 0
+    found, took_part = S.search_all_or_hot(flows, lambda: T.read_cold(spark, f"{tmp_path}/nowhere", 0, None), f)
+    assert not took_part and rows_of(found) == hot
+    for x in (tmp_path / "cold").glob("isp_id=*/*/*/*/part-*"):
+        x.write_bytes(b"PAR1 not at all PAR1")
+    found, took_part = S.search_all_or_hot(flows, cold, f)
+    assert not took_part and rows_of(found) == hot
