@@ -101,6 +101,52 @@ def _pseudonym_column(key: bytes):
     return of(F.col("exporter_ip"), key)
 
 
+def sanitize_frames(frames: DataFrame, key: bytes) -> DataFrame:
+    """Frames of a capture that can be shared, with `rewritten`: how many addresses were.
+
+    Frames that aren't IPv4 go, and so do UDP frames whose payload isn't a flow export that sanitize_datagrams() can rewrite
+    whole. In what stays both addresses of the IPv4 header are pseudonyms and its checksum is made anew; the UDP checksum is 0,
+    which stands for none.
+    """
+    import pyarrow as pa
+
+    from flowloom.sources import pcap
+
+    layers = pcap.with_layers(frames)
+    payloads = sanitize_datagrams(pcap.extract_udp(frames), key).select("datagram_id", F.col("payload").alias("clean"), "reason", F.col("rewritten").alias("inner"))
+    joined = layers.withColumn("datagram_id", F.when(F.col("udp").isNotNull(), F.xxhash64("file", "seq"))).join(payloads, "datagram_id", "left")
+    kept = joined.filter(F.col("udp").isNull() | F.col("reason").isNull() & F.col("clean").isNotNull()).select(*frames.columns, "l3", "after", "udp", "clean", F.coalesce("inner", F.lit(0)).alias("inner"))
+    columns = frames.columns
+
+    def rewrite(data: bytes, l3: int, after: int, udp: int | None, clean: bytes | None) -> bytes:
+        out = bytearray(data)
+        if udp is not None:
+            out[udp + 8 : udp + 8 + len(clean)] = clean
+            out[udp + 6 : udp + 8] = b"\0\0"
+        for at in (l3 + 12, l3 + 16):
+            out[at : at + 4] = pseudonym(bytes(out[at : at + 4]), key)
+        out[l3 + 10 : l3 + 12] = checksum(bytes(out[l3:after])).to_bytes(2, "big")
+        return bytes(out)
+
+    def run(batches):
+        for batch in batches:
+            done = [rewrite(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("data", "l3", "after", "udp", "clean")))]
+            counts = [2 + n for n in batch.column("inner").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(done, pa.binary()) if c == "data" else batch.column(c) for c in columns), pa.array(counts, pa.int32())], [*columns, "rewritten"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema)
+    return kept.mapInArrow(run, f"{schema}, rewritten int")
+
+
+def checksum(header: bytes) -> int:
+    """The checksum of an IPv4 header, whose own field counts as 0."""
+    words = [int.from_bytes(header[i : i + 2], "big") for i in range(0, len(header) - 1, 2) if i != 10]
+    total = sum(words)
+    while total >> 16:
+        total = (total & 0xFFFF) + (total >> 16)
+    return ~total & 0xFFFF
+
+
 def statistics(sanitized: DataFrame) -> DataFrame:
     """(reason, datagrams, rewritten): kept ones under a null reason."""
     return sanitized.groupBy("reason").agg(F.count("*").alias("datagrams"), F.sum("rewritten").alias("rewritten"))
