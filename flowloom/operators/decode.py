@@ -533,7 +533,11 @@ def decode(datagrams: DataFrame, ttl_s: int | None = None, known: DataFrame | No
 
 
 def to_raw_flows(decoded: DataFrame) -> DataFrame:
-    """Decoded flows as ingest takes them; whether an end is private is judged before anything but IPv4 turns to 0."""
+    """Decoded flows as ingest takes them; whether an end is private is judged before anything but IPv4 turns to 0. Rows that come
+    without the addresses' numbers get them from the bytes."""
+    for address, number_ in (("src_addr", "src_ip"), ("dst_addr", "dst_ip"), ("nat_addr", "nat_public_ip")):
+        if number_ not in decoded.columns:
+            decoded = decoded.withColumn(number_, X.coerce_ipv4(F.col(address)))
     cut = lambda c: F.floor(F.col(c) / 1000)
     private = lambda address, number_: F.when(F.length(address) == 4, X.is_private(F.col(number_))).otherwise(F.coalesce(X.is_private_v6(F.col(address)), F.lit(False)))
     return decoded.select(
