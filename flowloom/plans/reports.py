@@ -7,19 +7,36 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions import exprs as X
 from flowloom.operators import aggregates as A
 from flowloom.operators import ingest as I
 from flowloom.operators import lifecycle as L
 from flowloom.operators import liveness as V
+from flowloom.operators import onepass as O
 from flowloom.operators import registry as G
 from flowloom.operators import rollup as R
 from flowloom.operators import search as S
 
 
 def dashboard(flows: DataFrame, isp: int, days: int, as_of: str) -> dict[str, DataFrame]:
+    """Six sections from one scan, exact; the newest records from one of their own, which reads other columns and keeps 50 rows a task."""
+    place = F.array_position(F.array(*map(F.lit, A.CLASSES)), X.protocol_name(F.col("protocol")))
+    hour = F.when(F.col("event_date") == F.lit(as_of).cast("date"), X.ist_hour(X.epoch(F.col("flow_start"))))
+    keys = {"protocol": place, "hour": hour, "device": F.col("device_id"), "subscriber": F.col("src_ip"), "nat_ip": F.col("nat_public_ip")}
+    sums = {"bytes": F.col("bytes"), "seconds": A.seconds()}
+    page = O.grouped_once(S.scope_days(flows, isp, days, as_of), keys, sums, {"subscriber": "bytes"}, 24)
+    count = lambda key, column: F.coalesce(O.total(key, column), F.lit(0).cast("long"))
+    rows = count("protocol", "flows")
+    hours = O.largest(page, "hour").select(F.col("key").cast("int").alias("hour"), "flows")
     return {
-        "scalars": A.dashboard_scalars(flows, isp, days, as_of), "today": A.count_today(flows, isp, as_of), "hourly": A.hourly_today(flows, isp, as_of), "protocols": A.proto_mix(flows, isp, days, as_of),
-        "devices": A.top_devices(flows, isp, days, as_of), "subscribers": A.top_subscribers(flows, isp, days, as_of), "records": S.recent_records(flows, isp, days, as_of, 50),
+        "scalars": page.select(
+            rows.alias("rows"), count("subscriber", "n").alias("subscribers"), count("device", "n").alias("devices"), O.total("protocol", "bytes").alias("bytes"), count("nat_ip", "n").alias("nat_ips"),
+            F.floor(count("protocol", "seconds") / F.greatest(rows, F.lit(1))).alias("mean_s"),
+        ),
+        "today": hours.agg(F.coalesce(F.sum("flows"), F.lit(0)).alias("n")), "hourly": A.hours_of(hours, flows.sparkSession),
+        "protocols": A.shares(O.largest(page, "protocol").select(F.element_at(F.array(*map(F.lit, A.CLASSES)), F.col("key").cast("int")).alias("name"), "flows")),
+        "devices": O.largest(page, "device", 7).select(F.concat(F.lit("DEV-"), F.col("key").cast("string")).alias("device"), "flows"),
+        "subscribers": A.subscribers_of(O.largest(page, "subscriber", 5).select(F.col("key").alias("src_ip"), "bytes"), 5), "records": S.recent_records(flows, isp, days, as_of, 50),
     }
 
 
