@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowloom.functions import exprs as X
@@ -12,6 +12,8 @@ RULES = ["skip_dns", "skip_private", "skip_zero"]
 GLOBAL_RULES = {"skip_dns": True, "skip_private": True, "skip_zero": True}
 #: A start further back than this, or further ahead, is the exporter's clock at fault.
 PAST_S, AHEAD_S = 7200, 120
+#: All that can become of a flow.
+OUTCOMES = [*[(s, r) for s in ("matched", "unknown") for r in ("kept", "zero_bytes", "dns", "private_to_private")], ("disabled", ""), ("rejected", "")]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -109,17 +111,33 @@ def to_flow_logs(flows: DataFrame) -> DataFrame:
     )
 
 
-def ingest(raw: DataFrame, devices: DataFrame, mode: str = "allow", **options) -> DataFrame:
-    """Decoded flows to flow_logs in one plan; the registry join is the only join and nothing shuffles."""
-    return to_flow_logs(apply_skip_rules(normalize_times(admit(stamp_identity(raw, devices, mode, **options)))))
+def outcome_of(stamped: DataFrame) -> Column:
+    """`kept`, the rule that skips a flow, or empty for flows that aren't admitted."""
+    return F.when(F.col("state").isin("matched", "unknown"), F.coalesce(reason_of(stamped), F.lit("kept"))).otherwise("")
+
+
+def ingest(raw: DataFrame, devices: DataFrame, mode: str = "allow", watch: Observation | None = None, **options) -> DataFrame:
+    """Decoded flows to flow_logs in one plan; the registry join is the only join and nothing shuffles.
+
+    `watch` takes the numbers of accounting() on the way, when the result is written; outcomes() makes rows of them.
+    """
+    stamped = stamp_identity(raw, devices, mode, **options)
+    if watch is not None:
+        met = {f"{s}/{r}": (F.col("state") == s) & (outcome_of(stamped) == r) for s, r in OUTCOMES}
+        counted = [F.count_if(c).alias(f"{n}/flows") for n, c in met.items()] + [F.sum(F.when(c, F.col("bytes"))).alias(f"{n}/bytes") for n, c in met.items()]
+        stamped = stamped.observe(watch, *counted)
+    return to_flow_logs(apply_skip_rules(normalize_times(admit(stamped))))
+
+
+def outcomes(watched: dict[str, int]) -> list[tuple[str, str, int, int | None]]:
+    """(state, reason, flows, bytes) of what an observation of ingest() took, without those that didn't occur."""
+    return [(s, r, watched[f"{s}/{r}/flows"], watched[f"{s}/{r}/bytes"]) for s, r in OUTCOMES if watched.get(f"{s}/{r}/flows")]
 
 
 def accounting(raw: DataFrame, devices: DataFrame, mode: str = "allow", **options) -> DataFrame:
     """(state, skip_reason, flows, bytes): what became of every flow; `kept` for those that are stored."""
     stamped = stamp_identity(raw, devices, mode, **options)
-    admitted = F.col("state").isin("matched", "unknown")
-    reason = F.when(admitted, F.coalesce(reason_of(stamped), F.lit("kept"))).otherwise("")
-    return stamped.withColumn("reason", reason).groupBy("state", "reason").agg(F.count("*").alias("flows"), F.sum("bytes").alias("bytes"))
+    return stamped.withColumn("reason", outcome_of(stamped)).groupBy("state", "reason").agg(F.count("*").alias("flows"), F.sum("bytes").alias("bytes"))
 
 
 def rates(outcomes: DataFrame, ts: str = "ts", outcome: str = "outcome", width: str = "1 minute") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -18,6 +19,7 @@ from flowloom.operators import templates as Life
 from flowloom.sources import tables as T
 
 TTL_MS = 30 * 60 * 1000
+ACCOUNTED = "state string, reason string, flows long, bytes long"
 STATEFUL = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
@@ -29,7 +31,8 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
     checkpoint: each micro-batch reads the one of the batch before and writes its own, and the one before that goes. However the
     same datagrams are cut into batches, the same flows are stored. A micro-batch that runs again
     overwrites its own flows and templates, so each flow is stored once. Flows of one day stand in that day's
-    partition, below it by micro-batch; read_flows() reads them, and drop_day() drops them.
+    partition, below it by micro-batch; read_flows() reads them, and drop_day() drops them. What became of every flow is
+    counted while a batch is written and kept beside the checkpoint by micro-batch, for read_accounting().
     """
     held: list[DataFrame] = []
     templates = f"{checkpoint}-templates"
@@ -47,7 +50,9 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
         try:
             now = chain.agg(F.max("latest")).first()[0]
             Life.carried(chain, ttl_s, now).write.mode("overwrite").parquet(f"{templates}/{batch_id}")
-            T.write_flows(I.ingest(D.to_raw_flows(D.decode(batch, ttl_s, chain=chain)), held[0], mode), path, batch_id=batch_id)
+            raw, watch = D.to_raw_flows(D.decode(batch, ttl_s, chain=chain)), Observation()
+            T.write_flows(I.ingest(raw, held[0], mode, watch), path, batch_id=batch_id)
+            spark.createDataFrame(became(watch, raw, held[0], mode), ACCOUNTED).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}-accounting/batch_id={batch_id}")
         finally:
             chain.unpersist()
         T.delete(spark, f"{templates}/{batch_id - 2}")
@@ -55,6 +60,20 @@ def ingest_stream(datagrams: DataFrame, registry: Callable[[SparkSession], DataF
     return datagrams.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def became(watch: Observation, raw: DataFrame, devices: DataFrame, mode: str) -> list[tuple]:
+    """Rows of accounting() of a batch that is written. Where nothing was left to write, the adaptive plan shrinks to an empty one
+    and its numbers are lost with it, so they are taken anew."""
+    try:
+        return I.outcomes(watch.get)
+    except Py4JJavaError:
+        return [tuple(r) for r in I.accounting(raw, devices, mode).select("state", "reason", "flows", "bytes").collect()]
+
+
+def read_accounting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(state, reason, flows, bytes) of all that an ingest stream has stored or left out: accounting() of its input."""
+    return spark.read.schema(f"{ACCOUNTED}, batch_id long").parquet(f"{checkpoint}-accounting").groupBy("state", "reason").agg(F.sum("flows").alias("flows"), F.sum("bytes").alias("bytes"))
+
+
 TEMPLATE_EVENTS = StructType([StructField("exporter_ip", LongType()), StructField("domain", LongType()), StructField("version", IntegerType()), StructField("template_id", IntegerType()), StructField("event", StringType()), StructField("template", StringType())])
 
 
@@ -170,7 +189,7 @@ LIVENESS_EVENTS = StructType([StructField("isp_id", IntegerType()), StructField(
 
 
 class Liveness(StatefulProcessor):
-    """The fold of liveness.transitions() over ticks as they come."""
+    """The fold of liveness.transitions() over ticks as they come; a tick of an exporter that isn't enabled forgets it."""
 
     def __init__(self, silence_s: int, remind_s: int):
         self.silence_s, self.remind_s = silence_s, remind_s
@@ -180,13 +199,18 @@ class Liveness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state, out = tuple(self.state.get()) if self.state.exists() else None, []
-        ticks = [(int(r["tick_s"]), None if pd.isna(r["seen_s"]) else int(r["seen_s"])) for part in rows for r in part.to_dict("records")]
-        for tick, seen in sorted(ticks, key=lambda t: (t[0], t[1] or 0)):
+        ticks = [(int(r["tick_s"]), None if pd.isna(r["seen_s"]) else int(r["seen_s"]), bool(r["known"])) for part in rows for r in part.to_dict("records")]
+        for tick, seen, known in sorted(ticks, key=lambda t: (t[0], t[1] or 0)):
+            if not known:
+                state = None
+                continue
             state, event = V.fold(state, tick, seen, self.silence_s, self.remind_s)
             if event:
                 out.append((*key, tick, event, state[0]))
         if state:
             self.state.update(state)
+        else:
+            self.state.clear()
         yield pd.DataFrame(out, columns=[f.name for f in LIVENESS_EVENTS])
 
     def close(self) -> None:
@@ -194,6 +218,72 @@ class Liveness(StatefulProcessor):
 
 
 def liveness_stream(ticks: DataFrame, devices: DataFrame, silence_s: int = 900, remind_s: int = 0) -> DataFrame:
-    """Alerts as ticks arrive; devices are read anew with each micro-batch by the stream-static join."""
-    live = devices.filter("enabled").select("isp_id", "exporter_ip").distinct()
-    return ticks.join(live, ["isp_id", "exporter_ip"], "left_semi").groupBy("isp_id", "exporter_ip").transformWithStateInPandas(Liveness(silence_s, remind_s), LIVENESS_EVENTS, "Append", "None")
+    """Alerts as ticks arrive; devices are read anew with each micro-batch by the stream-static join.
+
+    An exporter that is taken out of the registry, or disabled, is forgotten with its next tick: when it comes back it starts
+    anew, without a recovery of what was before.
+    """
+    live = devices.filter("enabled").select("isp_id", "exporter_ip", F.lit(True).alias("known")).distinct()
+    known = ticks.join(live, ["isp_id", "exporter_ip"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return known.groupBy("isp_id", "exporter_ip").transformWithStateInPandas(Liveness(silence_s, remind_s), LIVENESS_EVENTS, "Append", "None")
+
+
+class Silence(StatefulProcessor):
+    """Alerts by timers of the cluster's clock; see silence_stream()."""
+
+    def __init__(self, silence_s: int, remind_s: int, lease_s: int):
+        self.silence_s, self.remind_s, self.lease_s = silence_s, remind_s, lease_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "last long, status string, alerted long, listed long")
+
+    def step(self, key, state: tuple, now_s: int, seen_s: int | None) -> Iterator[pd.DataFrame]:
+        """Keeps the state after one look at the clock, its next timer set, and tells what happened."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        last, status, alerted, listed = state
+        if listed + self.lease_s < now_s:  # neither listed of late, nor ever
+            self.state.clear()
+            return
+        folded, event = V.fold((last, status, alerted), now_s, seen_s, self.silence_s, self.remind_s)
+        self.state.update((*folded, listed))
+        last, status, alerted = folded
+        # A second after each bound: silence is more than silence_s, and a lease ends when it is over.
+        due = [listed + self.lease_s + 1]
+        if last and status != "silent":
+            due.append(last + self.silence_s + 1)
+        if status == "silent" and self.remind_s > 0:
+            due.append(alerted + self.remind_s)
+        self.handle.registerTimer(max(min(due), now_s + 1) * 1000)
+        if event:
+            yield pd.DataFrame([(*key, now_s, event, last)], columns=[f.name for f in LIVENESS_EVENTS])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        now, table = timers.getCurrentProcessingTimeInMs() // 1000, pd.concat(list(rows))
+        last, status, alerted, listed = tuple(self.state.get()) if self.state.exists() else (0, "init", 0, 0)
+        newest = table[table["listed_s"].notna()].sort_values(["listed_s", "enabled"])
+        if len(newest) and newest["listed_s"].iloc[-1] >= listed:
+            listed = int(newest["listed_s"].iloc[-1]) if newest["enabled"].iloc[-1] else 0
+        seen = table["seen_s"].max()
+        yield from self.step(key, (last, status, alerted, listed), now, None if pd.isna(seen) else int(seen))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield from self.step(key, tuple(self.state.get()), timerValues.getCurrentProcessingTimeInMs() // 1000, None)
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(seen: DataFrame, listed: DataFrame, silence_s: int = 900, remind_s: int = 0, lease_s: int = 3600) -> DataFrame:
+    """Alerts without ticks: silence and reminders are raised by processing-time timers, one pending for each exporter.
+
+    seen: (isp_id, exporter_ip, seen_s), one row or more an exporter and batch. listed: (isp_id, exporter_ip, enabled,
+    listed_s), every device each time the registry is read. An exporter is watched for lease_s seconds after a registry
+    listed it last; then, or at once when it is listed as disabled, its state goes, silently. An exporter that is in no
+    registry, or was seen before one listed it, has no state. Set STATEFUL on the session. tick_s is when it was noticed.
+    """
+    rows = seen.select("isp_id", "exporter_ip", F.col("seen_s").cast("long").alias("seen_s"), F.lit(None).cast("boolean").alias("enabled"), F.lit(None).cast("long").alias("listed_s"))
+    rows = rows.unionByName(listed.select("isp_id", "exporter_ip", F.lit(None).cast("long").alias("seen_s"), "enabled", F.col("listed_s").cast("long").alias("listed_s")))
+    return rows.groupBy("isp_id", "exporter_ip").transformWithStateInPandas(Silence(silence_s, remind_s, lease_s), LIVENESS_EVENTS, "Append", "ProcessingTime")

@@ -38,6 +38,18 @@ def test_ingest_stream(spark, sf_dir, tmp_path):
     found = T.read_flows(spark, f"{tmp_path}/hot")
     batch = I.ingest(D.to_raw_flows(D.decode(spark.read.parquet(f"{tmp_path}/in"))), Fx.devices(spark, sf_dir))
     assert rows_of(found.select(sorted(batch.columns))) == rows_of(batch)
+    wanted = I.accounting(D.to_raw_flows(D.decode(spark.read.parquet(f"{tmp_path}/in"))), Fx.devices(spark, sf_dir))
+    assert rows_of(streams.read_accounting(spark, f"{tmp_path}/check")) == rows_of(wanted) != []
+
+
+def test_accounting_of_a_batch_that_stores_nothing(spark, sf_dir, tmp_path):
+    """Every exporter is unknown, and the mode rejects those."""
+    devices = Fx.devices(spark, sf_dir).withColumn("exporter_ip", -F.col("id").cast("long")).cache()
+    Fx.datagrams_v5(Fx.raw_flows(spark, sf_dir).limit(200)).coalesce(1).write.parquet(f"{tmp_path}/in")
+    streams.ingest_stream(T.read_datagrams(spark, f"{tmp_path}/in", stream=True), lambda s: devices, f"{tmp_path}/hot", f"{tmp_path}/check", mode="reject", availableNow=True).awaitTermination()
+    found = streams.read_accounting(spark, f"{tmp_path}/check")
+    assert rows_of(found) == rows_of(I.accounting(D.to_raw_flows(D.decode(spark.read.parquet(f"{tmp_path}/in"))), devices, "reject"))
+    assert [r.state for r in found.collect()] == ["rejected"]
 
 
 def test_ingest_stream_keeps_templates_over_batches(spark, sf_dir, tmp_path):
@@ -92,6 +104,7 @@ def test_ingest_stream_is_the_same_for_any_batches(spark, sf_dir, tmp_path):
         stream = spark.readStream.schema(schemas.DATAGRAMS).option("maxFilesPerTrigger", most).parquet(f"{tmp_path}/in")
         streams.ingest_stream(stream, lambda s: devices, f"{tmp_path}/{name}", f"{tmp_path}/check-{name}", availableNow=True).awaitTermination()
         assert rows_of(T.read_flows(spark, f"{tmp_path}/{name}").select(sorted(batch.columns))) == rows_of(batch)
+        assert streams.read_accounting(spark, f"{tmp_path}/check-{name}").filter("reason = 'kept'").agg(F.sum("flows")).first()[0] == batch.count()
     assert len(list((tmp_path / "check-each-templates").iterdir())) == 2
 
 
@@ -113,6 +126,52 @@ def test_liveness_fold():
     assert state[0] == 2290
 
 
+def test_liveness_forgets_what_leaves_the_registry(spark, tmp_path):
+    """Silent, taken out for a tick, and back: no recovery is told of what was before; one that stays recovers."""
+    ticks = "isp_id int, exporter_ip long, tick_s long, seen_s long"
+    listed = [[1, 2], [1, 2], [2], [1, 2]]
+    for i, (tick, seen) in enumerate([(1000, 990), (2000, 990), (3000, 990), (4000, 3990)]):
+        spark.createDataFrame([(1, x, tick, seen) for x in (1, 2)], ticks).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+        devices = spark.createDataFrame([(1, x, True) for x in listed[i]], "isp_id int, exporter_ip long, enabled boolean")
+        stream = streams.liveness_stream(spark.readStream.schema(ticks).parquet(f"{tmp_path}/ticks"), devices, 900)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.exporter_ip, r.tick_s, r.event) for r in found) == [(1, 2000, "silent"), (2, 2000, "silent"), (2, 4000, "recovered")]
+
+
+def test_silence_without_ticks(spark, tmp_path):
+    """Timers alone raise silence and reminders; a lease that ends, a disabled device and an unlisted one raise nothing."""
+    seen, listed = "isp_id int, exporter_ip long, seen_s long", "isp_id int, exporter_ip long, enabled boolean, listed_s long"
+    now = int(time.time())
+    kept, leaves, off, stranger = 1, 2, 3, 4
+
+    def add(folder, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{folder}")
+
+    # The lease of `leaves` ends before its silence is due.
+    add("listed", [(1, kept, True, now + 1000), (1, leaves, True, now - 56), (1, off, False, now)], listed)
+    add("seen", [(1, x, now) for x in (kept, leaves, off, stranger)], seen)
+    out = streams.silence_stream(spark.readStream.schema(seen).parquet(f"{tmp_path}/seen"), spark.readStream.schema(listed).parquet(f"{tmp_path}/listed"), 20, 3, 60)
+    q = out.writeStream.format("memory").queryName("silence").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="1 second").start()
+
+    def until(event):
+        for _ in range(120):
+            assert q.exception() is None
+            if event in {r.event for r in spark.table("silence").collect()}:
+                return
+            time.sleep(0.5)
+
+    until("reminder")
+    add("seen", [(1, x, int(time.time())) for x in (kept, leaves, off, stranger)], seen)
+    until("recovered")
+    q.stop()
+    found = spark.table("silence").orderBy("tick_s").collect()
+    events = [r.event for r in found]
+    assert {r.exporter_ip for r in found} == {kept}
+    assert events[:2] == ["silent", "reminder"] and "recovered" in events and set(events[1 : events.index("recovered")]) == {"reminder"}
+    assert found[0].tick_s > now + 20 and found[0].last_s == now
+
+
 def test_dedup_stream(spark, tmp_path, sf_dir):
     flows = Fx.flow_logs(spark, sf_dir).limit(20)
     flows.union(flows).repartition(1).write.parquet(f"{tmp_path}/flows")
