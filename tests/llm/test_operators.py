@@ -345,19 +345,76 @@ def test_lm(which, request, pairs):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+class PlainModel:
+    """Deleted interpolation of bigrams with plain dictionaries; texts are (id, tokens), None the end of one."""
+
+    def __init__(self, texts, rounds=30, tolerance=1e-4):
+        fold = lambda d: zlib.crc32(str(d).encode()) % 10
+        train = [t for d, t in texts if fold(d)]
+        self.uni, self.bi, self.texts = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["", *t], t)), len(train)
+        self.n, self.weights = sum(self.uni.values()), {}
+        held = [self.parts(before, w, 1) for d, t in texts if fold(d) == 1 for before, w in zip(["", *t], t)]
+        octaves, start = {o for o, _ in held}, [1 / 3] * 3
+        weights = dict.fromkeys(octaves, start)
+        pooled = start
+        for _ in range(rounds):
+            got = {o: [0.0] * 3 for o in octaves}
+            for o, p in held:
+                mixed = sum(w * x for w, x in zip(weights[o], p))
+                got[o] = [g + w * x / mixed for g, w, x in zip(got[o], weights[o], p)]
+            new, whole = {o: [x / sum(g) for x in g] for o, g in got.items()}, [sum(x) for x in zip(*got.values())]
+            before, pooled = pooled, [x / sum(whole) for x in whole] if whole else start
+            moved = max(abs(x - y) for o in octaves for x, y in zip(new[o], weights[o])) if octaves else 0
+            moved = max(moved, *(abs(x - y) for x, y in zip(pooled, before)))
+            weights = new
+            if moved < tolerance:
+                break
+        for o in range(lm.OCTAVES):
+            u = weights.get(o, pooled)
+            u = [max(u[0], 1e-6), *u[1:]]
+            self.weights[o] = [x / sum(u) for x in u]
+
+    def parts(self, before, w, less=0):
+        context = (self.uni[before] if before != "" else self.texts) - less
+        p = [1 / (len(self.uni) + 1), max(self.uni[w] - less, 0) / max(1, self.n - less), max(self.bi[before, w] - less, 0) / context if context > 0 else 0]
+        return min(int(math.log2(max(context, 0) + 1)), lm.OCTAVES - 1), p
+
+    def of(self, before, w):
+        o, p = self.parts(before, w)
+        return sum(u * x for u, x in zip(self.weights[o], p))
+
+
+def tokens_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text)) + [None]
+
+
+@pytest.mark.parametrize("which", ["documents", "edges"])
+def test_lm_scores_equal_plain_dictionaries(which, request, pairs):
+    df = request.getfixturevalue(which)
+    texts = [(d, tokens_of(t)) for d, t in pairs(df, "doc_id", "text")]
+    model = PlainModel(texts)
+    wanted = sorted((d, round(math.fsum(math.log10(model.of(b, w)) for b, w in zip(["", *t], t)), 4)) for d, t in texts)
+    found = sorted((r.doc_id, round(r.score, 4)) for r in lm.scored(df, chunk_bytes=40_000, bucket_bytes=100_000).collect())
+    assert [d for d, _ in found] == [d for d, _ in wanted]
+    assert all(abs(x - y) <= 1e-3 + 1e-6 * abs(y) for (_, x), (_, y) in zip(found, wanted))
+
+
 def test_lm_probabilities_add_up(spark):
-    """After one context, the model's probabilities of all known tokens and one unknown add up to one."""
+    """After any context that training has, all known tokens and one unknown add up to one, in the plain model and, from what
+    scores of texts that differ in one place tell, in the operator's."""
     rows = [(i, "a b a c b a" if i % 2 else "b a a c") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    known = ["a", "b", "c"]
-    tail = {w: r for w, r in zip([*known, "zz"], range(1000, 1010))}
-    # 1000.. are probes; only those that are held out don't change the counts.
-    ids = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
-    texts = ["a", "a a", "a b", "a c", "a zz"]
-    probes = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    score = {r.doc_id: r.score for r in lm.scored(df.unionByName(probes)).collect()}
-    assert len(tail) == 4 and all(score[i] < 0 for i in ids)
-    assert score[ids[0]] > score[ids[4]]
+    ids = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0]  # held out, so they don't change the counts
+    probes = ["a", "a a", "a b", "a c", "a zz", "b", "c", "zz"]
+    rows += list(zip(ids, probes))
+    model = PlainModel([(d, tokens_of(t)) for d, t in rows])
+    for before in ("", "a", "b", "c"):
+        assert abs(sum(model.of(before, w) for w in ("a", "b", "c", None, "zz")) - 1) < 1e-9
+    scored = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    score = {t: 10 ** scored[i] for i, t in zip(ids, probes)}
+    # p(w | a) is score(a w) over p(a | begin) and p(end | w); the end after a is score(a) over p(a | begin).
+    first = model.of("", "a")
+    after_a = [score["a"] / first] + [score[f"a {w}"] / first / (score[w] / model.of("", w)) for w in ("b", "c", "zz")] + [score["a a"] / score["a"]]
+    assert abs(sum(after_a) - 1) < 1e-6
 
 
 def test_lm_of_nothing(nothing):
