@@ -66,12 +66,11 @@ def ist_hour(seconds: Column) -> Column:
 
 
 def ist_clock(seconds: Column) -> Column:
-    s = F.pmod(seconds + IST, F.lit(86400))
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return duration(F.pmod(seconds + IST, F.lit(86400)))
 
 
 def ist_text(seconds: Column) -> Column:
-    return F.concat_ws(" ", ist_date(seconds).cast("string"), ist_clock(seconds))
+    return F.concat(ist_date(seconds).cast("string"), F.lit(" "), ist_clock(seconds))
 
 
 def ist_seconds(naive: Column) -> Column:
@@ -120,7 +119,7 @@ def percent(n: Column, of: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60))
 
 
 def round1(x: Column) -> Column:

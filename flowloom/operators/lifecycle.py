@@ -28,7 +28,7 @@ def expire_days(df: DataFrame, days: int, as_of: str, archive_after: int | None
 def project_archive(df: DataFrame, *more: str) -> DataFrame:
     """The 15 columns with the tenant, addresses as dotted text and times in UTC, and the day."""
     text = {c: X.inet_ntoa(F.col(c)) for c in ("src_ip", "dst_ip", "nat_public_ip", "exporter_ip")}
-    clock = lambda c: F.concat_ws(" ", X.ist_date(X.epoch(F.col(c)) - X.IST).cast("string"), X.ist_clock(X.epoch(F.col(c)) - X.IST))
+    clock = lambda c: X.ist_text(X.epoch(F.col(c)) - X.IST)
     return df.withColumns(text | {c: clock(c) for c in ("flow_start", "flow_end")}).select("isp_id", "event_date", *COLD_COLUMNS, *more)
 
 
