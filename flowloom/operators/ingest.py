@@ -10,9 +10,9 @@ from flowloom.functions import exprs as X
 BROADCAST_ROWS = 500_000
 RULES = ["skip_dns", "skip_private", "skip_zero"]
 GLOBAL_RULES = {"skip_dns": True, "skip_private": True, "skip_zero": True}
-#: A start further back than this, or further ahead, is the exporter's clock at fault.
+#: Fixed values, in seconds: a start further back than this, or further ahead, is the exporter's clock at fault.
 PAST_S, AHEAD_S = 7200, 120
-#: All that can become of a flow.
+#: All that can become of a flow, by the names of states and reasons.
 OUTCOMES = [*[(s, r) for s in ("matched", "unknown") for r in ("kept", "zero_bytes", "dns", "private_to_private")], ("disabled", ""), ("rejected", "")]
 
 

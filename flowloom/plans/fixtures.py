@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions import exprs as X
 from flowloom.operators import ingest
 
 AS_OF = "2024-01-30"
@@ -26,8 +27,8 @@ SELECT l_orderkey*8 + l_linenumber AS flow_id,
  CAST(floor(l_quantity) AS BIGINT) AS packets,
  CASE l_orderkey % 3 WHEN 0 THEN 'netflow5' WHEN 1 THEN 'netflow9' ELSE 'ipfix' END AS flow_type,
  CAST(1704067200 + (l_orderkey % 30)*86400 + (l_orderkey*37 + l_linenumber*4001) % 86400 AS BIGINT) AS received_s,
- CAST(CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN -43200 WHEN 2 THEN 600
-                         WHEN 3 THEN -90 ELSE -1500 END AS BIGINT) AS start_off_s,
+ CAST(CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN -7201 WHEN 2 THEN 121 WHEN 3 THEN -7200
+                         WHEN 4 THEN 120 ELSE -(l_suppkey % 7000) END AS BIGINT) AS start_off_s,
  CAST(floor(l_quantity) AS BIGINT) AS dur_s
 FROM lineitem"""
 
@@ -132,6 +133,18 @@ def datagrams_ipfix(raw: DataFrame) -> DataFrame:
     return raw.select(F.xxhash64(*raw.columns, nth).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(4739).alias("port"), F.concat(*head, *body).alias("payload"))
 
 
+def frames_udp(datagrams: DataFrame, files: int) -> DataFrame:
+    """Ethernet frames of IPv4 and UDP around the datagrams, for `files` captures by exporter; every third has a VLAN tag."""
+    c, size = F.col, F.length("payload")
+    tag = F.when(c("exporter_ip") % 3 == 0, F.concat(wire(0x8100, 2), wire(12, 2))).otherwise(F.lit(b""))
+    parts = [
+        F.lit(bytes(12)), tag, wire(0x0800, 2), wire(0x4500, 2), wire(size + 28, 2), F.lit(bytes(4)), wire(64, 1), wire(17, 1), F.lit(bytes(2)), wire(c("exporter_ip"), 4), wire(X.ip("192.0.2.1"), 4),
+        wire(40000, 2), wire(c("port"), 2), wire(size + 8, 2), F.lit(bytes(2)), c("payload"),
+    ]
+    data = F.concat(*parts)
+    return datagrams.select(F.concat(F.lit("capture-"), (c("exporter_ip") % files).cast("string")).alias("file"), c("datagram_id").alias("seq"), c("recv_ts").alias("ts"), F.length(data).alias("orig_len"), F.lit(1).alias("link_type"), data.alias("data"))
+
+
 #: Elements and lengths of version 9, whose template comes by itself.
 V9_TEMPLATE = [(8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (1, 8), (2, 4), (22, 4), (21, 4), (225, 4), (227, 2), (5, 1)]
 HALF_HOUR = 1800

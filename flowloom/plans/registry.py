@@ -21,6 +21,7 @@ from flowloom.operators import registry as G
 from flowloom.operators import rollup as R
 from flowloom.operators import sanitize as Z
 from flowloom.operators import search as S
+from flowloom.sources import pcap as Pc
 from flowloom.sources import tables as T
 from flowloom.streaming import streams
 
@@ -57,6 +58,7 @@ def flows(name: str, sql: str | None = None):
 WINDOW = "event_date >= DATE '2024-01-30' - 7 AND isp_id = 2"
 ALL = "event_date >= DATE '2024-01-30' - 7"
 TODAY = "event_date = DATE '2024-01-30'"
+SIGNED = "(CASE protocol WHEN 6 THEN '=' WHEN 17 THEN '+' WHEN 1 THEN '-' ELSE '' END || CASE WHEN bytes = 0 THEN '@' ELSE '' END || src_port::VARCHAR)"
 NAME = "CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' ELSE 'OTH' END"
 SHOWN = "(nat_public_ip <> 0 AND NOT (nat_public_ip = src_ip AND nat_public_port = src_port))"
 
@@ -214,10 +216,24 @@ def _(df):
     return df.select(s.alias("start_s"), X.ist_text(s).alias("text"), X.parse_time(X.ist_text(s)).alias("parsed"), X.parse_best_effort(X.ist_text(s)).alias("utc"), X.ist_hour(s).alias("hour")).distinct()
 
 
+@query("x_report_text", f"""SELECT DISTINCT flow_type, coalesce(nullif(CASE WHEN nat_public_port > 0 THEN nat_public_port::VARCHAR ELSE '' END, ''), {NAME}) AS first_text,
+ CASE WHEN nat_public_ip = 0 THEN 'any' ELSE substr(CAST({ist_date("received_s")} AS VARCHAR) || ' ' || {ist_clock("received_s")}, 1, 16) END AS until, received_s * 1000 + bytes % 1000 AS ms,
+ CASE WHEN substr({SIGNED}, 1, 1) IN ('=', '+', '-', '@') THEN chr(39) || {SIGNED} ELSE {SIGNED} END AS cell, CASE WHEN bytes = 0 THEN '—' ELSE {NAME} END AS dashed FROM raw_flows""")
+def _(spark, d):
+    df, c, name = raw_flows(spark, d), F.col, X.protocol_name(F.col("protocol"))
+    df = I.with_flow_type(df.drop("flow_type").withColumn("version", F.element_at(F.array(*map(F.lit, (5, 9, 10))), (c("flow_id") / 8).cast("long").cast("int") % 3 + 1)))
+    signed = F.concat(F.expr("CASE protocol WHEN 6 THEN '=' WHEN 17 THEN '+' WHEN 1 THEN '-' ELSE '' END"), F.when(c("bytes") == 0, "@").otherwise(""), c("src_port").cast("string"))
+    ms = X.ms_to_timestamp(c("received_s") * 1000 + c("bytes") % 1000)
+    return df.select(
+        "flow_type", X.first_non_empty(X.port_or_blank(c("nat_public_port")), name).alias("first_text"), X.or_any(F.when(c("nat_public_ip") != 0, c("received_s"))).alias("until"),
+        F.unix_millis(ms).alias("ms"), X.formula_safe(signed).alias("cell"), X.or_dash(F.when(c("bytes") == 0, "  ").otherwise(name)).alias("dashed"),
+    ).distinct()
+
+
 @query("d15_pseudonymize", """, b AS (SELECT DISTINCT src_ip, [107, 49, (src_ip >> 24) & 255, (src_ip >> 16) & 255, (src_ip >> 8) & 255, src_ip & 255] AS bytes FROM raw_flows)
 SELECT src_ip, CAST(167772160 + (list_reduce(list_prepend(CAST(2166136261 AS BIGINT), bytes), lambda h, c: (xor(h, c) * 16777619) & 4294967295) & 16777215) AS BIGINT) AS pseudonym FROM b""")
 def _(spark, d):
-    return raw_flows(spark, d).select("src_ip").distinct().withColumn("pseudonym", P.pseudonym(F.col("src_ip"), b"k1"))
+    return P.pseudonymize_ips(raw_flows(spark, d).select("src_ip", F.col("src_ip").alias("pseudonym")).distinct(), ["pseudonym"], b"k1")
 
 
 # --- aggregates ---
@@ -811,6 +827,39 @@ def _(spark, d):
     return Z.statistics(Z.sanitize_datagrams(Fx.datagrams_ipfix(raw_flows(spark, d).filter("flow_type = 'ipfix'")), b"k1"))
 
 
+def hidden(c: str) -> str:
+    """DuckDB's pseudonym of an address under the key k1."""
+    data = f"[107, 49, ({c} >> 24) & 255, ({c} >> 16) & 255, ({c} >> 8) & 255, {c} & 255]"
+    return f"CAST(167772160 + (list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {data}), lambda h, b: (xor(h, b) * 16777619) & 4294967295) & 16777215) AS BIGINT)"
+
+
+@query("d14_sanitized_flows", f"""SELECT {hidden("exporter_ip")} AS exporter_ip, {hidden("src_ip")} AS src_ip, {hidden("dst_ip")} AS dst_ip, {hidden("nat_public_ip")} AS nat_public_ip, src_port, dst_port, nat_public_port,
+ protocol, bytes, packets, received_s AS start_s, COUNT(*) AS n FROM raw_flows WHERE flow_type = 'ipfix' GROUP BY ALL""")
+def _(spark, d):
+    """What a reader of the shared datagrams decodes: pseudonyms in place of all four addresses, everything else as sent."""
+    shared = Z.sanitize_datagrams(Fx.datagrams_ipfix(raw_flows(spark, d).filter("flow_type = 'ipfix'")), b"k1").filter("reason IS NULL")
+    decoded = D.to_raw_flows(D.decode(shared.drop("reason", "rewritten")))
+    start = F.col("received_s") + F.col("start_off_s")
+    return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "nat_public_ip", "src_port", "dst_port", "nat_public_port", "protocol", "bytes", "packets", start.alias("start_s")).agg(F.count("*").alias("n"))
+
+
+@query("s2_s3_capture", "SELECT exporter_ip, src_ip, dst_ip, src_port, dst_port, bytes, received_s - 100 AS start_s, COUNT(*) AS n FROM raw_flows GROUP BY ALL")
+def _(spark, d):
+    """Datagrams written as frames into sixteen captures, read in pieces and decoded."""
+    base = folder(spark)
+    Pc.write_pcap(Fx.frames_udp(Fx.datagrams_v5(raw_flows(spark, d)), 16), base)
+    decoded = D.to_raw_flows(D.decode_v5(Pc.extract_udp(Pc.read_pcap(spark, f"{base}/*.pcap"))))
+    return decoded.groupBy("exporter_ip", "src_ip", "dst_ip", "src_port", "dst_port", "bytes", (F.col("received_s") + F.col("start_off_s")).alias("start_s")).agg(F.count("*").alias("n"))
+
+
+@query("s8_read_registry", "SELECT 'v1' AS version, 'observe' AS unknown_mode, id, isp_id, name, exporter_ip, device_id, protocol, profile, capture_policy, enabled, skip_dns, skip_private, skip_zero FROM devices")
+def _(spark, d):
+    path = f"{folder(spark)}/registry"
+    bundle = devices(spark, d).agg(F.lit("v1").alias("version"), F.lit("observe").alias("unknown_mode"), F.collect_list(F.struct(*devices(spark, d).columns)).alias("devices"))
+    bundle.write.json(path)
+    return T.read_registry(spark, path)
+
+
 @query("r4_rollup_stream", f"{ROLLUP} FROM flow_logs GROUP BY ALL")
 def _(spark, d):
     base = folder(spark)

@@ -10,12 +10,16 @@ from flowloom.operators import search as S
 
 
 def test_skip_rules(spark):
-    rows = [
-        (1, "10.0.0.1", "8.8.8.8", 5000, 53, 10, "dns"), (2, "10.0.0.1", "8.8.8.8", 53, 5000, 10, "dns"), (3, "10.0.0.1", "192.168.1.1", 1, 2, 10, "private_to_private"),
-        (4, "100.64.0.1", "172.16.0.1", 1, 2, 10, "private_to_private"), (5, "10.0.0.1", "8.8.8.8", 1, 2, 0, "zero_bytes"), (6, "10.0.0.1", "8.8.8.8", 1, 53, 0, "zero_bytes"),
-        (7, "10.0.0.1", "8.8.8.8", 1, 443, 10, None), (8, "172.32.0.1", "10.0.0.1", 1, 443, 10, None),
+    """The order of the rules, and the first and last address of each private range with their neighbours outside."""
+    far = "198.51.100.7"
+    inside = ["10.0.0.0", "10.255.255.255", "172.16.0.0", "172.31.255.255", "192.168.0.0", "192.168.255.255", "100.64.0.0", "100.127.255.255"]
+    outside = ["9.255.255.255", "11.0.0.0", "172.15.255.255", "172.32.0.0", "192.167.255.255", "192.169.0.0", "100.63.255.255", "100.128.0.0"]
+    rows = [(a, "10.77.3.9", 4000, 8443, 7, "private_to_private") for a in inside] + [(a, "10.77.3.9", 4000, 8443, 7, None) for a in outside] + [("10.77.3.9", a, 4000, 8443, 7, None) for a in outside]
+    rows += [
+        ("10.77.3.9", far, 4000, 53, 7, "dns"), (far, "10.77.3.9", 53, 4000, 7, "dns"), ("10.77.3.9", "10.77.3.10", 4000, 53, 7, "dns"),
+        ("10.77.3.9", far, 4000, 53, 0, "zero_bytes"), ("10.77.3.9", "10.77.3.10", 4000, 8443, 0, "zero_bytes"), ("10.77.3.9", far, 4000, 54, 1, None),
     ]
-    df = spark.createDataFrame([(n, X.ip(s), X.ip(d), sp, dp, b, r) for n, s, d, sp, dp, b, r in rows], "n int, src_ip long, dst_ip long, src_port int, dst_port int, bytes long, wanted string")
+    df = spark.createDataFrame([(n, X.ip(s), X.ip(d), sp, dp, b, r) for n, (s, d, sp, dp, b, r) in enumerate(rows)], "n int, src_ip long, dst_ip long, src_port int, dst_port int, bytes long, wanted string")
     on = df.withColumns({r: F.lit(True) for r in I.RULES})
     assert I.with_skip_reason(on).filter("NOT skip_reason <=> wanted").count() == 0
     off = df.withColumns({r: F.lit(False) for r in I.RULES})
@@ -23,9 +27,14 @@ def test_skip_rules(spark):
 
 
 def test_clock_guard(spark):
-    offsets = [(None, 0), (-43200, 0), (600, 0), (-90, -90), (-1500, -1500)]
-    df = spark.createDataFrame([(1000000, o, 10, w) for o, w in offsets], "received_s long, start_off_s long, dur_s long, wanted long")
-    assert I.normalize_times(df).filter("start_s <> received_s + wanted OR end_s < start_s").count() == 0
+    """At both limits of the start, one second in and one out, and at that of the end."""
+    back, ahead = -I.PAST_S, I.AHEAD_S
+    cases = [
+        (None, 10, 0, 0), (back, 10, back, back + 10), (back - 1, 10, 0, 0), (back + 1, 0, back + 1, back + 1), (ahead, 0, ahead, ahead), (ahead + 1, 0, 0, 0), (ahead - 1, 1, ahead - 1, ahead),
+        (ahead - 1, 2, ahead - 1, ahead - 1), (0, -1, 0, 0), (-300, 420, -300, ahead), (-300, 421, -300, -300), (-300, None, -300, -300), (back - 1, -back + 1, 0, 0),
+    ]
+    df = spark.createDataFrame([(1706600000, *c) for c in cases], "received_s long, start_off_s long, dur_s long, start_ long, end_ long")
+    assert I.normalize_times(df).filter("start_s <> received_s + start_ OR end_s <> received_s + end_").count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +73,10 @@ def test_text_functions(spark):
     assert [r[0] for r in df.select(X.or_dash(F.col("s"))).collect()][-1] == "—"
     t = spark.createDataFrame([("2024-01-02T03:04",), ("2024-01-02 03:04:05",), ("2024-01-02T03:04:05+05:30",), ("",), ("x",)], "s string")
     assert [r[0] for r in t.select(X.parse_time(F.col("s"))).collect()] == [1704144840, 1704144845, 1704144845, None, None]
+    n = spark.createDataFrame([(None,), (0,), (86399 - 19800,)], "n long").select(*[f(F.col("n")).alias(f.__name__) for f in (X.ist_date, X.ist_clock, X.ist_text, X.or_any, X.duration)]).collect()
+    assert list(n[0]) == [None, None, None, "any", None] and [tuple(map(str, r)) for r in n[1:]] == [
+        ("1970-01-01", "05:30:00", "1970-01-01 05:30:00", "1970-01-01 05:30", "00:00:00"), ("1970-01-01", "23:59:59", "1970-01-01 23:59:59", "1970-01-01 23:59", "18:29:59"),
+    ]
     ips = spark.createDataFrame([("1.2.3.4",), ("1.2.3",), ("256.1.1.1",), ("::1",)], "s string")
     assert [r[0] for r in ips.select(X.inet_aton(F.col("s"))).collect()] == [0x01020304, None, None, None]
     v6 = spark.createDataFrame([(bytes(15) + b"\x01",), (b"\xfe\x80" + bytes(14),), (b"\xfc" + bytes(15),), (b"\x20\x01" + bytes(14),), (b"\x0a\0\0\1",), (b"\x08\x08\x08\x08",)], "a binary")
