@@ -14,6 +14,7 @@ from flowloom.functions import exprs as X
 from .ingest import small
 
 log = logging.getLogger(__name__)
+#: Rows that a page counts, and that a search shows, unless told otherwise; a cap of None cuts nothing.
 COUNT_CAP, SEARCH_CAP = 100_000, 5_000
 
 
@@ -144,9 +145,15 @@ def newest(df: DataFrame) -> list[Column]:
     return [F.desc("flow_start"), *[F.col(c) for c in sorted(df.columns) if c != "flow_start"]]
 
 
-def search_count(df: DataFrame, f: SearchFilter, cap: int = COUNT_CAP) -> DataFrame:
-    """(n): matching rows, counted no further than the cap."""
-    return search(df, f).limit(cap).agg(F.count("*").alias("n"))
+def newest_of(df: DataFrame, cap: int | None) -> DataFrame:
+    """The newest rows up to the cap; all of them, in no order, without one."""
+    return df if cap is None else df.orderBy(*newest(df)).limit(cap)
+
+
+def search_count(df: DataFrame, f: SearchFilter, cap: int | None = COUNT_CAP) -> DataFrame:
+    """(n): matching rows, counted no further than the cap, if there is one."""
+    found = search(df, f)
+    return (found if cap is None else found.limit(cap)).agg(F.count("*").alias("n"))
 
 
 def page_bounds(limit: int, offset: int) -> tuple[int, int]:
@@ -197,18 +204,17 @@ def archived_days_in_range(days: DataFrame, from_s: int | None, to_s: int | None
     return days
 
 
-def cold_records(cold: DataFrame, f: SearchFilter, cap: int = SEARCH_CAP) -> DataFrame:
-    """The newest `cap` records among archived rows."""
+def cold_records(cold: DataFrame, f: SearchFilter, cap: int | None = SEARCH_CAP) -> DataFrame:
+    """The newest `cap` records among archived rows; all without a cap."""
     old = search_cold(cold, f).withColumn("flow_start", X.at_epoch(F.col("start_s")))
     for c in ("src_ip", "dst_ip", "nat_public_ip"):
         old = old.withColumn(c, X.inet_aton(F.col(c)))
-    return project_search(old.orderBy(*newest(old)).limit(cap))
+    return project_search(newest_of(old, cap))
 
 
-def search_all(hot: DataFrame, cold: DataFrame | None, f: SearchFilter, cap: int = SEARCH_CAP, dedup: bool = False) -> DataFrame:
-    """Records of hot and cold matches, the newest `cap` of each; a day in both is there twice unless dedup."""
-    found = search(hot, f)
-    out = project_search(found.orderBy(*newest(found)).limit(cap))
+def search_all(hot: DataFrame, cold: DataFrame | None, f: SearchFilter, cap: int | None = SEARCH_CAP, dedup: bool = False) -> DataFrame:
+    """Records of hot and cold matches, the newest `cap` of each, or all (None); a day in both is there twice unless dedup."""
+    out = project_search(newest_of(search(hot, f), cap))
     if cold is not None:
         out = out.unionByName(cold_records(cold, f, cap))
     return out.distinct() if dedup else out

@@ -54,22 +54,24 @@ def flows_page(flows: DataFrame, isp: int, days: int, as_of: str) -> dict[str, D
     return {"summary": A.summary(flows, isp, days, as_of), "talkers": A.top_talkers(flows, isp, days, as_of, 10), "devices": A.per_device(flows, isp, days, as_of), "recent": S.recent(flows, isp, days, as_of, 25)}
 
 
-def search_page(flows: DataFrame, cold: DataFrame | None, devices: DataFrame, f: S.SearchFilter, limit: int = 50, offset: int = 0, audit=None) -> dict[str, DataFrame]:
-    """Records with device names and the total, capped; the lookup is handed to `audit` on the first page only."""
+def search_page(flows: DataFrame, cold: DataFrame | None, devices: DataFrame, f: S.SearchFilter, limit: int = 50, offset: int = 0, audit=None, count_cap: int | None = S.COUNT_CAP) -> dict[str, DataFrame]:
+    """Records with device names and the total, capped unless count_cap is None; the lookup is handed to `audit` on the first page only."""
     rows = S.page_merged(flows, cold, f, limit, offset) if cold is not None else S.search_page(flows, f, limit, offset)
-    total = S.search_all(flows, cold, f).agg(F.count("*").alias("n")) if cold is not None else S.search_count(flows, f)
+    total = S.search_all(flows, cold, f).agg(F.count("*").alias("n")) if cold is not None else S.search_count(flows, f, count_cap)
     if audit and S.page_bounds(limit, offset)[1] == 0:
         audit(f)
-    return {"records": S.name_devices(rows, devices), "total": total.withColumn("capped", F.col("n") >= S.COUNT_CAP)}
+    capped = F.lit(False) if count_cap is None else F.col("n") >= count_cap
+    return {"records": S.name_devices(rows, devices), "total": total.withColumn("capped", capped)}
 
 
-def disclosure(flows: DataFrame, cold: DataFrame | None, devices: DataFrame, f: S.SearchFilter, cap: int = S.SEARCH_CAP, audit=None) -> dict[str, DataFrame]:
-    """The cells of an IP detail report, newest first, and whether the cap cut it."""
+def disclosure(flows: DataFrame, cold: DataFrame | None, devices: DataFrame, f: S.SearchFilter, cap: int | None = S.SEARCH_CAP, audit=None) -> dict[str, DataFrame]:
+    """The cells of an IP detail report, newest first, and whether the cap cut it; all of them without a cap."""
     rows = S.name_devices(S.search_all(flows, cold, f, cap), devices)
-    rows = rows.orderBy(F.desc("time"), *[F.col(c) for c in sorted(rows.columns) if c != "time"]).limit(cap)
+    rows = rows.orderBy(F.desc("time"), *[F.col(c) for c in sorted(rows.columns) if c != "time"])
+    rows = rows if cap is None else rows.limit(cap)
     if audit:
         audit(f)
-    return {"cells": S.project_report(rows), "truncated": rows.agg((F.count("*") == cap).alias("truncated"))}
+    return {"cells": S.project_report(rows), "truncated": rows.agg((F.lit(False) if cap is None else F.count("*") == cap).alias("truncated"))}
 
 
 def retention_page(flows: DataFrame, archived: DataFrame, isp: int) -> dict[str, DataFrame]:

@@ -1,8 +1,12 @@
 """Totals and top lists from one scan, against plain pandas."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from flowloom.functions import exprs as X
 from flowloom.operators import onepass as O
+from flowloom.plans import fixtures as Fx
+from flowloom.plans import registry
 
 COLUMNS = "a int, b long, w long"
 
@@ -52,3 +56,24 @@ def test_a_dashboard_reads_the_table_twice(spark, sf_dir, tmp_path):
     assert plan.count("FileScan") == 1  # the records; the other sections stand on one small row
     assert whole["scalars"].first().rows == flows.filter(F.col("event_date") >= F.date_sub(F.lit(Fx.AS_OF).cast("date"), 7)).count()
     assert whole["today"].first().n == sum(r.flows for r in whole["hourly"].collect())
+
+
+def many(spark, sf_dir, n):
+    """n flows that every search below finds."""
+    row = Fx.flow_logs(spark, sf_dir).limit(1).withColumns({"nat_public_ip": F.lit(X.ip("203.0.113.42")), "protocol": F.lit(17), "flow_start": F.timestamp_seconds(F.lit(Fx.AS_OF_S - 86400)), "event_date": F.lit("2024-01-29").cast("date")})
+    columns = row.columns
+    return row.crossJoin(spark.range(n)).withColumn("bytes", F.col("id")).select(*columns)
+
+
+@pytest.mark.parametrize("name, n, wanted", [("c5_disclosure", 5_100, 5_100), ("s12_report_csv", 5_100, 5_100), ("u1_search_all", 5_100, 10_200)])
+def test_more_matches_than_a_page_searches(spark, sf_dir, monkeypatch, name, n, wanted):
+    rows = many(spark, sf_dir, n)
+    monkeypatch.setattr(registry, "flow_logs", lambda *_: rows)
+    assert registry.QUERIES[name](spark, sf_dir).count() == wanted
+
+
+def test_more_matches_than_a_page_counts(spark, sf_dir, monkeypatch):
+    rows = many(spark, sf_dir, 100_001)
+    monkeypatch.setattr(registry, "flow_logs", lambda *_: rows)
+    found = registry.QUERIES["c4_search_page"](spark, sf_dir).filter("section = 'total'").collect()
+    assert [r.row for r in found] == ['{"capped":false,"n":100001}']
