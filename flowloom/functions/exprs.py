@@ -103,10 +103,16 @@ def protocol_number(name: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Units of 1024, one decimal from K on."""
+    """Units of 1024, one decimal from K on, halves to the even digit as C and Go print them; Java's formats round them up."""
     out = F.concat(n.cast("string"), F.lit(" B"))
+    exact = n.cast("double").cast("long")  # what a double holds of a number beyond 2**53
     for i, unit in enumerate("KMGTPE"):
-        out = F.when(n >= F.lit(1 << 10 * (i + 1)), F.concat(F.format_string("%.1f", n / F.lit(float(1 << 10 * (i + 1)))), F.lit(f" {unit}iB"))).otherwise(out)
+        bits = 10 * (i + 1)
+        drop = max(0, bits - 56)  # bits that are 0 in numbers of this size; tenfold the others fits a long
+        rest = F.shiftright(exact.bitwiseAND(F.lit((1 << bits) - 1)), drop) * 10
+        tenth, over, half = F.shiftright(rest, bits - drop), rest.bitwiseAND(F.lit((1 << bits - drop) - 1)), 1 << bits - drop - 1
+        tenths = F.shiftright(exact, bits) * 10 + tenth + F.when((over > half) | (over == half) & (tenth % 2 == 1), 1).otherwise(0)
+        out = F.when(n >= F.lit(1 << bits), F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}iB"))).otherwise(out)
     return out
 
 

@@ -77,3 +77,15 @@ def test_more_matches_than_a_page_counts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(registry, "flow_logs", lambda *_: rows)
     found = registry.QUERIES["c4_search_page"](spark, sf_dir).filter("section = 'total'").collect()
     assert [r.row for r in found] == ['{"capped":false,"n":100001}']
+
+
+def test_human_bytes_rounds_halves_to_even(spark):
+    units = [1 << 10 * i for i in range(1, 7)]
+    numbers = [x for u in units for x in (u, u + u // 4, u + 3 * (u // 4), 3 * u + u // 4, 2 * u - 1, 7 * u + u // 4 + 1) if x < 1 << 63] + [0, 1023, 928_000, (1 << 63) - 1, (1 << 60) + (1 << 58) - 3]
+    found = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", X.human_bytes(F.col("n")).alias("text")).collect()
+
+    def plain(n):
+        i = max((i for i, u in enumerate(units) if n >= u), default=None)
+        return f"{n} B" if i is None else f"{n / units[i]:.1f} {'KMGTPE'[i]}iB"
+
+    assert [r.text for r in found] == [plain(r.n) for r in found]
