@@ -129,8 +129,7 @@ def datagrams_ipfix(raw: DataFrame) -> DataFrame:
     head = [wire(10, 2), wire(16 + len(template) + 4 + size, 2), wire(c("received_s"), 4), F.lit(bytes(4)), wire(c("exporter_ip") % 7, 4), F.lit(template), wire(300, 2), wire(4 + size, 2)]
     values = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes", "packets", "nat_public_ip", "nat_public_port"]
     body = [wire(c(v), n) for v, (_, n) in zip(values, IPFIX_TEMPLATE)]
-    nth = F.monotonically_increasing_id()
-    return raw.select(F.xxhash64(*raw.columns, nth).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(4739).alias("port"), F.concat(*head, *body).alias("payload"))
+    return raw.select(F.xxhash64(*raw.columns).alias("datagram_id"), F.timestamp_seconds("received_s").alias("recv_ts"), "exporter_ip", F.lit(4739).alias("port"), F.concat(*head, *body).alias("payload"))
 
 
 def frames_udp(datagrams: DataFrame, files: int) -> DataFrame:

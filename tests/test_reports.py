@@ -89,3 +89,11 @@ def test_human_bytes_rounds_halves_to_even(spark):
         return f"{n} B" if i is None else f"{n / units[i]:.1f} {'KMGTPE'[i]}iB"
 
     assert [r.text for r in found] == [plain(r.n) for r in found]
+
+
+def test_datagrams_have_the_same_ids_in_any_order(spark, sf_dir):
+    """Decoding reads datagrams twice, and shuffled rows needn't come in the same order again."""
+    raw = Fx.raw_flows(spark, sf_dir).filter("flow_type = 'ipfix'")
+    ids = lambda rows: sorted(r[0] for r in Fx.datagrams_ipfix(rows).select("datagram_id").collect())
+    assert ids(raw) == ids(raw.filter("bytes % 2 = 1").unionByName(raw.filter("bytes % 2 = 0")))
+    assert len(set(ids(raw))) == raw.count()
