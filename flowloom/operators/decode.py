@@ -26,6 +26,8 @@ HEADER = {5: 24, 9: 20, 10: 16}
 TEMPLATE_SET, OPTIONS_SET = {9: 0, 10: 2}, {9: 1, 10: 3}
 V5_RECORD, V5_MOST, FIRST_DATA_SET, VARIABLE = 48, 30, 256, 0xFFFF
 RECORDS_PER_DATAGRAM = 8192
+#: Payload that a task works on at a time.
+PIECE_BYTES = 1 << 21
 SETS = "datagram_id long, recv_ts timestamp, exporter_ip long, version int, domain long, base_ms long, set_ordinal int, set_id int, body binary"
 TEMPLATES = f"exporter_ip long, version int, domain long, recv_ts timestamp, datagram_id long, set_ordinal int, template_ordinal int, template_id int, fields {TEMPLATE_FIELDS}, record_len int, has_varlen boolean, is_options boolean, withdrawn boolean"
 TEMPLATE = f"struct<fields:{TEMPLATE_FIELDS},record_len:int,has_varlen:boolean,is_options:boolean,withdrawn:boolean>"
@@ -61,7 +63,19 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.fill_null(b"") if column.null_count else column
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     buffer = column.buffers()[2]
-    return np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8), offsets
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of datagrams with about `most` bytes of payload: full datagrams decode to many times their size,
+    and a batch may hold 10,000 of them."""
+    for batch in batches:
+        offsets, lo = bytes_of(batch.column("payload"))[1], 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def uint(data: np.ndarray, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
@@ -108,7 +122,7 @@ def decode_v5(datagrams: DataFrame) -> DataFrame:
     """Flows of version 5 datagrams; no more records than the payload holds, and 30 at most."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             data, offsets = bytes_of(batch.column("payload"))
             rows = np.flatnonzero(np.diff(offsets) >= HEADER[5])
             at = offsets[rows]
@@ -185,7 +199,7 @@ def split_sets(datagrams: DataFrame) -> DataFrame:
     """The sets of version 9 and 10 datagrams, each with its body."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             data, offsets = bytes_of(batch.column("payload"))
             s, raw = sets_in(data, offsets), data.tobytes()
             head = batch.select(["datagram_id", "recv_ts", "exporter_ip"]).take(pa.array(s["row"]))
@@ -253,7 +267,7 @@ def events_of(datagrams: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, list[tuple[int, str]]] = {}
-        for batch in batches:
+        for batch in pieces_of(batches):
             data, offsets = bytes_of(batch.column("payload"))
             s, raw = sets_in(data, offsets), data.tobytes()
             v, kind = s["version"], s["set_id"]
@@ -465,15 +479,19 @@ def decode_by(datagrams: DataFrame, changes: pa.Table) -> DataFrame:
     shared = datagrams.sparkSession.sparkContext.broadcast((columns, np.array([number_.get(x, -1) for x in texts], np.int64), names))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (*keys, at, datagram, ordinal, nth), told, names = shared.value
+        every, states, names = shared.value
         layouts: dict[str, Layout] = {}
-        for batch in batches:
+        for batch in pieces_of(batches):
             data, offsets = bytes_of(batch.column("payload"))
             s = sets_in(data, offsets)
             s = {c: x[s["set_id"] >= FIRST_DATA_SET] for c, x in s.items()}
+            exporters = batch.column("exporter_ip").to_numpy()
+            here = np.flatnonzero(np.isin(every[0], exporters))
+            *keys, at, datagram, ordinal, nth = (c[here] for c in every)
+            told = states[here]
             n, row = len(told), s["row"]
             # Changes and sets in order of arrival, key by key; a set takes the last change of its key before it.
-            asks = [batch.column("exporter_ip").to_numpy()[row], s["version"], s["domain"], s["set_id"]]
+            asks = [exporters[row], s["version"], s["domain"], s["set_id"]]
             arrived = [batch.column("recv_ts").cast(pa.int64()).to_numpy()[row], batch.column("datagram_id").to_numpy()[row], s["nth"], np.zeros(len(row), np.int64)]
             both = [np.concatenate(x) for x in zip([*keys, at, datagram, ordinal, nth], [*asks, *arrived])]
             is_set = np.repeat([False, True], [n, len(row)])
@@ -496,7 +514,7 @@ def decode_resolved(resolved: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layouts: dict[str, Layout] = {}
-        for batch in batches:
+        for batch in pieces_of(batches):
             data, offsets = bytes_of(batch.column("payload"))
             names, told = np.unique(batch.column("told").to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
             s = {"row": np.arange(len(batch)), "nth": batch.column("set_ordinal").to_numpy().astype(np.int64), "lo": offsets[:-1], "hi": offsets[1:], "version": batch.column("version").to_numpy(), "base_ms": batch.column("base_ms").to_numpy()}

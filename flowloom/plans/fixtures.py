@@ -189,7 +189,7 @@ def datagrams_crowded(exporters: DataFrame) -> DataFrame:
     n = 40 * (F.col("device_id") % 128)
     a_set = F.concat(wire(256, 2), wire(4 + 4 * n, 2), F.unhex(F.repeat(F.lit("0A000001"), n.cast("int"))))
     payload = F.concat(wire(9, 2), wire(3, 2), F.lit(bytes(16)), F.lit(template), a_set, a_set)
-    return exporters.select(F.col("id").alias("datagram_id"), F.timestamp_seconds(F.lit(AS_OF_S)).alias("recv_ts"), "exporter_ip", F.lit(2055).alias("port"), payload.alias("payload"))
+    return spread(exporters).select(F.col("id").alias("datagram_id"), F.timestamp_seconds(F.lit(AS_OF_S)).alias("recv_ts"), "exporter_ip", F.lit(2055).alias("port"), payload.alias("payload"))
 
 
 PRIVATE = "({0} BETWEEN 167772160 AND 184549375 OR {0} BETWEEN 2886729728 AND 2887778303 OR {0} BETWEEN 3232235520 AND 3232301055 OR {0} BETWEEN 1681915904 AND 1686110207 OR {0} BETWEEN 2130706432 AND 2147483647 OR {0} BETWEEN 2851995648 AND 2852061183)"

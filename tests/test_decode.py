@@ -303,3 +303,17 @@ def test_sanitized_capture(spark, tmp_path):
     v5_clean[14 + 28 + 24 + 8 : 14 + 28 + 24 + 12] = Z.pseudonym(bytes(4), key)
     assert [bytes(r.data) for r in rows] == [plain(frames[0], outer), plain(frames[1], [*outer, "198.51.100.77", "8.8.8.8"]), plain(frames[3], outer), bytes(v5_clean)]
     assert [r.ts.timestamp() for r in rows] == [T0 + i + i / 1e6 for i in (0, 1, 3, 6)]
+
+
+def test_full_datagrams_are_worked_on_a_few_at_a_time():
+    """A batch of 10,000 datagrams of 8192 records would be 80 million flows at once."""
+    import pyarrow as pa
+
+    sizes = [100_000, 0, 5 << 20, 3, 40_000] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if not n else bytes([n % 251]) * n for n in sizes], pa.binary())], ["datagram_id", "payload"])
+    parts = list(D.pieces_of([batch, batch.slice(7, 0), batch.slice(3, 9)]))
+    assert [i for p in parts for i in p.column("datagram_id").to_pylist()] == [*range(len(sizes)), *range(3, 12)]
+    for p in parts:
+        data, offsets = D.bytes_of(p.column("payload"))
+        assert len(p) == 1 or len(data) <= D.PIECE_BYTES
+        assert [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])] == [x or b"" for x in p.column("payload").to_pylist()]
