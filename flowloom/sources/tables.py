@@ -10,6 +10,10 @@ from flowloom.functions import exprs as X
 from flowloom.operators.search import project_report
 
 
+#: Files of a day in the hot table, at least; more where there are more than 64 shuffle partitions.
+FILES_A_DAY = 8
+
+
 def read_datagrams(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return reader.schema(schemas.DATAGRAMS).parquet(path)
@@ -20,6 +24,11 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FLOW_LOGS).parquet(path).drop("batch_id")
 
 
+def read_day(spark: SparkSession, path: str, day: str) -> DataFrame:
+    """One day of the hot table; no other day's files are listed."""
+    return spark.read.schema(schemas.FLOW_LOGS).option("basePath", path).parquet(f"{path}/event_date={day}").drop("batch_id")
+
+
 def read_cold(spark: SparkSession, base: str, isp: int, days: list[str] | None, fmt: str = "parquet") -> DataFrame:
     """Archived rows of the named days, or all (None), of one tenant or of all (0), with start_s and end_s parsed or null."""
     schema = f"{schemas.COLD}, isp_id int, year string, month string, day string"
@@ -57,13 +66,15 @@ def delete(spark: SparkSession, pattern: str) -> int:
 def write_flows(df: DataFrame, path: str, files: int | None = None, batch_id: int = -1) -> None:
     """Appends flow_logs by day, and below it by micro-batch (-1: none); rows of one exporter and device stand together, in
     the order of the table's key, so that Parquet's statistics and Bloom filters on addresses find them. A micro-batch
-    overwrites what it has written before."""
+    overwrites what it has written before. A day has at most `files` files, and a task sorts single files of single days, so it
+    holds the less the more days and files there are."""
     if batch_id >= 0:
         delete(df.sparkSession, f"{path}/event_date=*/batch_id={batch_id}")  # of days, too, that it has no rows for this time
-    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(files, "event_date", "exporter_ip", "device_id").sortWithinPartitions("event_date", *schemas.FLOW_KEY)
+    files = files or max(FILES_A_DAY, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    rows = df.repartition("event_date", F.pmod(F.xxhash64("exporter_ip", "device_id"), F.lit(files))).sortWithinPartitions("event_date", *schemas.FLOW_KEY)
     out = rows.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("event_date", "batch_id")
     out = out.mode("append") if batch_id < 0 else out.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = out.option("parquet.bloom.filter.adaptive.enabled", "true")  # else each takes its most, 1 MB, in however small a file
     for c in ("nat_public_ip", "src_ip"):
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
     out.parquet(path)

@@ -287,3 +287,32 @@ def test_a_search_goes_on_without_a_broken_archive(spark, sf_dir, tmp_path):
         x.write_bytes(b"PAR1 not at all PAR1")
     found, took_part = S.search_all_or_hot(flows, cold, f)
     assert not took_part and rows_of(found) == hot
+
+
+def test_a_sweep_exports_days_side_by_side(spark, sf_dir, tmp_path, monkeypatch):
+    import threading
+
+    T.write_flows(Fx.flow_logs(spark, sf_dir).filter("event_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-04'"), f"{tmp_path}/hot")
+    met, whole = threading.Barrier(2), L.archive_day
+
+    def met_first(df, day, *more):
+        if day < "2024-01-04":
+            met.wait(60)  # breaks, and the day is left, where days come one after the other
+        return whole(df, day, *more)
+
+    monkeypatch.setattr(L, "archive_day", met_first)
+    rows = L.archive_sweep(spark, f"{tmp_path}/hot", spark.createDataFrame([], "day date"), f"{tmp_path}/cold", 7, "2024-01-30").collect()
+    assert [(str(r.day), r.status) for r in rows] == [(f"2024-01-0{i}", "archived, dropped") for i in (2, 3, 4)]
+    assert T.found(spark, f"{tmp_path}/hot/event_date=*") == []
+
+
+def test_hot_files_hold_one_day_each_and_small_filters(spark, sf_dir, tmp_path):
+    """However few files a day has, no task sorts more than one of them; a filter of 1 MB for each address was most of a file."""
+    rows = Fx.flow_logs(spark, sf_dir).persist()
+    T.write_flows(rows, f"{tmp_path}/hot", files=2)
+    files = T.found(spark, f"{tmp_path}/hot/event_date=*/*/*.parquet")
+    days = rows.select("event_date").distinct().count()
+    assert days <= len(files) <= 2 * days
+    assert T.read_flows(spark, f"{tmp_path}/hot").count() == rows.count()
+    assert sum((tmp_path / f.split(str(tmp_path) + "/")[1]).stat().st_size for f in files) < 1_000_000 * len(files)
+    rows.unpersist()
