@@ -100,8 +100,9 @@ def wire(n, size: int):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores: the tables here are single Parquet row groups, which one task reads."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows over all cores: the tables here are single Parquet row groups, which one task reads. Parts are of the advisory size of
+    adaptive execution, so large tables make more of them, not larger ones."""
+    return df.hint("rebalance")
 
 
 def datagrams_v5(raw: DataFrame) -> DataFrame:
