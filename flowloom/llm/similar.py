@@ -2,8 +2,8 @@
 
 Documents are sets of shingles. All shingles have one order, common ones last;
 two sets that share the similarity share one of their first few in it, so sets
-meet at those. How common a shingle is comes from a sample: it settles the
-work, never what is found. Pairs that meet are verified on the whole sets.
+meet at those. How common a shingle is comes from a sample, then from counts of
+all first shingles: it settles the work, never what is found. Pairs that meet are verified on the whole sets.
 
 Shingles at which more than `hot` sets meet are taken in steps. First each set
 is paired with the first of about its size. Next, wherever sets of several
@@ -44,6 +44,8 @@ BROADCAST_IDS = 2_000_000
 CELLS = 1 << 22
 #: Sets that are sampled for that at least, and one of how many is at least.
 SAMPLED, ONE_OF = 8192, 64
+#: Times that the first shingles are counted after that.
+COUNTED = 2
 
 
 def shingles(documents: DataFrame, size: int) -> DataFrame:
@@ -100,13 +102,28 @@ def commonness(sets: DataFrame, total: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     some = sets.filter((F.pmod("set", F.lit(one_of)) == 0) & F.col("grams").isNotNull())
-    seen = some.select("grams").mapInArrow(cut, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    return raised(np.zeros(CELLS, np.uint8), some.select("grams").mapInArrow(cut, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"))
+
+
+def raised(common: np.ndarray, seen: DataFrame) -> np.ndarray:
+    """The same table, where shingles of seen (gram, n) are at least as common as their n says."""
     cells = seen.groupBy(F.pmod("gram", F.lit(CELLS)).alias("cell")).agg(F.ceil(F.log2(F.max("n")) * 2).cast("int").alias("level")).toArrow()  # CELLS rows at most
-    out = np.zeros(CELLS, np.uint8)
-    out[cells["cell"].to_numpy()] = cells["level"].to_numpy()
+    out, at = common.copy(), cells["cell"].to_numpy()
+    out[at] = np.maximum(out[at], cells["level"].to_numpy())
     return out
 
 
+def sharpened(sets: DataFrame, common: np.ndarray, similarity: float, hot: int = HOT) -> np.ndarray:
+    """The same table, after all first shingles of all sets have been counted: those of over half of `hot` go last as well.
+
+    A sample of one set in many shows only what many times `hot` sets have, so what it leaves unseen would be crowded, and more of
+    it the larger the input. What comes first instead is counted once more. A set that several tasks have sent counts for each.
+    """
+    for _ in range(COUNTED):
+        common = raised(common, prefixes(sets, common, similarity).groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot // 2))
+    return common
+
+
 def prefixes(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
     """(gram, set, n, at): the first shingles of each set; of sets that share the similarity one is the same."""
 
@@ -384,7 +401,8 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 def set_links(rows: DataFrame, similarity: float, work: str = "") -> DataFrame:
     """(a, b, similarity): links that connect exactly the sets (set, n, grams, parity) that share at least the similarity."""
     spark = rows.sparkSession
-    common = commonness(rows, rows.filter("grams IS NOT NULL").count())
+    common = sharpened(rows, commonness(rows, rows.filter("grams IS NOT NULL").count()), similarity)
+    released(spark)
     pairs, crowds = candidates(prefixes(rows, common, similarity), similarity, work=work)
     common, pairs = None, written(pairs, f"{work}met-pairs")
     released(spark)

@@ -221,6 +221,19 @@ def test_similar_within_one_fingerprint_and_beyond(spark):
     assert sorted(r.doc_id for r in similar.one_of_each(df).collect()) == [0, 1, 3, 5]
 
 
+def test_similar_puts_shingles_last_that_its_sample_misses(spark, monkeypatch):
+    """Lines that more than HOT unlike documents have, of which the sample holds one or so."""
+    monkeypatch.setattr(similar, "SAMPLED", 1)
+    lines = " ".join(f"b{i}" for i in range(30)) + " "
+    rows = [(i, lines + " ".join(f"d{i}w{j}" for j in range(100))) for i in range(60)]
+    rows.append((60, rows[7][1] + " end"))
+    candidates, met = similar.candidates, []
+    monkeypatch.setattr(similar, "candidates", lambda *args, **more: met.append(candidates(*args, **more)) or met[-1])
+    found = similar.links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.a, r.b) for r in found.collect()} == {(7, 60)}
+    assert met[0][1].isEmpty()
+
+
 # 5
 
 BASE = {
