@@ -23,7 +23,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates that share 0.8 of their five-word shingles."""
+    """One document of each group of near duplicates that share 0.8 of their five-word shingles.
+
+    SimHash fingerprints that meet by generalised pigeonhole (op4's method) give the first links, verified on the
+    shingles; prefix filtering finds the pairs whose fingerprints lie further apart.
+    """
     return similar.one_of_each(docs.select(*COLUMNS), size=5, similarity=0.8).select(*COLUMNS)
 
 

@@ -54,6 +54,10 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def signed(fp: int) -> int:
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
 def fingerprints(documents: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp as a signed 64-bit number. Null and empty texts have zero."""
 
@@ -161,18 +165,18 @@ def probes(fps: DataFrame, parts: list[list[int]], allowed: list[int]) -> DataFr
     return fps.mapInArrow(deal, "part int, value long, fp long, own boolean")
 
 
-def links(fps: DataFrame, radius: int = 2, hot: int = 64) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, hot: int = 64, work: str = "") -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints within `radius` (an even number) bits.
 
     Values with more than `hot` fingerprints take the way round described above; `hot` changes the
-    work, never the components.
+    work, never the components. Names of written tables start with `work`.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
     parts, allowed = plan_probes(fps, radius)
-    dealt = written(probes(fps, parts, allowed), "simhash-probes")
+    dealt = written(probes(fps, parts, allowed), f"{work}simhash-probes")
     sizes = dealt.groupBy("part", "value").agg(F.count("*").alias("n"), F.bool_or("own").alias("owned")).filter("n > 1 AND owned")
-    busy = written(dealt.join(sizes, ["part", "value"]), "simhash-busy")
+    busy = written(dealt.join(sizes, ["part", "value"]), f"{work}simhash-busy")
     left = busy.filter(F.col("n") <= hot).select("part", "value", F.col("fp").alias("a"))
     right = busy.filter((F.col("n") <= hot) & F.col("own")).select("part", "value", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius

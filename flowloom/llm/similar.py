@@ -1,6 +1,10 @@
-"""Near duplicates of a wanted similarity, by prefix filtering of shingles.
+"""Near duplicates of a wanted similarity, by fingerprints first and prefix filtering of shingles for the rest.
 
-Documents are sets of shingles. All shingles have one order, common ones last;
+Documents are sets of shingles. SimHash fingerprints meet by generalised
+pigeonhole, as in `simhash`; what meets is verified on the whole sets, since a
+line that is repeated often makes fingerprints of unlike documents equal.
+Fingerprints of two sets that share the similarity may lie far apart, so sets
+that they leave unconnected go on to prefix filtering. All shingles have one order, common ones last;
 two sets that share the similarity share one of their first few in it, so sets
 meet at those. How common a shingle is comes from a sample, then from counts of
 all first shingles: it settles the work, never what is found. Pairs that meet are verified on the whole sets.
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import LOWER, NOT_SPACE, U64, Rolling, mix, released, removed, short_batches, shuffle_partitions, texts, unused, words, written
 from .components import components
 
@@ -49,9 +54,9 @@ COUNTED = 2
 
 
 def shingles(documents: DataFrame, size: int) -> DataFrame:
-    """(doc, set, n, grams, parity): the distinct shingles of `size` words as sorted hashes, a hash of them all, their
-    number and the map of how many are odd in each cell; fewer words make one, none none. Of equal sets of
-    one task only the first has its grams and map."""
+    """(doc, set, n, grams, parity, fp): the distinct shingles of `size` words as sorted hashes, a hash of them all, their
+    number, the map of how many are odd in each cell and the text's fingerprint; fewer words make one, none none. Of equal
+    sets of one task only the first has its grams, map and fingerprint."""
     roll = Rolling(13)
 
     def cut(batches):
@@ -77,14 +82,15 @@ def shingles(documents: DataFrame, size: int) -> DataFrame:
                         sets.append(np.unique(grams[a : b - size + 1]) if b > a else grams[:0])
                 blobs = [np.unique(x >> U64(32)).astype("<u4") for x in sets]
                 keys = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets], np.int64)
-                own, maps = [], []
-                for key, x in zip(keys.tolist(), blobs):
+                own, maps, fps = [], [], []
+                for key, x, a, b in zip(keys.tolist(), blobs, offsets.tolist(), offsets[1:].tolist()):
                     own.append(None if key in seen else x.tobytes())
                     maps.append(None if key in seen else parities(x))
+                    fps.append(None if key in seen else simhash.signed(simhash.fingerprint(data[a:b].tobytes(), size)))
                     seen.add(key)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(keys), pa.array([len(x) for x in blobs], pa.int32()), pa.array(own, pa.binary()), pa.array(maps, pa.binary())], ["doc", "set", "n", "grams", "parity"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(keys), pa.array([len(x) for x in blobs], pa.int32()), pa.array(own, pa.binary()), pa.array(maps, pa.binary()), pa.array(fps, pa.int64())], ["doc", "set", "n", "grams", "parity", "fp"])
 
-    return documents.mapInArrow(cut, f"doc {documents.schema[0].dataType.simpleString()}, set long, n int, grams binary, parity binary")
+    return documents.mapInArrow(cut, f"doc {documents.schema[0].dataType.simpleString()}, set long, n int, grams binary, parity binary, fp long")
 
 
 def parities(grams: np.ndarray) -> bytes:
@@ -398,16 +404,38 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInArrow(verify, "a long, b long, similarity double").filter(F.col("similarity") >= similarity)
 
 
+def by_fingerprints(rows: DataFrame, radius: int = 2, work: str = "") -> DataFrame:
+    """(a, b): sets to verify, brought together by fingerprints: the first set of each fingerprint with its others, and
+    with the first sets of fingerprints within `radius` bits."""
+    own = written(rows.filter("fp IS NOT NULL AND n > 0").select("fp", "set").distinct(), f"{work}fps")
+    firsts = written(own.groupBy("fp").agg(F.min("set").alias("first")), f"{work}fps")
+    of = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"set_{c}"))
+    near = simhash.links(firsts.select("fp"), radius, work=work).join(of("a"), "a").join(of("b"), "b").select("set_a", "set_b")
+    pairs = near.unionByName(own.join(firsts, "fp").select(F.col("first").alias("set_a"), F.col("set").alias("set_b")))
+    return pairs.filter("set_a <> set_b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the components (id, component) don't connect."""
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    return pairs.filter(~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b"))).select("a", "b")
+
+
 def set_links(rows: DataFrame, similarity: float, work: str = "") -> DataFrame:
-    """(a, b, similarity): links that connect exactly the sets (set, n, grams, parity) that share at least the similarity."""
+    """(a, b, similarity): links that connect exactly the sets (set, n, grams, parity, fp) that share at least the similarity."""
     spark = rows.sparkSession
+    pairs = written(plausible(written(by_fingerprints(rows, work=work), f"{work}pairs"), rows, similarity), f"{work}pairs")
+    found = written(verified(pairs, rows, similarity), f"{work}links")
+    near = components(found, work)
+    released(spark)
     common = sharpened(rows, commonness(rows, rows.filter("grams IS NOT NULL").count()), similarity)
     released(spark)
     pairs, crowds = candidates(prefixes(rows, common, similarity), similarity, work=work)
-    common, pairs = None, written(pairs, f"{work}met-pairs")
+    common, pairs = None, written(apart(pairs, near), f"{work}met-pairs")
     released(spark)
     pairs = written(plausible(pairs, rows, similarity), f"{work}pairs")
-    found = written(verified(pairs, rows, similarity), f"{work}links")
+    found = found.unionByName(written(verified(pairs, rows, similarity), f"{work}links"))
     if crowds.isEmpty():
         return found
     released(spark)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from flowloom.llm import decontaminate, secrets
+from flowloom.llm import decontaminate, secrets, simhash, similar
 from flowloom.llm.common import written
 
 
@@ -44,3 +44,17 @@ def test_stages_of_nothing(spark, sf_dir, nothing):
     for name, stage in C.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_near_duplicates_meet_by_fingerprints(spark, monkeypatch):
+    """Without any prefix: near copies go by their fingerprints, unlike documents of one fingerprint stay."""
+    line = " ".join(f"b{i}" for i in range(11)) + " "
+    page = lambda i: line * 200 + " ".join(f"d{i}w{j}" for j in range(100))
+    long = " ".join(f"c{j}" for j in range(4000))
+    rows = [(0, page(0)), (1, page(1)), (2, page(2)), (3, long), (4, long + " end"), (5, " ".join(f"e{j}" for j in range(300))), (6, None)]
+    fps = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
+    assert fps[0] == fps[1] == fps[2] and fps[3] != fps[4] and (fps[3] ^ fps[4]).bit_count() <= 2
+    prefixes = similar.prefixes
+    monkeypatch.setattr(similar, "prefixes", lambda *args: prefixes(*args).filter("false"))
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.distinct(spark, df, "").collect()) == [0, 1, 2, 3, 5, 6]
