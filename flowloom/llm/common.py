@@ -249,8 +249,9 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now rather than at some later collection of the
-    driver's garbage; what one collection finds unreachable is let go of by the next."""
+    driver's garbage; what one collection finds unreachable is let go of by the next. Arrow gives back what it holds in reserve."""
     for _ in range(3):
         gc.collect()
+        pa.default_memory_pool().release_unused()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)

@@ -369,9 +369,10 @@ def picked(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """Pairs (a, b) with the columns of both sets, as <column>_a and <column>_b."""
+    """Pairs (a, b) with the columns of both sets, as <column>_a and <column>_b. The sets of both sides are picked, and
+    shuffled, once."""
+    own = picked(rows, pairs.select(F.explode(F.array("a", "b")).alias("set")), *columns)
     for side in ("a", "b"):
-        own = picked(rows, pairs.select(side), *columns)
         pairs = pairs.join(own.select(F.col("set").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
@@ -423,27 +424,36 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def set_links(rows: DataFrame, similarity: float, work: str = "") -> DataFrame:
-    """(a, b, similarity): links that connect exactly the sets (set, n, grams, parity, fp) that share at least the similarity."""
+    """(a, b, similarity): links that connect exactly the sets (set, n, grams, parity, fp) that share at least the similarity.
+
+    The driver lets go of each step's plans, broadcasts and task records before the next, so its memory doesn't grow with
+    the number of steps.
+    """
     spark = rows.sparkSession
-    pairs = written(plausible(written(by_fingerprints(rows, work=work), f"{work}pairs"), rows, similarity), f"{work}pairs")
-    found = written(verified(pairs, rows, similarity), f"{work}links")
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, f"{work}{name}")
+        released(spark)
+        return out
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return step(verified(step(plausible(pairs, rows, similarity), "pairs"), rows, similarity), "links")
+
+    found = checked(step(by_fingerprints(rows, work=work), "pairs"))
     near = components(found, work)
     released(spark)
     common = sharpened(rows, commonness(rows, rows.filter("grams IS NOT NULL").count()), similarity)
     released(spark)
     pairs, crowds = candidates(prefixes(rows, common, similarity), similarity, work=work)
-    common, pairs = None, written(apart(pairs, near), f"{work}met-pairs")
-    released(spark)
-    pairs = written(plausible(pairs, rows, similarity), f"{work}pairs")
-    found = found.unionByName(written(verified(pairs, rows, similarity), f"{work}links"))
+    common, pairs = None, step(apart(pairs, near), "met-pairs")
+    found = found.unionByName(checked(pairs))
     if crowds.isEmpty():
         return found
-    released(spark)
     for salt in (1, 2):
-        pairs = written(nearby(mixed(crowds, components(found, work), rows, work), similarity, salt), f"{work}pairs")
-        found = found.unionByName(written(verified(pairs, rows, similarity), f"{work}links"))
-    pairs = written(unconnected(mixed(crowds, components(found, work), rows, work), similarity), f"{work}pairs")
-    return found.unionByName(written(verified(pairs, rows, similarity), f"{work}links"))
+        pairs = step(nearby(mixed(crowds, components(found, work), rows, work), similarity, salt), "pairs")
+        found = found.unionByName(step(verified(pairs, rows, similarity), "links"))
+    pairs = step(unconnected(mixed(crowds, components(found, work), rows, work), similarity), "pairs")
+    return found.unionByName(step(verified(pairs, rows, similarity), "links"))
 
 
 def shingled(documents: DataFrame, size: int, id_col: str, text_col: str, work: str) -> DataFrame:

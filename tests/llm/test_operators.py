@@ -209,6 +209,19 @@ def test_similar_keeps_documents_without_a_verified_partner(spark, nothing):
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "other text"), (1, "s t u v w"), (2, "p q r"), (None, "alone")]
 
 
+def test_similar_picks_the_sets_of_both_sides_once(spark):
+    """A pair's sets are mapped and read together, so verifying takes one broadcast of a map; links stay as they are."""
+    rows = spark.createDataFrame([(1, 2, b"\1\0\0\0\2\0\0\0"), (2, 2, b"\2\0\0\0\3\0\0\0"), (3, 1, b"\2\0\0\0"), (3, 1, None)], "set long, n int, grams binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    both = similar.with_both(pairs, rows, "n", "grams")
+    assert both._jdf.queryExecution().analyzed().toString().count("bit_or") == 2  # the same one, read for either side
+    got = {(r.a, r.b): (r.n_a, r.n_b, bytes(r.grams_a[:1]), bytes(r.grams_b[-4:-3])) for r in both.collect()}
+    assert got == {(1, 2): (2, 2, b"\1", b"\3"), (1, 3): (2, 1, b"\1", b"\2"), (2, 3): (2, 1, b"\2", b"\2")}
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("partial_bit_or") == 1, final
+
+
 def test_similar_within_one_fingerprint_and_beyond(spark):
     """Pairs among documents of one fingerprint that are unlike the first, and equal sets of unlike fingerprints."""
     line = " ".join(f"b{i}" for i in range(11)) + " "
