@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import types
 import zlib
@@ -22,13 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Rolling, ragged, short_batches, shuffle_partitions, texts, written
+from .common import NOT_SPACE, Rolling, byte_set, ragged, short_batches, shuffle_partitions, texts, written
 
 SIZE = 1024
-#: White space beyond ASCII and odd ASCII separators; texts with these are tokenized whole.
-ODD_SPACE = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Distinct pieces of text whose ids a task keeps; beyond it the store starts anew.
-STORE = 400_000
+#: White space beyond ASCII and odd ASCII separators, in UTF-8; texts with these are tokenized whole.
+ODD_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
+ODD_SPACE_BYTES = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"  # with which these begin
+#: Distinct pieces of text whose ids a task keeps, at most 8 ids for each on average; beyond it the store starts anew.
+STORE = 800_000
+#: New pieces that are tokenized as one text.
+JOINED = 1000
+#: ASCII letters, digits and signs: 1, 2 and 3; white space, control and other bytes: 0.
+KIND = byte_set([(0x41, 0x5A), (0x61, 0x7A)]) + 2 * byte_set([(0x30, 0x39)]) + 3 * byte_set([(0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)])
+KIND = KIND.astype(np.uint8)
+#: As KIND for the byte before a cut: an apostrophe may belong to the letters after it ('s, 'll).
+KIND_BEFORE = np.where(np.arange(256) == ord("'"), 0, KIND).astype(np.uint8)
 
 
 def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -78,63 +87,100 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 class Pieces:
-    """Token ids of texts. Byte-level BPE never joins across the start of a run of white space, so ids are
-    looked up by runs of white space and the word after them, each distinct one tokenized once. Texts with an
-    added token of the tokenizer, which is matched anywhere in a text, and with other white space than spaces, tabs and
-    line breaks are tokenized whole."""
+    """Token ids of texts. Byte-level BPE with GPT-2's pattern never joins across the start of a run of white space, nor across a
+    change between ASCII letters, digits and signs (but after an apostrophe), so texts are cut there and ids are looked up by what
+    lies between, each distinct piece tokenized once. Texts with an added token of the tokenizer, which is matched anywhere in a
+    text, and with other white space than spaces, tabs and line breaks are tokenized whole, and so are all texts of tokenizers
+    of another kind."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
-        self.odd, self.roll = regex.compile(ODD_SPACE), Rolling(9)
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.added = [t["content"] for t in json.load(open(tokenizer, "rb"))["added_tokens"]]
+        self.roll, self.tokenizer = Rolling(9), Tokenizer.from_file(tokenizer)
+        made = json.load(open(tokenizer, "rb"))
+        split = made["pre_tokenizer"] or {}
+        known = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        known = known and made["model"]["type"] == "BPE" and not any(made.get(k) for k in ("normalizer", "truncation", "padding"))
+        known = known and not any(made["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = [t["content"].encode() for t in made["added_tokens"]]
+        # Every byte has a token, and no added token can arise where pieces follow one another.
+        known = known and sum(len(t) == 1 for t in vocabulary) >= 256 and not any(re.search(rb"\S\s", t) for t in added)
+        self.odd = re.compile(b"|".join([ODD_SPACE, *map(re.escape, added)]) if known else b"")
+        self.may_be_odd = np.full(256, not known)
+        self.may_be_odd[[*ODD_SPACE_BYTES, *(t[0] for t in added)]] = True
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token; its name has a character for each
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-        at = len(self.ids) + np.cumsum(size) - size
-        order = np.argsort(keys := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+    def learn(self, keys: np.ndarray, units: list[bytes], alone: np.ndarray) -> None:
+        """Keeps the ids of new units, by ascending keys. Those from white space to a word's end, not `alone`, can follow one
+        another in one text, which saves a call for each; how many ids are whose shows by the tokens' bytes."""
+        order = np.argsort(alone, kind="stable")
+        units, joined = [units[i] for i in order.tolist()], len(units) - int(alone.sum())
+        cuts = [*range(0, joined, JOINED), *range(joined, len(units) + 1)]
+        got = self.tokenizer.encode_batch_fast([b"".join(units[a:b]).decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        ends, wanted = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        upto = np.searchsorted(ends, wanted, "right")
+        if (ends[upto - 1] != wanted).any():
+            raise ValueError("the tokenizer joins text across the cuts between words")
+        at, size = np.zeros((2, len(units)), np.int32)
+        size[order] = np.diff(upto, prepend=0)
+        at[order] = len(self.ids) + np.concatenate([[0], upto[:-1]])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
         self.ids = np.concatenate([self.ids, ids])
 
-    def whole(self, text: str) -> list[int] | None:
-        """The ids of a text that has to be tokenized whole."""
-        if any(t in text for t in self.added) or self.odd.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return None
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """The ids of rows that have to be tokenized whole."""
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(self.may_be_odd[data]), "right") - 1)
+        odd, raw = {}, data.tobytes() if len(rows) else b""
+        for i, a, b in zip(rows.tolist(), offsets[rows].tolist(), offsets[rows + 1].tolist()):
+            if self.odd.search(raw, a, b):
+                odd[i] = np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32)
+        return odd
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids up to each row's end from 0) for rows of ordinary white space."""
-        inside = NOT_SPACE[data]
+        inside, after = NOT_SPACE[data], KIND[data]
         start = np.zeros(len(data), bool)
-        start[1:] = ~inside[1:] & inside[:-1]
+        before = KIND_BEFORE[data[:-1]]
+        start[1:] = ~inside[1:] & inside[:-1] | (before != after[1:]) & (before > 0) & (after[1:] > 0)
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         first = np.flatnonzero(start)
         last = np.append(first[1:], len(data)) if len(first) else first
         keys = self.roll.of_words(data, first, last)
         distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > STORE:
+        if len(self.keys) > STORE or len(self.ids) > 8 * STORE:
             self.clear()
-        new = distinct
+        new = np.ones(len(distinct), bool)
         if len(self.keys):
-            new = distinct[self.keys[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)] != distinct]
-        if len(new):
-            raw, pick = data.tobytes(), where[np.searchsorted(distinct, new)]
-            self.learn(new, [raw[a:b] for a, b in zip(first[pick].tolist(), last[pick].tolist())])
+            new = self.keys[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)] != distinct
+        if new.any():
+            raw, pick = data.tobytes(), where[new]
+            units = [raw[a:b] for a, b in zip(first[pick].tolist(), last[pick].tolist())]
+            self.learn(distinct[new], units, inside[first[pick]] | ~inside[last[pick] - 1])
         place = np.searchsorted(self.keys, distinct)[inverse]
         size = self.size[place]
         upto = np.concatenate([[0], np.cumsum(size)])
         return self.ids[ragged(self.at[place], size)], upto[np.searchsorted(first, offsets)]
 
+    def of_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each row."""
+        odd, size = self.whole(data, offsets), np.diff(offsets)
+        if odd:
+            ordinary = np.ones(len(size), bool)
+            ordinary[list(odd)] = False
+            data, offsets = data[np.repeat(ordinary, size)], np.concatenate([[0], np.cumsum(size * ordinary)])
+        found, upto = self.encode(data, offsets)
+        return [odd[i] if i in odd else found[upto[i] : upto[i + 1]] for i in range(len(size))]
+
 
 def pieces_of(tokenizer: str) -> Pieces:
     """One store for all tasks that a Python worker runs one after the other. Functions travel to it by value, so the store
@@ -156,16 +202,8 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in texts(column, 1 << 20):
-                odd, raw = {}, data.tobytes()
-                if (data >= 0x80).any() or (data < 0x20).any() or any(t.encode() in raw for t in pieces.added):
-                    for i in range(hi - lo):
-                        own = pieces.whole(raw[offsets[i] : offsets[i + 1]].decode())
-                        if own is not None:
-                            odd[i] = np.array(own, np.uint32)
-                found, upto = pieces.encode(data, offsets)
                 rows = []
-                for i in range(hi - lo):
-                    own = odd.get(i, found[upto[i] : upto[i + 1]])
+                for i, own in enumerate(pieces.of_rows(data, offsets)):
                     own = np.append(own, np.uint32(end_id)).astype("<u4")
                     raw = own.tobytes()
                     rows += [(i, at, min(size, len(own) - at), zlib.crc32(raw[4 * at : 4 * (at + size)]), len(own)) for at in range(0, len(own), size)]

@@ -485,6 +485,65 @@ def test_packing_of_added_tokens(spark, tmp_path):
         assert (r.start, r.length, r.ids_crc32, r.doc_tokens) == (0, len(ids), zlib.crc32(ids.tobytes()), len(ids))
 
 
+def test_packing_tokenizes_words_once():
+    import public_tokenizers
+
+    pieces = packing.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer, calls = pieces.tokenizer, []
+
+    class Counting:
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            calls.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    pieces.tokenizer = Counting
+    words = [f"xq{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    text = " ".join(f"{w}{sign}" for sign in [",", ".", "!", "?", "'s", "..."] for w in words)
+    found, upto = pieces.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and upto.tolist() == [0, len(found)]
+    assert len(pieces.keys) <= len(words) + 7  # not a piece for each pair of word and sign, nor a call for each piece
+    assert len(calls) < 20
+
+
+@pytest.mark.parametrize("store", [packing.STORE, 40])
+def test_packing_cuts_as_the_tokenizer(store, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "STORE", store)
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(5)
+    pieces, encode = packing.Pieces(path), Tokenizer.from_file(path)
+    atoms = [*"aZsé'\"-.$_^09 \n\t\r\x0b\x00\x1c\x7f\x85\xa0ª²÷½—’日\u0301\u1680\u2003\u200b\u3000🙂", "'s", "'ll", "don't", "  ", "the", "2024", "<|endoftext|>", "<|end", "oftext|>"]
+    for i in range(120):
+        few = rng.choice(len(atoms), 1 + i % 12)
+        texts = ["".join(atoms[j] for j in rng.choice(few, rng.integers(0, 25))) for _ in range(30)]
+        raw = [t.encode() for t in texts]
+        found = pieces.of_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for text, ids in zip(texts, found, strict=True):
+            assert ids.tolist() == encode.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_by_another_tokenizer(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), "rb"))
+    texts, ids = ["it's a,b", "", "c.", " d", " e"], {}
+    split, token = made["pre_tokenizer"], made["added_tokens"][0]
+    others = {"prefix": {"pre_tokenizer": {**split, "add_prefix_space": True}}, "joined": {"pre_tokenizer": {**split, "use_regex": False}}}
+    others["spaced"] = {"added_tokens": [token, {**token, "id": 50257, "content": "d e"}, {**token, "id": 50258, "content": "e d"}]}
+    for name, other in others.items():
+        (tmp_path / name).write_text(json.dumps({**made, **other}))
+        raw = [t.encode() for t in texts]
+        found = packing.Pieces(str(tmp_path / name)).of_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        ids[name] = [x.tolist() for x in found]
+        assert ids[name] == [Tokenizer.from_file(str(tmp_path / name)).encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids["prefix"] != ids["joined"]
+
+
 def test_packing_by_histogram():
     counts = {1024 - 7 * i: 10**9 + i for i in range(1, 140)} | {1: 10**12, 512: 3}
     patterns = packing.pack_histogram(counts)
