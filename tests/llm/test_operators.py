@@ -4,6 +4,7 @@ import glob
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -352,6 +353,28 @@ def test_topk(spark, pairs):
     assert topk.top_k(df.filter("false"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("largest", [1000, 1 << 28])
+def test_topk_search(largest):
+    """Memory doesn't grow with the pairs of a batch of queries; scores beyond 2**53 are exact, ties go to the smaller id."""
+    rng = np.random.default_rng(6)
+    v = rng.integers(-largest, largest, (2300, 16)) // rng.integers(1, 9, (2300, 1))
+    v = np.concatenate([v, v[:300]])
+    v = v[np.argsort(-(v.astype(float) ** 2).sum(1), kind="stable")]
+    q, vid, qid = np.concatenate([v[:5], rng.integers(-largest, largest, (2995, 16))]), rng.permutation(len(v)), np.arange(3000) - 2990
+    tracemalloc.start()
+    try:
+        r, found, score = topk.search(qid, q, vid, v, np.linalg.qr(rng.normal(size=(16, 16)))[0], 5, (4, 8))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 64 << 20
+    for i in [0, 1, 2, 3, 4, *range(5, 3000, 100), 2995, 2999]:
+        every = sorted(zip((-(v @ q[i])).tolist(), vid.tolist()))
+        wanted = [(x, s) for s, x in every if x != qid[i]][:5]
+        assert [(x, -s) for x, s in zip(found[r == i].tolist(), score[r == i].tolist())] == wanted
+
+
+
 # 8
 
 
