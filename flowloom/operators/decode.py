@@ -3,7 +3,8 @@
 Where sets and records lie in a batch is worked out for all its datagrams at once, and a field of all records of one
 template is one strided read. Templates and data sets are first read without their bodies (`events_of`), from which
 templates.py tells what holds when; those changes travel to the tasks while they are few (their number is checked), and
-payloads are never shuffled. Beyond that the data sets are joined to them within each key and minute.
+payloads are never shuffled. Beyond that the data sets are joined to them within each key and minute. Where every data set comes
+after its template in one datagram, nothing has to be told.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions import exprs as X
@@ -36,6 +38,8 @@ DECODED = (
     "datagram_id long, recv_ts timestamp, exporter_ip long, set_ordinal int, record_ordinal int, flow_type string, src_addr binary, dst_addr binary, nat_addr binary, src_ip long, dst_ip long, nat_public_ip long, "
     "src_port int, dst_port int, nat_public_port int, protocol int, tos int, tcp_flags int, bytes long, packets long, start_ms long, end_ms long"
 )
+#: What is told of a data set that no template holds for, and of one whose own datagram says nothing of its template.
+NONE, OPEN = -1, -2
 #: Changes of templates that are sent to every task; with more of them, data sets are joined to them instead.
 FEW_CHANGES = 200_000
 
@@ -146,21 +150,6 @@ def number(data: bytes, at: int, size: int) -> int:
     return int.from_bytes(data[at : at + size], "big")
 
 
-def sets_of(payload: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(ordinal, set id, body) up to the first length that is malformed or runs past the end."""
-    v = number(payload, 0, 2)
-    end = len(payload)
-    if v == 10 and HEADER[10] <= number(payload, 2, 2) < end:
-        end = number(payload, 2, 2)
-    at, nth = HEADER[v], 0
-    while at + 4 <= end:
-        size = number(payload, at + 2, 2)
-        if size < 4 or at + size > end:
-            return
-        yield nth, number(payload, at, 2), payload[at + 4 : at + size]
-        at, nth = at + size, nth + 1
-
-
 def sets_in(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """row, nth, set_id, lo, hi (of the body), version, domain and base_ms of all sets of version 9 and 10 datagrams, up to the
     first length in a datagram that is malformed or runs past its end. base_ms is the exporter's boot time for 9, the export time for 10."""
@@ -328,26 +317,6 @@ def unknown_template_sets(resolved: DataFrame) -> DataFrame:
     return resolved.filter("template IS NULL").groupBy("exporter_ip", "version", "domain", "set_id").agg(F.count("*").alias("sets"))
 
 
-def values_of(body: bytes, at: int, fields: list[dict], variable: bool) -> tuple[list[tuple[int, int, int, bool]], int] | None:
-    """[(element, place, length, enterprise)] of the record at a place and the place after it; None if it is cut off."""
-    out = []
-    for f in fields:
-        size = f["len"]
-        if variable and size == VARIABLE:
-            if at >= len(body):
-                return None
-            size, at = body[at], at + 1
-            if size == 255:
-                if at + 2 > len(body):
-                    return None
-                size, at = number(body, at, 2), at + 2
-        if at + size > len(body):
-            return None
-        out.append((f["ie"], at, size, f["enterprise"]))
-        at += size
-    return out, at
-
-
 class Layout:
     """Where the fields of a template's records lie: `of` finds an element's last, or first, field."""
 
@@ -360,20 +329,20 @@ class Layout:
         found = [i for i, (ie, _, own) in enumerate(self.fields) if ie in ids and not own]
         return found[-1 if last else 0] if found else None
 
-    def records(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    def records(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int = RECORDS_PER_DATAGRAM) -> tuple[np.ndarray, np.ndarray, list]:
         """(set, number in it, [(places, lengths) of each field]) of the records in the bodies lo to hi; a cut-off tail is ignored."""
         if self.options or not (self.variable or self.record_len > 0):
             none = np.zeros(0, np.int64)
             return none, none, [(none, size) for _, size, _ in self.fields]
         if not self.variable:
-            of, nth = places(lo, np.minimum((hi - lo) // self.record_len, RECORDS_PER_DATAGRAM))
+            of, nth = places(lo, np.minimum((hi - lo) // self.record_len, most))
             at, out = lo[of] + nth * self.record_len, []
             for _, size, _ in self.fields:
                 out.append((at, size))
                 at = at + size
             return of, nth, out
         live, at, nth, found = np.arange(len(lo)), lo.copy(), 0, []
-        while len(live) and nth < RECORDS_PER_DATAGRAM:  # the nth record of every set that has one
+        while len(live) and nth < most:  # the nth record of every set that has one
             here, begun, spots = at[live], at[live], []
             good = here < hi[live]
             for _, size, _ in self.fields:
@@ -470,40 +439,131 @@ def decoded_sets(batch: pa.RecordBatch, data: np.ndarray, s: dict[str, np.ndarra
     yield decoded_batch(batch, s["row"][which], merged)
 
 
-def decode_by(datagrams: DataFrame, changes: pa.Table) -> DataFrame:
-    """Flows of version 9 and 10 datagrams under the given changes of templates, which go to every task."""
+class Definitions:
+    """Which definition holds for each data set of a batch: the last before it in its own datagram, else the last before it among
+    the given changes. A definition goes by its place in `names`."""
+
+    def __init__(self, columns: list[np.ndarray] | None = None, states: np.ndarray | None = None, names: list[str] | None = None):
+        self.columns, self.states, self.given = columns, states, names or []
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.number, self.read = list(self.given), {x: i for i, x in enumerate(self.given)}, {}
+        self.layouts: dict[str, Layout] = {}
+
+    def place(self, text: str) -> int:
+        if text == T.WITHDRAWN:
+            return NONE
+        if text not in self.number:
+            self.number[text] = len(self.names)
+            self.names.append(text)
+        return self.number[text]
+
+    def layout(self, number_: int) -> Layout:
+        name = self.names[number_]
+        if name not in self.layouts:
+            self.layouts[name] = Layout(name)
+        return self.layouts[name]
+
+    def own(self, data: np.ndarray, s: dict[str, np.ndarray]) -> np.ndarray:
+        """What their own datagrams say of the data sets."""
+        if max(len(self.read), len(self.names) - len(self.given)) > 10_000:
+            self.forget()
+        v, kind, raw = s["version"], s["set_id"], data.tobytes()
+        options = kind == np.where(v == 9, OPTIONS_SET[9], OPTIONS_SET[10])
+        says, asks = np.flatnonzero(options | (kind == np.where(v == 9, TEMPLATE_SET[9], TEMPLATE_SET[10]))), np.flatnonzero(kind >= FIRST_DATA_SET)
+        at, ids, told = [], [], []
+        for i, *key, lo, hi in zip(says.tolist(), v[says].tolist(), options[says].tolist(), s["lo"][says].tolist(), s["hi"][says].tolist()):
+            key = (*key, raw[lo:hi])
+            if key not in self.read:
+                self.read[key] = [(template, self.place(definition(*told_))) for template, *told_ in templates_of(*key)]
+            for template, number_ in self.read[key]:
+                at.append(i), ids.append(template), told.append(number_)
+        n = len(at)
+        pick = np.concatenate([np.array(at, np.int64), asks])
+        row, ids, nth = s["row"][pick], np.concatenate([np.array(ids, np.int64), kind[asks]]), s["nth"][pick]
+        order = np.lexsort((nth, ids, row))  # of one set's templates with one id, the last stays last
+        is_set = order >= n
+        last = np.maximum.accumulate(np.where(is_set, -1, np.arange(len(order))))
+        change = order[np.maximum(last, 0)]
+        good = is_set & (last >= 0) & (row[change] == row[order]) & (ids[change] == ids[order])
+        found = np.full(len(order), OPEN)
+        found[order[good]] = np.array(told, np.int64)[change[good]]
+        return found[n:]
+
+    def before(self, batch: pa.RecordBatch, s: dict[str, np.ndarray]) -> np.ndarray:
+        """What the changes say of data sets: changes and sets in order of arrival, key by key; a set takes the last of its key before it."""
+        if self.columns is None:
+            return np.full(len(s["row"]), OPEN)
+        exporters = batch.column("exporter_ip").to_numpy()
+        here = np.flatnonzero(np.isin(self.columns[0], exporters))
+        *keys, at, datagram, ordinal, nth = (c[here] for c in self.columns)
+        told = self.states[here]
+        n, row = len(told), s["row"]
+        asks = [exporters[row], s["version"], s["domain"], s["set_id"]]
+        arrived = [batch.column("recv_ts").cast(pa.int64()).to_numpy()[row], batch.column("datagram_id").to_numpy()[row], s["nth"], np.zeros(len(row), np.int64)]
+        both = [np.concatenate(x) for x in zip([*keys, at, datagram, ordinal, nth], [*asks, *arrived])]
+        is_set = np.repeat([False, True], [n, len(row)])
+        order = np.lexsort((is_set, *both[::-1]))
+        last = np.maximum.accumulate(np.where(is_set[order], -1, np.arange(len(order))))
+        change = order[np.maximum(last, 0)]
+        good = is_set[order] & (last >= 0)
+        for k in both[:4]:
+            good &= k[change] == k[order]
+        found = np.full(n + len(row), NONE, np.int64)
+        found[order[good]] = told[change[good]]
+        return found[n:]
+
+    def of(self, batch: pa.RecordBatch, data: np.ndarray, s: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(the data sets among the sets of a batch, each one's definition or below 0)."""
+        told = self.own(data, s)
+        s = {c: x[s["set_id"] >= FIRST_DATA_SET] for c, x in s.items()}
+        ask = np.flatnonzero(told == OPEN)
+        if len(ask):
+            told[ask] = self.before(batch, {c: x[ask] for c, x in s.items()})
+        return s, told
+
+
+def open_sets(datagrams: DataFrame) -> DataFrame:
+    """(KEY, ARRIVAL) of the data sets that no template comes before in their own datagram."""
+    names = [*T.KEY, *T.ARRIVAL]
+    schema = ", ".join(c for c in T.EVENTS.split(", ") if c.split(" ")[0] in names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        definitions = Definitions()
+        for batch in pieces_of(batches):
+            data, offsets = bytes_of(batch.column("payload"))
+            s, told = definitions.of(batch, data, sets_in(data, offsets))
+            s = {c: x[told == OPEN] for c, x in s.items()}
+            heads = {c: batch.column(c).take(pa.array(s["row"])) for c in ("exporter_ip", "recv_ts", "datagram_id")}
+            of = {"version": pa.array(s["version"], pa.int32()), "domain": pa.array(s["domain"]), "template_id": pa.array(s["set_id"], pa.int32()), "set_ordinal": pa.array(s["nth"], pa.int32()), "template_ordinal": pa.array(np.zeros(len(s["row"]), np.int32))}
+            if len(s["row"]):
+                yield pa.RecordBatch.from_arrays([(heads | of)[c] for c in names], names)
+
+    return of_templates(datagrams).mapInArrow(read, schema)
+
+
+def shared_changes(spark: SparkSession, changes: pa.Table | None) -> Broadcast:
+    """The arguments of Definitions for tasks."""
+    if changes is None:
+        return spark.sparkContext.broadcast(())
     columns = [changes[c].to_numpy(zero_copy_only=False) for c in T.KEY] + [changes["recv_ts"].cast(pa.int64()).to_numpy(), changes["datagram_id"].to_numpy(), changes["set_ordinal"].to_numpy(), changes["template_ordinal"].to_numpy()]
     texts = changes["state"].to_pylist()
     names = sorted(set(texts) - {T.WITHDRAWN})
     number_ = {x: i for i, x in enumerate(names)}
-    shared = datagrams.sparkSession.sparkContext.broadcast((columns, np.array([number_.get(x, -1) for x in texts], np.int64), names))
+    return spark.sparkContext.broadcast((columns, np.array([number_.get(x, NONE) for x in texts], np.int64), names))
+
+
+def decode_by(datagrams: DataFrame, changes: pa.Table | None) -> DataFrame:
+    """Flows of version 9 and 10 datagrams under the given changes of templates, which go to every task."""
+    shared = shared_changes(datagrams.sparkSession, changes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, states, names = shared.value
-        layouts: dict[str, Layout] = {}
+        definitions = Definitions(*shared.value)
         for batch in pieces_of(batches):
             data, offsets = bytes_of(batch.column("payload"))
-            s = sets_in(data, offsets)
-            s = {c: x[s["set_id"] >= FIRST_DATA_SET] for c, x in s.items()}
-            exporters = batch.column("exporter_ip").to_numpy()
-            here = np.flatnonzero(np.isin(every[0], exporters))
-            *keys, at, datagram, ordinal, nth = (c[here] for c in every)
-            told = states[here]
-            n, row = len(told), s["row"]
-            # Changes and sets in order of arrival, key by key; a set takes the last change of its key before it.
-            asks = [exporters[row], s["version"], s["domain"], s["set_id"]]
-            arrived = [batch.column("recv_ts").cast(pa.int64()).to_numpy()[row], batch.column("datagram_id").to_numpy()[row], s["nth"], np.zeros(len(row), np.int64)]
-            both = [np.concatenate(x) for x in zip([*keys, at, datagram, ordinal, nth], [*asks, *arrived])]
-            is_set = np.repeat([False, True], [n, len(row)])
-            order = np.lexsort((is_set, *both[::-1]))
-            last = np.maximum.accumulate(np.where(is_set[order], -1, np.arange(len(order))))
-            change = order[np.maximum(last, 0)]
-            good = is_set[order] & (last >= 0)
-            for k in both[:4]:
-                good &= k[change] == k[order]
-            found = np.full(n + len(row), -1, np.int64)
-            found[order[good]] = told[change[good]]
-            yield from decoded_sets(batch, data, s, found[n:], names, layouts)
+            s, told = definitions.of(batch, data, sets_in(data, offsets))
+            yield from decoded_sets(batch, data, s, told, definitions.names, definitions.layouts)
 
     return of_templates(datagrams).mapInArrow(read, DECODED)
 
@@ -532,17 +592,25 @@ def cap_records(records: DataFrame, most: int = RECORDS_PER_DATAGRAM) -> DataFra
     return records.join(over, "datagram_id", "left").filter(F.col("sets").isNull() | (before + F.col("record_ordinal") < most)).drop("sets")
 
 
+def changes_of(datagrams: DataFrame, ttl_s: int | None = None, known: DataFrame | None = None, chain: DataFrame | None = None, few: int = FEW_CHANGES) -> tuple[pa.Table | None, DataFrame | None]:
+    """(changes of templates for all tasks, None), or (None, T.chained()) if they are more than `few`. (None, None) where no data set needs them."""
+    if chain is None:
+        if not open_sets(datagrams).limit(1).count():  # every task stops at its first
+            return None, None
+        events = events_of(datagrams)
+        chain = T.chained(events if known is None else known.unionByName(events), ttl_s)
+    changes = T.changes(chain).limit(few + 1).toArrow()  # few rows, or the sign that they aren't
+    return (changes, None) if len(changes) <= few else (None, chain)
+
+
 def decode(datagrams: DataFrame, ttl_s: int | None = None, known: DataFrame | None = None, chain: DataFrame | None = None, few: int = FEW_CHANGES) -> DataFrame:
     """Decoded flows of all three versions, as DECODED.
 
     A template lives for ttl_s seconds after it was last sent or used (None: for ever). `known` are templates from before
     these datagrams, from T.carried(); `chain` is T.chained() of them and these, if it is there already.
     """
+    changes, chain = changes_of(datagrams, ttl_s, known, chain, few)
     if chain is None:
-        events = events_of(datagrams)
-        chain = T.chained(events if known is None else known.unionByName(events), ttl_s)
-    changes = T.changes(chain).limit(few + 1).toArrow()  # few rows, or the sign that they aren't
-    if len(changes) <= few:
         return decode_v5(datagrams).unionByName(decode_by(datagrams, changes))
     data = split_sets(datagrams).filter(F.col("set_id") >= FIRST_DATA_SET)
     asks = data.select("exporter_ip", "version", "domain", F.col("set_id").alias("template_id"), "recv_ts", "datagram_id", "set_ordinal", F.lit(0).alias("template_ordinal"))
